@@ -176,6 +176,12 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_column
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that near_documents keeps: one document of each component. Rows without id stay."""
+    gone = near_documents(docs, words, percent, id_column, text_column).filter("not kept").select(id_column).distinct()
+    return docs.join(gone, id_column, "left_anti").select(docs.columns)
+
+
 def _spread_groups(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Sends the members' texts to the pairs of blocks of their groups; sizes are counted without the texts."""
     big = stored(groups.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "groups")

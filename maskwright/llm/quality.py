@@ -40,6 +40,8 @@ def fit(rows: list) -> Model:
     vectors, output, bias = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)), rng.normal(0, 1, (WIDTH, 2)), np.zeros(2)
     seen, seen_output = np.full(BUCKETS, 1e-8), np.full(output.shape, 1e-8)
     rows = [(y, k, (c / c.sum()).astype(np.float32)) for y, k, c in rows if len(k)]
+    often = np.bincount([y for y, _, _ in rows], minlength=2)
+    weigh = len(rows) / (2 * np.maximum(often, 1))  # either class weighs alike
     for _ in range(EPOCHS if rows else 0):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
@@ -50,7 +52,7 @@ def fit(rows: list) -> Model:
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
-            p /= len(y)
+            p *= weigh[y][:, None] / len(y)
             back = p @ output.T
             keys = np.concatenate([k for _, k, _ in part])
             hit, inverse = np.unique(keys, return_inverse=True)

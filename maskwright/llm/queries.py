@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.llm.bpe import token_digests
+from maskwright.llm.brown_lm import score_texts
 from maskwright.llm.common import table
 from maskwright.llm.embeddings import near_vectors
 from maskwright.llm.inner_product import nearest_by_inner_product
+from maskwright.llm.lsh_forest import near_documents
+from maskwright.llm.packing import pack
+from maskwright.llm.quality import quality
+from maskwright.llm.toxicity import toxicity
 from maskwright.llm.url_rules import judge_pages
 from maskwright.llm.warc import warc_round_trip
 
@@ -27,10 +32,18 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(table(spark, sf_dir, "documents"), words=4)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -39,7 +52,19 @@ def op7_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_inner_product(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_url_rules, op4_embedding_neardup, op6_bpe, op7_anisotropic_search)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_url_rules, op3_brown_lm, op4_embedding_neardup, op5_lsh_forest, op6_bpe, op7_anisotropic_search, op8_packing, op9_toxicity, op10_quality)}
 
 ORACLE_SQL = {
     "op1_warc": """

@@ -18,8 +18,10 @@ from maskwright.llm.subwords import subword_counts
 from maskwright.llm.training import hashed_sample, labels_of
 
 BUCKETS = 1 << 18
+#: Share of the class prior that is called toxic among texts the fit hasn't seen: a little less, so that clean texts stay.
+CAUTION = 0.95
 #: Bounds of the training sample: texts confirmed toxic, and unlabelled ones.
-POSITIVES, UNLABELLED = 2500, 4000
+POSITIVES, UNLABELLED = 2500, 5000
 EPOCHS, RATE, POSITIVE_BATCH, BATCH, SEED = 16, 0.1, 32, 128, 0
 
 
@@ -60,7 +62,7 @@ def fit(positive: list, unlabelled: list, prior: float) -> Model:
         return out
 
     p, u = scaled(positive), scaled(unlabelled)
-    u, apart = (u, u) if len(u) < 50 else (u[len(u) // 5 :], u[: len(u) // 5])
+    u, apart = (u, u) if len(u) < 50 else (u[len(u) // 10 * 3 :], u[: len(u) // 10 * 3])
     w, seen, bias, rng = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), -1.0, np.random.default_rng(SEED)
     out = lambda rows: np.array([w[k] @ x + bias for k, x in rows])
     for _ in range(EPOCHS):
@@ -81,7 +83,7 @@ def fit(positive: list, unlabelled: list, prior: float) -> Model:
             w[hit] -= RATE * g / np.sqrt(seen[hit])
             bias -= 0.3 * RATE * (gu.sum() + gp.sum())
     # of unlabelled texts that the fit hasn't seen, the prior's share scores above one half
-    bias -= float(np.quantile(out(apart), 1 - prior))
+    bias -= float(np.quantile(out(apart), 1 - CAUTION * prior))
     return Model(w, idf, bias)
 
 
@@ -102,12 +104,11 @@ def score_documents(docs: DataFrame, model, threshold: float, id_column: str = "
     """(doc_id, held_out, score, predicted) of every row; null texts score as empty ones; repeated rows score alike."""
     configure(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
-    shared = {"parts": docs.sparkSession.sparkContext.broadcast(vars(model))}
-    made = type(model)
+    parts, made = docs.sparkSession.sparkContext.broadcast(vars(model)), type(model)
 
     def run(batches):
         m = made.__new__(made)
-        vars(m).update(shared["parts"].value)
+        vars(m).update(parts.value)
         for b in batches:
             s = np.array(m.score([t.as_py() for t in b.column(2)]), np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_column, "held_out", "score", "predicted"])
@@ -116,6 +117,21 @@ def score_documents(docs: DataFrame, model, threshold: float, id_column: str = "
     return rows.mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, score double, predicted int")
 
 
+def keep_documents(docs: DataFrame, model, threshold: float, keep: int, text_column: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose predicted class is `keep`; nothing is shuffled."""
+    configure(docs.sparkSession)
+    parts, made, at = docs.sparkSession.sparkContext.broadcast(vars(model)), type(model), docs.columns.index(text_column)
+
+    def run(batches):
+        m = made.__new__(made)
+        vars(m).update(parts.value)
+        for b in batches:
+            s = np.array(m.score([(t.as_py() or "").encode() for t in b.column(at)]), np.float64)
+            yield b.filter(pa.array((s >= threshold).astype(np.int32) == keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Trains on docs and labels and scores every document. No labels give every text the score of the least prior."""
     return score_documents(docs, train(docs, labels), threshold)
