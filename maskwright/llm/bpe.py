@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import configure, utf8
+from maskwright.llm.common import configure, per_worker, utf8
 
 #: The patterns by which the two public vocabularies cut texts into words.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,6 +48,29 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[at]
 
 
+class Table(dict):
+    """Numbers keys in the order in which they are first looked up, and keeps ids for each."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+    def take(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the keys taken, one after the other."""
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+
+
 class Bpe:
     """Encodes and decodes as the tokenizers library does with the vocabulary file at path, without added special tokens."""
 
@@ -79,18 +102,8 @@ class Bpe:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.whole: set[str] = set()
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for token, i in self.special.items():
-            self._keep(["\0S" + token], np.array([i]), np.array([1]))
-
-    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        base = len(self.flat)
-        self.index.update(zip(words, range(len(self.length), len(self.length) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, base + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.stretches, self.pieces = Table(), Table()
+        self.odd = np.zeros(0, bool)  # by stretch: white space at its edge, so its text must be cut as a whole
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one flat array, and how many each has."""
@@ -135,22 +148,26 @@ class Bpe:
         order = np.argsort(who, kind="stable")
         return ids[order], np.bincount(who, minlength=len(words))
 
+    def fold(self, text: str) -> str:
+        if self.folds and text.isascii():
+            return text.lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() if self.folds else text
+
     def words(self, text: str) -> list[str]:
-        """The words of a text without special tokens, as the vocabulary's pattern cuts it."""
-        if text.isascii():
-            return self.ascii(text.lower() if self.folds else text)
-        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() if self.folds else text)
+        """The words of a folded text without special tokens, as the vocabulary's pattern cuts it."""
+        return (self.ascii if text.isascii() else self.find)(text)
 
     def _parts(self, text: str) -> list[str]:
         """Keys of the cache whose ids make up the text: stretches between spaces, so that the pattern runs over new ones alone.
 
         A key that begins with NUL and S is a special token, with NUL and T a text to be cut as a whole; NUL and F marks the first stretch, which has no space before it.
         """
-        if self.cut is None or not any(s in text for s in self.special):
-            return self._stretches(text)
-        return list(chain.from_iterable(["\0S" + x] if x in self.special else self._stretches(x) for x in self.cut.split(text) if x))
+        if not any(s in text for s in self.special):
+            return self._between_spaces(text)
+        return list(chain.from_iterable(["\0S" + x] if x in self.special else self._between_spaces(x) for x in self.cut.split(text) if x))
 
-    def _stretches(self, text: str) -> list[str]:
+    def _between_spaces(self, text: str) -> list[str]:
+        text = self.fold(text)
         if "\0" in text:
             return ["\0T" + text]
         parts = text.split(" ")
@@ -158,52 +175,56 @@ class Bpe:
             parts[0] = "\0F" + parts[0]
         return parts
 
-    def _pieces(self, key: str) -> list[str] | None:
-        """The words of a key; None if white space at its edge means that its text must be cut as a whole."""
+    def _cut(self, key: str) -> list[str] | None:
+        """The words of a stretch; None if white space at its edge means that its text must be cut as a whole."""
         if key[:2] == "\0T":
             return self.words(key[2:])
-        text = key[2:] if key[:2] == "\0F" else key
-        if self.suffix:
-            return self.words(text)
-        if not text or text[0].isspace() or text[-1].isspace():
+        first = key[:2] == "\0F"
+        text = key[2:] if first else key
+        space = "" if first or self.suffix else " "
+        if text.isalpha():
+            return [space + text]
+        if text[:-1].isalpha() and text[-1] in ",.":
+            return [space + text[:-1], text[-1]]
+        if not self.suffix and (not text or text[0].isspace() or text[-1].isspace()):
             return [] if key == "\0F" else None
-        return self.words(text if key[:2] == "\0F" else " " + text)
-
-    def _learn(self, keys: Iterable[str]) -> None:
-        """Encodes new keys: their words by merge rounds, each word once."""
-        new = list(keys)
-        cut = [self._pieces(k) for k in new]
-        words = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(c for c in cut if c)))}
-        ids, size = self.merge(list(words))
-        start = np.cumsum(size) - size
-        at = np.array([words[w] for c in cut if c for w in c], np.int64)
+        return self.words(space + text)
+
+    def _learn(self) -> None:
+        """Encodes the stretches met for the first time: of their words, new ones by merge rounds."""
+        new = self.stretches.take()
+        if not new:
+            return
+        special = [k[2:] if k[:2] == "\0S" else None for k in new]
+        cut = [() if x else self._cut(k) for k, x in zip(new, special, strict=True)]
+        at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(c for c in cut if c)), np.int64)
+        if words := self.pieces.take():
+            self.pieces.add(*self.merge(words))
         per = np.array([len(c or ()) for c in cut], np.int64)
-        own = np.append(0, np.cumsum(size[at]))[np.append(0, np.cumsum(per))]
-        self._keep(new, ragged(ids, start[at], size[at]), np.diff(own))
-        self.whole |= {k for k, c in zip(new, cut, strict=True) if c is None}
+        size = self.pieces.length[at]
+        own = np.diff(np.append(0, np.cumsum(size))[np.append(0, np.cumsum(per))])
+        ids = ragged(self.pieces.flat, self.pieces.start[at], size)
+        if any(special):
+            groups = np.split(ids, np.cumsum(own)[:-1])
+            groups = [[self.special[x]] if x else g for g, x in zip(groups, special, strict=True)]
+            own, ids = np.array([len(g) for g in groups]), np.concatenate(groups)
+        self.stretches.add(ids, own)
+        self.odd = np.append(self.odd, [c is None for c in cut])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text (unsigned 32-bit)."""
-        if len(self.index) > CACHE_WORDS:
+        if len(self.stretches) > CACHE_WORDS or len(self.pieces) > CACHE_WORDS:
             self._reset()
-        parts = [self._parts(t) for t in texts]
-        found = [list(map(self.index.get, p)) for p in parts]
-        self._learn(dict.fromkeys(k for p, f in zip(parts, found, strict=True) if None in f for k, i in zip(p, f, strict=True) if i is None))
-        out, odd = [], {self.index[k] for k in self.whole}
-        for n, (p, f) in enumerate(zip(parts, found, strict=True)):
-            f = list(map(self.index.__getitem__, p)) if None in f else f
-            if odd and not odd.isdisjoint(f):
-                f = []
-                for x in self.cut.split(texts[n]) if self.cut else [texts[n]]:
-                    key = ("\0S" if x in self.special else "\0T") + x
-                    if key not in self.index:
-                        self._learn([key])
-                    f.append(self.index[key])
-                    if key[1] == "T":  # a whole text is not worth keeping
-                        del self.index[key]
-            at = np.array(f, np.int64)
-            out.append(ragged(self.flat, self.start[at], self.length[at]) if len(at) else np.zeros(0, np.uint32))
-        return out
+        get, found = self.stretches.__getitem__, []
+        for t in texts:
+            parts = self._parts(t)
+            found.append(np.fromiter(map(get, parts), np.int64, len(parts)))
+        self._learn()
+        for n, at in enumerate(found):
+            if self.odd[at].any():
+                found[n] = np.array([get(("\0S" if x in self.special else "\0T") + (x if x in self.special else self.fold(x))) for x in (self.cut.split(texts[n]) if self.cut else [texts[n]])])
+        self._learn()
+        return [ragged(self.stretches.flat, self.stretches.start[at], self.stretches.length[at]) if len(at) else np.zeros(0, np.uint32) for at in found]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, special tokens included (byte-level vocabularies)."""
@@ -251,7 +272,7 @@ def _mapped(docs, vocabulary, id_column, text_column, each, columns: str, names:
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        bpe = Bpe(vocabulary)
+        bpe = per_worker(("bpe", vocabulary), lambda: Bpe(vocabulary))
         for b in batches:
             rows = [each(bpe, ids) for ids in encoded(bpe, b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[n] for r in rows], _ARROW[c]) for n, c in zip(names, (x.split()[1] for x in columns.split(", ")), strict=True))], names=[id_column, *names])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +49,14 @@ def remainder(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def per_worker(key, make):
+    """What make() returns, made once in a Python worker and kept for its later tasks."""
+    held = vars(sys.modules.setdefault("_maskwright_held", types.ModuleType("_maskwright_held")))
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def utf8(column: str) -> Column:
     """The text as bytes, for Arrow without decoding; null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

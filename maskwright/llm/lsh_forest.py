@@ -30,7 +30,7 @@ VALUES = TREES * DEPTH
 #: Signature values of two sets that must agree: the expected number at the threshold less four to five standard deviations (in the forest, of values cut to four bits).
 SLACK = 4.5
 #: Documents of a block.
-BLOCK = 400
+BLOCK = 100
 
 _RNG = np.random.default_rng(80)
 _FLIP = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)

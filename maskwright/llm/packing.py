@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.bpe import Bpe, encoded
-from maskwright.llm.common import configure, stored, utf8
+from maskwright.llm.common import configure, per_worker, stored, utf8
 
 #: Tokens of a sequence, of a length class, and the id that ends a document.
 LENGTH, STEP, END_ID = 4096, 32, 2
@@ -122,7 +122,7 @@ def tokenized(docs: DataFrame, vocabulary: str, id_column: str, text_column: str
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        bpe = Bpe(vocabulary)
+        bpe = per_worker(("bpe", vocabulary), lambda: Bpe(vocabulary))
         for b in batches:
             n, crc, raw = [], [], []
             for ids in encoded(bpe, b.column(2)):
@@ -139,7 +139,7 @@ def tokenized(docs: DataFrame, vocabulary: str, id_column: str, text_column: str
 def running(df: DataFrame, key: str, value: str, name: str, buckets: int, within: list[str] | None = None) -> DataFrame:
     """Adds `name`, the sum of `value` over the rows before this one (of the same `within`) in the order of a hash bucket and key; buckets are counted apart, so no task holds all rows."""
     within = within or []
-    df = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    df = df.withColumn("bucket", F.pmod(F.xxhash64(key, F.lit(name)), F.lit(buckets)))
     part = Window.partitionBy(*within, "bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*within).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = df.groupBy(*within, "bucket").agg(F.sum(value).alias("total")).withColumn("ahead", F.coalesce(F.sum("total").over(whole), F.lit(0))).drop("total")
