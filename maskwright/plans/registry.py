@@ -3,15 +3,81 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.functions.regex import to_duckdb
+from maskwright.operators import anonymize as anon
+from maskwright.operators.analyze import Options, analyze, findings
+from maskwright.operators.catalog import EMAIL, RECOGNIZERS
+from maskwright.operators.scan import lines, scan, summary
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return entity_counts(spark, sf_dir)
+
+
+def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every type over all documents."""
+    return summary(findings(_docs(spark, sf_dir), "doc_id"))
+
+
+def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_docs(spark, sf_dir), "doc_id")
+
+
+def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(_docs(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.max("line").alias("n_lines"), F.sum(F.octet_length("content")).alias("n_bytes"))
+
+
+def anonymize_email(operator: anon.Operator):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = analyze(_docs(spark, sf_dir), options=Options(entities=["EMAIL_ADDRESS"]))
+        return found.select("doc_id", F.sha2(anon.anonymize(F.col("text"), F.col("spans"), operator), 256).alias("masked_sha256"))
+
+    return run
+
+
+def credit_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(_docs(spark, sf_dir), "doc_id", options=Options(entities=["CREDIT_CARD"])).groupBy("doc_id", "text", "score").agg(F.count("*").alias("n"))
+
+
+def detect(entity: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return findings(_docs(spark, sf_dir), "doc_id", options=Options(entities=[entity], context=False)).groupBy("doc_id", "entity_type", "text", F.round("score", 4).alias("score")).agg(F.count("*").alias("n"))
+
+    return run
+
+
+#: Types with one unchecked pattern that is the whole span: DuckDB's RE2 gives the same matches from the pattern as it stands.
+_PLAIN = [r for r in RECOGNIZERS if len(r.patterns) == 1 and not r.validator and not r.labels and not r.patterns[0][2] and r.entity != "BR_CEP"]
 
 
 def queries() -> dict:
-    return {}
+    found = {f.__name__: f for f in (entity_counts, scan_report, scan_lines, credit_cards)}
+    found |= {"anonymize_replace": anonymize_email(anon.replace()), "anonymize_redact": anonymize_email(anon.redact()), "anonymize_replace_with": anonymize_email(anon.replace_with("[mail]"))}
+    return found | {f"detect_{r.entity.lower()}": detect(r.entity) for r in _PLAIN}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {}
+    for r in _PLAIN:
+        (score, pattern, _) = r.patterns[0]
+        found[f"detect_{r.entity.lower()}"] = f"""
+            WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{to_duckdb(pattern)}')) AS text FROM documents)
+            SELECT doc_id, '{r.entity}' AS entity_type, text, CAST({score} AS DOUBLE) AS score, count(*) AS n FROM m GROUP BY ALL"""
+    for name, put in (("replace", "<EMAIL_ADDRESS>"), ("redact", ""), ("replace_with", "[mail]")):
+        found[f"anonymize_{name}"] = f"SELECT doc_id, sha256(regexp_replace(text, '{to_duckdb(EMAIL)}', '{put}', 'g')) AS masked_sha256 FROM documents"
+    card = next(r for r in RECOGNIZERS if r.entity == "CREDIT_CARD").patterns[0][1]
+    found["credit_cards"] = f"""
+        WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{to_duckdb(card)}')) AS text FROM documents),
+        d AS (SELECT *, reverse(regexp_replace(text, '[- ]', '', 'g')) AS r FROM m),
+        s AS (SELECT *, list_sum([CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(r[i] AS INT) > 4 THEN CAST(r[i] AS INT) * 2 - 9 ELSE CAST(r[i] AS INT) * 2 END ELSE CAST(r[i] AS INT) END FOR i IN range(1, length(r) + 1)]) AS total FROM d)
+        SELECT doc_id, text, CAST(1.0 AS DOUBLE) AS score, count(*) AS n FROM s WHERE total % 10 = 0 GROUP BY ALL"""
+    found["scan_lines"] = r"""
+        WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n\z', ''), chr(10))) AS content FROM documents WHERE octet_length(encode(text)) > 0)
+        SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(sum(octet_length(encode(regexp_replace(content, '\r\z', '')))) AS BIGINT) AS n_bytes FROM p GROUP BY doc_id"""
+    return found
