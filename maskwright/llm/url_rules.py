@@ -49,7 +49,7 @@ def transactions(pages: DataFrame) -> DataFrame:
     p = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
     hit = rule_verdict(F.col("host"), F.col("path"))
     p = p.withColumn("hit", hit).withColumn("items", F.when(url.isNull(), F.array().cast("array<string>")).otherwise(tokens(F.col("host"), F.col("path"), url)))
-    return p.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled"), "items", F.regexp_extract("path", r"(\d+)[^/\d]*/?$", 1).cast("long").alias("doc_id"))
+    return p.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled"), "items", F.regexp_extract("path", r"(\d+)[^/\d]*/?$", 1).try_cast("long").alias("doc_id"))
 
 
 def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.2) -> DataFrame:
@@ -59,6 +59,8 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002,
     """
     seen = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")).alias("bad"))
     baskets = stored(pages.join(seen, "doc_id").select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "baskets")
+    if baskets.filter(F.array_contains("items", BAD)).isEmpty():
+        return pages.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, lift double, support double")
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
     rules = rules.filter((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support")
     rules = stored(rules, "rules")

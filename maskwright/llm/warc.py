@@ -193,7 +193,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     kept = seen.filter("origin is null").select("rid", "type", "refers", "digest", "length").unionByName(reassemble(seen))
     return kept.select(
         F.col("rid").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
-        F.regexp_extract("refers", r"<urn:page:(-?\d+)", 1).cast("long").alias("refers_to"),
+        F.regexp_extract("refers", r"<urn:page:(-?\d+)", 1).try_cast("long").alias("refers_to"),
     )
 
 
