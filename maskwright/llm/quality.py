@@ -13,7 +13,7 @@ from maskwright.llm.training import hashed_sample, labels_of
 
 BUCKETS, WIDTH = 1 << 17, 8
 #: Bound of the labelled sample; passes, documents of a step, step size.
-SAMPLE, EPOCHS, BATCH, RATE, SEED = 5000, 12, 32, 0.1, 0
+SAMPLE, EPOCHS, BATCH, RATE, SEED = 3500, 12, 32, 0.1, 0
 
 
 class Model:

@@ -21,7 +21,7 @@ BUCKETS = 1 << 18
 #: Share of the class prior that is called toxic among texts the fit hasn't seen: a little less, so that clean texts stay.
 CAUTION = 0.95
 #: Bounds of the training sample: texts confirmed toxic, and unlabelled ones.
-POSITIVES, UNLABELLED = 2500, 5000
+POSITIVES, UNLABELLED = 1500, 3500
 EPOCHS, RATE, POSITIVE_BATCH, BATCH, SEED = 16, 0.1, 32, 128, 0
 
 
@@ -57,7 +57,7 @@ def fit(positive: list, unlabelled: list, prior: float) -> Model:
     def scaled(rows):
         out = []
         for k, c in rows:
-            x = np.log1p(c) * idf[k]
+            x = np.log1p(c.astype(np.float32)) * idf[k]
             out.append((k, (x / max(1e-9, np.sqrt(x @ x))).astype(np.float32)))
         return out
 

@@ -30,4 +30,6 @@ def hashed_sample(docs: DataFrame, chosen: DataFrame, buckets: int, fold_case: b
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text")).join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "y")), "doc_id").select("doc_id", "y", "text")
     found = rows.mapInArrow(run, "id long, y int, buckets binary, counts binary").toArrow().sort_by("id")
-    return [(y, np.frombuffer(k, np.int32), np.frombuffer(c, np.uint16).astype(np.float32)) for y, k, c in zip(*(found.column(n).to_pylist() for n in ("y", "buckets", "counts")), strict=True)]
+    # views of the table's buffers, not copies
+    view = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in found.column(name)]
+    return list(zip(found.column("y").to_pylist(), view("buckets", np.int32), view("counts", np.uint16), strict=True))
