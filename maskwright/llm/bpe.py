@@ -29,7 +29,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Distinct words that a worker keeps encoded, and bytes of text that it handles at a time.
-CACHE_WORDS, CHUNK_BYTES = 400_000, 1 << 21
+CACHE_WORDS, CHUNK_BYTES = 1_000_000, 1 << 21
 
 
 def byte_letters() -> list[str]:
