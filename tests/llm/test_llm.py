@@ -191,3 +191,19 @@ def test_empty_tables(spark):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_vectors(vectors).count() == 0 and inner_product.nearest_by_inner_product(vectors).count() == 0
     assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_components_of_chains(spark, monkeypatch):
+    from maskwright.llm import components
+
+    rng = np.random.default_rng(3)
+    path = rng.permutation(900)
+    links = [(int(a), int(b)) for a, b in zip(path[:-1], path[1:], strict=True)] + [(2000, 1000), (1000, 2000), (3000, 3000), (None, 5), (2000, 1500)]
+    want = {int(x): 0 for x in path} | {1000: 1000, 1500: 1000, 2000: 1000}
+    for chunk in (components.CHUNK, 7):
+        monkeypatch.setattr(components, "CHUNK", chunk)
+        found = components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+        assert len(found) == len(want) and {r.node: r.component for r in found} == want
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    u, v = components.stars(np.array([9, 5, 7, 3]), np.array([5, 7, 8, 2]))
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {7: 5, 8: 5, 9: 5, 3: 2}
