@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.checksums import VALIDATORS
 from maskwright.functions.regex import cleared, matches
 from maskwright.operators.catalog import RECOGNIZERS, Recognizer
+from maskwright.operators.custom import lookaround_matches
 
 SPAN = "array<struct<entity_type:string,start:int,end:int,score:double,text:string,recognizer:string>>"
 _RAW = "array<struct<entity_type:string,start:int,end:int,score:double,text:string,recognizer:string,ordinal:int>>"
@@ -67,7 +68,8 @@ def _recognized(r: Recognizer, ordinal: int, hits: list[Column], text: Column, c
     spans = []
     for p, ((score, _, _), found) in enumerate(zip(r.patterns, hits, strict=True)):
         if r.validator:
-            found, score = F.filter(found, lambda x: F.coalesce(VALIDATORS[r.validator](x["text"]), F.lit(False))), 1.0
+            check = VALIDATORS[r.validator] if isinstance(r.validator, str) else r.validator
+            found, score = F.filter(found, lambda x: F.coalesce(check(x["text"]), F.lit(False))), 1.0
         if r.labels:
             found = F.filter(found, lambda x: has_label(text, x, r.labels))
 
@@ -110,11 +112,11 @@ def analyze(df: DataFrame, text_column: str = "text", options: Options | None =
     chosen = [(i, r) for i, r in enumerate(o.recognizers) if o.entities is None or r.entity in o.entities]
     if not chosen:
         return df.withColumn(out, F.array().cast(SPAN))
-    scans = list(dict.fromkeys((rx, g) for _, r in chosen for _, rx, g in r.patterns))
+    scans = list(dict.fromkeys((rx, g, r.lookaround) for _, r in chosen for _, rx, g in r.patterns))
     hits = {s: f"_hit{i}" for i, s in enumerate(scans)}
     df = df.withColumn("_text", cleared(F.col(text_column)))
-    df = df.withColumns({name: _built(("hit", rx, g), lambda rx=rx, g=g: matches(rx, g, F.col("_text"))) for (rx, g), name in hits.items()})
-    df = df.withColumn("_spans", _built(("spans", repr(chosen), o.context), lambda: F.concat(*(_recognized(r, i, [F.col(hits[rx, g]) for _, rx, g in r.patterns], F.col("_text"), o.context) for i, r in chosen)).cast(_RAW))).drop(*hits.values())
+    df = df.withColumns({name: _built(("hit", rx, g, own), lambda rx=rx, g=g, m=lookaround_matches if own else matches: m(rx, g, F.col("_text"))) for (rx, g, own), name in hits.items()})
+    df = df.withColumn("_spans", _built(("spans", repr(chosen), o.context), lambda: F.concat(*(_recognized(r, i, [F.col(hits[rx, g, r.lookaround]) for _, rx, g in r.patterns], F.col("_text"), o.context) for i, r in chosen)).cast(_RAW))).drop(*hits.values())
     spans = F.filter(dedup(F.col("_spans")), lambda x: x["score"] > 0)
     if o.threshold > 0:
         spans = F.filter(spans, lambda x: x["score"] >= o.threshold)

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
 @dataclass(frozen=True)
 class Recognizer:
-    """patterns: (score, regular expression in RE2 syntax with {Z} for Unicode spaces, group that is the span). labels: words one of which must precede a span closely."""
+    """patterns: (score, regular expression in RE2 syntax with {Z} for Unicode spaces, group that is the span). labels: words one of which must precede a span closely. lookaround: the patterns run in an engine with look-around, bounded in time. validator: the name of a check, or a function from the span's text to a condition."""
 
     entity: str
     name: str
     language: str
     patterns: list[tuple[float, str, int]]
     context: list[str] = field(default_factory=list)
-    validator: str | None = None
+    validator: str | Callable | None = None
     labels: list[str] = field(default_factory=list)
+    lookaround: bool = False
 
 
 #: Characters of a mailbox name.
