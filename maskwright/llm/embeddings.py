@@ -1,10 +1,13 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A vector is described by its nearest pivots (sampled vectors). Each of them has
-an inverted list for every label; two vectors of a list are candidates if they
-share at least MIN_SHARED of their pivots, and are then verified by cosine in
-double precision. Long lists are cut into blocks, and pairs of blocks go to
-tasks of their own.
+A vector is described by its pivots (sampled vectors, few of a dense region),
+the nearest first. Each pivot has an inverted list for every label: its members
+are nearest to it, and its visitors are all others that can be within the
+threshold of any member. If x is nearest to p and y is within the angle a of x,
+then y . (q - p) <= sin(a) |q - p| for every pivot q, so a vector visits those
+p for which that holds, and no pair is lost. Two vectors are compared, in double
+precision, in the one list that `meeting` names. Long lists are cut into blocks,
+and pairs of blocks go to tasks of their own.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import configure, stored
 from maskwright.llm.components import connected_components
 
-#: Pivots that describe a vector, and how many two vectors must share.
-NEAREST, MIN_SHARED = 8, 2
-#: Pivots for each so many vectors, and the least and most of them (the most bounds what is broadcast).
-VECTORS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 200, 128, 8192
-#: Vectors of a list's block.
-BLOCK = 128
+#: Vectors for each pivot, and the least and most of these (the most bounds what is broadcast); sampled vectors for each pivot.
+VECTORS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS, SAMPLED = 3200, 16, 256, 16
+#: Pivots whose cosine is below this are apart.
+APART = 0.8
+#: A list's blocks hold this share of all vectors, but so many at least and at most (the most bounds what a task holds).
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 128, 256, 4096
+#: Rows of a block that are compared at a time.
+STRIP = 256
 
 
 def usable(vector: Column) -> Column:
@@ -44,9 +49,42 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def pick_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """About `count` unit vectors, chosen by a hash of their ids so that a rerun picks the same; MOST_PIVOTS bounds them."""
-    rows = vectors.orderBy(F.xxhash64("rep"), "rep").limit(count).select("v").collect()
-    return unit(np.array([r.v for r in rows], np.float64))
+    """Up to `count` unit vectors that are apart from each other, of a sample chosen by a hash of their ids so that a rerun picks the same."""
+    rows = vectors.orderBy(F.xxhash64("rep"), "rep").limit(count * SAMPLED).select("v").collect()
+    return apart(unit(np.array([r.v for r in rows], np.float64)), count)
+
+
+def apart(sample: np.ndarray, count: int) -> np.ndarray:
+    """Up to `count` of the vectors, none of which is near another: a dense region gives one or a few, whatever its share of the sample."""
+    nearest, chosen = np.full(len(sample), -1.0), []
+    for k in range(len(sample)):
+        if len(chosen) == count:
+            break
+        if nearest[k] < APART:
+            chosen.append(k)
+            nearest = np.maximum(nearest, sample @ sample[k])
+    return sample[chosen]
+
+
+def meeting(p, q):
+    """The one of the lists p and q in which their members meet; each list gets about half of its pairs."""
+    return np.where((p + q) % 2 == 1, np.minimum(p, q), np.maximum(p, q))
+
+
+def lists_of(x: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each unit vector, and whether (vector x pivot) it is posted to that pivot's list."""
+    near = x @ pivots.T
+    home = near.argmax(1)
+    gaps = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    reach = np.sqrt(1 - min(1.0, threshold) ** 2) if threshold > 0 else np.inf
+    posted = np.ones(near.shape, bool)
+    for p in range(len(pivots)):
+        other = gaps[p] > 0
+        posted[:, p] = ((near[:, other] - near[:, p, None]) <= reach * gaps[p, other] + 1e-9).all(1)
+    numbers = np.arange(len(pivots))
+    posted &= meeting(home[:, None], numbers) == numbers
+    posted[np.arange(len(x)), home] = True
+    return home, posted
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +105,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
-def spread(rows: DataFrame, keys: list[str], member: str, block: int, name: str) -> DataFrame:
-    """Cuts the groups of rows that `keys` name into blocks of about `block` rows and sends each row to all pairs of blocks that hold its own.
+def spread(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """Cuts the members and the visitors of each list (label, pivot) into blocks of about `block` rows and sends each row to all pairs of blocks that hold its own and of which one at least holds members.
 
-    Adds b, the row's block, and i <= j, the pair of blocks. Groups of up to `block` rows have the one pair (0, 0). Only the sizes of longer groups are joined back, over plain exchanges.
+    Adds b, the row's block, and i <= j, the pair of blocks; visitors' blocks follow the members'. Short lists have the one pair (0, 0), with visitors in block 1. Only the sizes of longer lists are joined back, over plain exchanges.
     """
-    big = stored(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > block), name)
-    n = F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))
-    out = rows.join(big, keys, "left").withColumn("b", F.pmod(F.xxhash64(member), n).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), n - 1)))
-    return out.withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o")).drop("n", "o")
+    parts = lambda n: F.ceil(n / block).cast("int")
+    counts = rows.groupBy("label", "pivot").agg(F.count(F.when(F.col("member"), 1)).alias("m"), F.count("*").alias("n"))
+    big = stored(counts.filter(F.col("n") > block).select("label", "pivot", F.greatest(F.lit(1), parts(F.col("m"))).alias("mb"), parts(F.col("n") - F.col("m")).alias("vb")), name)
+    long = F.col("mb").isNotNull()
+    at = F.xxhash64("rep")
+    b = F.when(F.col("member"), F.pmod(at, F.coalesce("mb", F.lit(1)))).otherwise(F.coalesce("mb", F.lit(1)) + F.pmod(at, F.greatest(F.lit(1), F.coalesce("vb", F.lit(1))))).cast("int")
+    last = F.when(F.col("member"), F.col("mb") + F.col("vb")).otherwise(F.col("mb")) - 1
+    out = rows.join(big, ["label", "pivot"], "left").withColumn("b", b).withColumn("o", F.explode(F.when(long, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0)))))
+    return out.withColumn("i", F.when(long, F.least("b", "o")).otherwise(0)).withColumn("j", F.when(long, F.greatest("b", "o")).otherwise(0)).drop("mb", "vb", "o")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
@@ -90,8 +133,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_column: str = "
     edges, degrees = [], []
     for dim in [r.d for r in reps.select(F.size("v").alias("d")).distinct().collect()]:
         part = reps.filter(F.size("v") == dim)
-        pivots = pick_pivots(part, int(min(MOST_PIVOTS, max(LEAST_PIVOTS, part.count() // VECTORS_PER_PIVOT))))
-        found = _links(part, spark.sparkContext.broadcast(pivots), threshold)
+        n = part.count()
+        pivots = pick_pivots(part, int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n // VECTORS_PER_PIVOT))))
+        found = _links(part, spark.sparkContext.broadcast(pivots), threshold, int(min(MOST_BLOCK, max(LEAST_BLOCK, n // BLOCKS))))
         edges.append(found.filter("other is not null").select("rep", "other"))
         degrees.append(found.filter("other is null").select("rep", "links"))
     if not edges:
@@ -109,44 +153,49 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_column: str = "
     return out.select(F.col("id").alias(id_column), F.when(own, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(reps: DataFrame, pivots, threshold: float) -> DataFrame:
+def _links(reps: DataFrame, pivots, threshold: float, block: int) -> DataFrame:
     """(rep, other, links): rows with `other` are the links of a forest, rows without carry the number of vectors linked to rep that one pair of blocks found."""
 
     def describe(batches):
-        p = pivots.value
-        m = min(NEAREST, len(p))
         for b in batches:
-            near = unit(matrix(b.column("v"))) @ p.T
-            top = np.argpartition(-near, m - 1, axis=1)[:, :m] if len(near) else np.zeros((0, m), np.int64)
-            order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-            top = np.take_along_axis(top, order, 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("size"), b.column("label"), b.column("v"), pa.FixedSizeListArray.from_arrays(pa.array(top.ravel()), m).cast(pa.list_(pa.int32()))], names=["rep", "size", "label", "v", "pivots"])
+            home, posted = lists_of(unit(matrix(b.column("v"))), pivots.value, threshold) if len(b) else (np.zeros(0, np.int64), np.zeros((0, 1), bool))
+            ends = np.append(0, posted.sum(1).cumsum())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(posted)[1], pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("size"), b.column("label"), b.column("v"), pa.array(home, pa.int32()), lists], names=["rep", "size", "label", "v", "home", "pivots"])
 
-    described = stored(reps.select("rep", "size", "label", "v").mapInArrow(describe, "rep long, size long, label string, v array<double>, pivots array<int>"), "described")
-    posted = described.withColumn("pivot", F.explode("pivots"))
-    pairs = spread(posted, ["label", "pivot"], "rep", BLOCK, "pivot-lists")
+    described = stored(reps.select("rep", "size", "label", "v").mapInArrow(describe, "rep long, size long, label string, v array<double>, home int, pivots array<int>"), "described")
+    posted = described.withColumn("pivot", F.explode("pivots")).withColumn("member", F.col("home") == F.col("pivot")).drop("pivots", "home")
+    pairs = spread(posted, block, "pivot-lists")
 
     def compare(key, t: pa.Table) -> pa.Table:
-        pivot, i, j = (x.as_py() for x in key[1:])
-        rep, size, block = (t.column(c).to_numpy() for c in ("rep", "size", "b"))
-        v, near = unit(matrix(t.column("v").combine_chunks())), matrix(t.column("pivots").combine_chunks())
-        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        known = np.unique(near)
-        has = np.zeros((len(near), len(known)), np.float32)
-        has[np.arange(len(near))[:, None], np.searchsorted(known, near)] = 1
-        shared = has[rows] @ has[cols].T
+        i, j = (x.as_py() for x in key[2:])
+        rep, size, at, member = (t.column(c).to_numpy() for c in ("rep", "size", "b", "member"))
+        v = unit(matrix(t.column("v").combine_chunks()))
+        links, a, b = np.zeros(len(rep), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def meet(rows, cols, same):
+            nonlocal a, b
+            for k in range(0, len(rows), STRIP):
+                near = v[rows[k : k + STRIP]] @ v[cols].T >= threshold
+                if same:
+                    near &= np.arange(len(cols)) > np.arange(k, k + len(near))[:, None]
+                x, y = np.nonzero(near)
+                if len(x):
+                    x, y = rows[k + x], cols[y]
+                    links[:] += np.bincount(x, size[y], len(rep)).astype(np.int64) + np.bincount(y, size[x], len(rep)).astype(np.int64)
+                    new = forest(rep[x], rep[y])
+                    a, b = np.concatenate([a, new[0]]), np.concatenate([b, new[1]])
+
+        first, second = np.flatnonzero(at == i), np.flatnonzero(at == j)
         if i == j:
-            shared = np.triu(shared, 1)
-        x, y = np.nonzero(shared >= min(MIN_SHARED, near.shape[1]))
-        x, y = rows[x], cols[y]
-        good = np.einsum("ij,ij->i", v[x], v[y]) >= threshold
-        x, y = x[good], y[good]
-        # a pair met in several lists counts in that of its smallest shared pivot
-        lowest = np.array([known[k] for k in ((has[x] * has[y]) > 0).argmax(1)], np.int64) if len(x) else np.zeros(0, np.int64)
-        x, y = x[lowest == pivot], y[lowest == pivot]
-        links = np.bincount(x, size[y], len(rep)) + np.bincount(y, size[x], len(rep))
+            first = second = np.flatnonzero(member & (at == i))
+            meet(first, first, True)
+            meet(first, np.flatnonzero(~member), False)  # those of a short list
+        else:
+            meet(first, second, False)
+        if len(a):
+            a, b = forest(a, b)
         some = np.flatnonzero(links)
-        a, b = forest(rep[x], rep[y])
-        return pa.table({"rep": np.concatenate([a, rep[some]]), "other": pa.array([*b.tolist(), *[None] * len(some)], pa.int64()), "links": np.concatenate([np.zeros(len(a), np.int64), links[some].astype(np.int64)])})
+        return pa.table({"rep": np.concatenate([a, rep[some]]), "other": pa.array([*b.tolist(), *[None] * len(some)], pa.int64()), "links": np.concatenate([np.zeros(len(a), np.int64), links[some]])})
 
-    return stored(pairs.select("label", "pivot", "i", "j", "rep", "size", "b", "v", "pivots").groupBy("label", "pivot", "i", "j").applyInArrow(lambda key, t: compare(key, t), "rep long, other long, links long"), "vector-links")
+    return stored(pairs.select("label", "pivot", "i", "j", "rep", "size", "b", "member", "v").groupBy("label", "pivot", "i", "j").applyInArrow(lambda key, t: compare(key, t), "rep long, other long, links long"), "vector-links")

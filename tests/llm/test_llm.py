@@ -91,6 +91,23 @@ def test_near_vectors(spark):
     assert all(found[i].n_links == 0 and found[i].kept for i in range(900, 906))
 
 
+def test_near_vectors_of_a_dense_group(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    noise = lambda n: r.normal(size=(n, 64)) * (0.05 / 0.95 / 64) ** 0.5
+    hub = r.normal(size=(1, 64))
+    hub /= np.linalg.norm(hub)
+    rest = r.normal(size=(1300, 64))
+    x = np.concatenate([hub + noise(700), rest / np.linalg.norm(rest, axis=1, keepdims=True)])
+    x[700:800] = x[800:900] + noise(100)
+    x = x[r.permutation(len(x))]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    monkeypatch.setattr(embeddings, "LEAST_BLOCK", 100)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = {q.vec_id: q.n_links for q in embeddings.near_vectors(rows).collect()}
+    assert near.sum() > 450_000 and [found[i] for i in range(len(x))] == (near.sum(1) - 1).tolist()
+
+
 def test_inner_product(spark):
     x = np.random.default_rng(1).normal(size=(300, 16))
     x[7] = x[8]
