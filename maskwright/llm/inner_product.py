@@ -3,7 +3,9 @@
 Codes of four bits for each pair of dimensions are chosen so that a vector's
 residual parallel to it costs more than the rest: that part moves the large
 inner products. Queries scan lookup tables over the codes of all candidates,
-block by block, and the best of each block are ranked by exact inner products.
+block by block. The best by code give a score that the nearest must reach, and
+all candidates whose code allows it, by the length of its residual, are ranked
+by exact inner products, so none of the nearest is lost.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ WIDTH, WORDS = 2, 16
 CARE = 0.2
 #: Vectors that codebooks are fitted on, at most; rounds of fitting; passes over the subspaces when encoding.
 SAMPLE, ROUNDS, PASSES = 8192, 8, 2
-#: Queries and candidates of a block; candidates of a block that go on to exact ranking (more where they tie).
+#: Queries and candidates of a block; candidates of a block whose exact scores set what the others must reach (no cap).
 QUERY_BLOCK, BLOCK, RERANK = 4096, 8192, 160
+#: Queries of a block that are scanned at a time, and pairs that are scored at a time.
+SCANNED, SCORED = 256, 100_000
 
 
 class Codebooks:
@@ -76,6 +80,12 @@ class Codebooks:
         codes = np.pad(codes, ((0, 0), (0, self.parts % 2))).astype(np.uint8)
         return codes[:, ::2] << 4 | codes[:, 1::2]
 
+    def residuals(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what the codes leave of each vector."""
+        halves = np.stack([codes >> 4, codes & 15], 2).reshape(len(codes), -1)[:, : self.parts]
+        rest = self._padded(x) - self.words[np.arange(self.parts), halves]
+        return np.sqrt((rest * rest).sum((1, 2)))
+
     def scan(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Approximate inner products of all queries with all coded vectors, summed up from tables."""
         table = np.einsum("qmd,mwd->qmw", self._padded(queries), self.words)
@@ -90,14 +100,23 @@ class Codebooks:
 def search_block(books: Codebooks, ids: np.ndarray, q: np.ndarray, cand: np.ndarray, codes: np.ndarray, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score): the `top` best of a block for each query, by exact score, ties to smaller ids."""
     found = []
-    for at in range(0, len(ids), 256):
-        mine, v = ids[at : at + 256], q[at : at + 256]
-        near = books.scan(v, codes)
-        near[mine[:, None] == cand] = -np.inf
-        take = min(RERANK, len(cand))
-        least = np.partition(near, len(cand) - take, axis=1)[:, len(cand) - take]
-        a, b = np.nonzero((near >= least[:, None]) & (near > -np.inf))
-        score = np.einsum("ij,ij->i", v[a], x[b])
+    left, longest = books.residuals(x, codes), np.sqrt((x * x).sum(1))
+    for at in range(0, len(ids), SCANNED):
+        mine, v = ids[at : at + SCANNED], q[at : at + SCANNED]
+        own = mine[:, None] == cand
+        size = np.sqrt((v * v).sum(1))[:, None]
+        near = np.where(own, -np.inf, books.scan(v, codes))
+        take = min(max(RERANK, top + 1), len(cand))
+        first = np.argpartition(-near, take - 1, axis=1)[:, :take]
+        exact = np.where(own, -np.inf, v @ x.T)
+        # tables are summed in single precision, and products of matrices round by their place
+        slack = 1e-4 * size * (longest + left)
+        least = np.partition(np.take_along_axis(exact, first, 1), take - min(top, take), axis=1)[:, take - min(top, take)]
+        able = near + size * left + slack >= least[:, None]
+        exact[~able] = -np.inf
+        least = np.partition(exact, len(cand) - min(top, len(cand)), axis=1)[:, len(cand) - min(top, len(cand))]
+        a, b = np.nonzero((exact >= least[:, None] - 1e-12 * size * longest) & (exact > -np.inf))
+        score = np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", v[a[k : k + SCORED]], x[b[k : k + SCORED]]) for k in range(0, len(a), SCORED)])
         order = np.lexsort((cand[b], -score, a))
         a, b, score = a[order], b[order], score[order]
         place = np.arange(len(a)) - np.searchsorted(a, a)

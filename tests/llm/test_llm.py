@@ -124,6 +124,22 @@ def test_inner_product(spark):
     assert hits >= 0.9 * 20 * 15
 
 
+def test_inner_product_in_a_dense_group():
+    r = np.random.default_rng(6)
+    hub, rest = r.normal(size=(1, 64)), r.normal(size=(2700, 64))
+    hub /= np.linalg.norm(hub)
+    x = np.concatenate([hub + r.normal(size=(1300, 64)) * (0.05 / 0.95 / 64) ** 0.5, rest / np.linalg.norm(rest, axis=1, keepdims=True)])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[r.permutation(4000)]
+    x[11] = x[12]
+    books = inner_product.Codebooks(x[:1000])
+    asked, ids = np.arange(0, 4000, 40), np.arange(4000)
+    a, b, score = inner_product.search_block(books, asked, x[asked], ids, books.encode(x), x, 20)
+    for q in asked:
+        s = np.einsum("ij,ij->i", np.repeat(x[q : q + 1], 4000, 0), x)
+        s[q] = -np.inf
+        assert b[a == q].tolist() == np.lexsort((ids, -s))[:20].tolist() and np.allclose(score[a == q], s[b[a == q]])
+
+
 def test_near_documents(spark):
     base = [words(80, i) for i in range(12)]
     texts = [*ODD, *base, *base[:4], *(b.rsplit(" ", 4)[0] + " tail end of it" for b in base[:6]), base[0].upper()]
