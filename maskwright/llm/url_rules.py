@@ -36,7 +36,7 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     """Distinct tokens of a url: scheme, host labels by level, path segments by place (numbers as #), and whether it has a query, its keys and a fragment."""
     labels = F.reverse(F.split(host, r"\."))
     levels = F.transform(labels, lambda x, i: F.concat(F.lit("host"), i.cast("string"), F.lit("="), x))
-    segments = F.transform(F.slice(F.split(path, "/"), 2, 8), lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit("="), F.regexp_replace(x, r"\d+", "#")))
+    segments = F.transform(F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/"))), lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit("="), F.regexp_replace(x, r"\d+", "#")))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key="), F.split(x, "=").getItem(0)))
     flags = F.array(F.concat(F.lit("scheme="), F.lower(F.regexp_extract(url, r"^([^:]*)://", 1))), F.when(url.contains("#"), F.lit("fragment")))
@@ -55,18 +55,30 @@ def transactions(pages: DataFrame) -> DataFrame:
 def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.2) -> DataFrame:
     """(antecedent, confidence, lift, support) of the association rules `tokens -> bad`, pruned.
 
-    The support is a share of all labelled pages, so at most 1 / min_support rules share no page and the number of rules doesn't grow with the input. A rule goes if a more general one is at least as confident. Labels met twice count once for each page; none, or no page labelled, gives no rules.
+    Tokens of the same labelled pages, such as the segments of a shared folder, are mined as one, and a rule of such tokens then stands for one rule for each of them: the same rules as of all tokens, without all their subsets. The support is a share of all labelled pages, so at most 1 / min_support rules share no page and the number of rules doesn't grow with the input. A rule goes if a more general one is at least as confident. Labels met twice count once for each page; none, or no page labelled, gives no rules.
     """
     seen = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")).alias("bad"))
-    baskets = stored(pages.join(seen, "doc_id").select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "baskets")
+    baskets = stored(pages.join(seen, "doc_id").select(F.monotonically_increasing_id().alias("basket"), F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "baskets")
     if baskets.filter(F.array_contains("items", BAD)).isEmpty():
         return pages.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, lift double, support double")
-    rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
+    same = stored(_same_pages(baskets, min_support * baskets.count()), "same-tokens")
+    spare = same.agg(F.flatten(F.collect_list(F.slice("tokens", F.lit(2), F.size("tokens")))).alias("spare"))
+    merged = baskets.crossJoin(spare).select(F.array_except("items", "spare").alias("items"))
+    rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(merged).associationRules
     rules = rules.filter((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support")
     rules = stored(rules, "rules")
     general = rules.select("antecedent", "confidence", F.explode("antecedent").alias("item")).select("item", F.col("antecedent").alias("less"), F.col("confidence").alias("sure"))
     beaten = rules.select("antecedent", "confidence", F.explode("antecedent").alias("item")).join(general, "item").filter((F.size("less") < F.size("antecedent")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "antecedent")) == 0)).select("antecedent").distinct()
-    return stored(rules.join(beaten, "antecedent", "left_anti"), "rules")
+    kept = rules.join(beaten, "antecedent", "left_anti").crossJoin(same.agg(F.map_from_entries(F.collect_list(F.struct(F.element_at("tokens", 1), "tokens"))).alias("same")))
+    ways = F.aggregate("antecedent", F.array(F.array().cast("array<string>")), lambda ways, x: F.flatten(F.transform(ways, lambda w: F.transform(F.coalesce(F.try_element_at("same", x), F.array(x)), lambda y: F.concat(w, F.array(y))))))
+    return stored(kept.select(F.explode(ways).alias("antecedent"), "confidence", "lift", "support").withColumn("antecedent", F.array_sort("antecedent")), "rules")
+
+
+def _same_pages(baskets: DataFrame, least: float) -> DataFrame:
+    """(tokens): each two or more tokens that exactly the same baskets have, at least `least` of these, sorted."""
+    items = baskets.select("basket", F.explode("items").alias("item")).filter(F.col("item") != BAD)
+    codes = [F.bit_xor(F.xxhash64("basket", F.lit(k))).alias(f"code{k}") for k in (0, 1)]
+    return items.groupBy("item").agg(F.count("*").alias("n"), *codes).filter(F.col("n") >= least).groupBy("n", "code0", "code1").agg(F.array_sort(F.collect_list("item")).alias("tokens")).filter(F.size("tokens") > 1).select("tokens")
 
 
 def judge_pages(pages: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:

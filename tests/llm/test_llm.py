@@ -78,6 +78,16 @@ def test_mined_rules(spark):
     assert all(v == ("block" if i % 4 == 0 else "allow") for i, v in rows.items())
 
 
+def test_mined_rules_of_deep_urls(spark):
+    deep = "/".join(f"s{k}" for k in range(30))
+    pages = spark.createDataFrame([(i, f"http://a.net/{deep}/{'spam/x' if i % 4 == 0 else 'fine/y'}/{i}") for i in range(80)] + [(80, "http://b.net/x"), (81, f"http://b.net/{deep}/other/x")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    rules = {tuple(r.antecedent) for r in url_rules.mine_rules(url_rules.transactions(pages), labels).collect()}
+    assert rules == {("path30=spam",), ("path31=x",)}
+    blocked = {r.page_id for r in url_rules.judge_pages(pages, labels).collect() if r.verdict == "block"}
+    assert blocked == {i for i in range(80) if i % 4 == 0} | {81}
+
+
 def test_near_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(60, 16))
