@@ -32,7 +32,15 @@ def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = diff_lines(_diffs(spark, sf_dir), "doc_id", exclude=["docs/*1.txt"])
+    """Without the files of a glob."""
+    return _added(diff_lines(_diffs(spark, sf_dir), "doc_id", exclude=["docs/*1.txt"]))
+
+
+def diff_all_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _added(diff_lines(_diffs(spark, sf_dir), "doc_id"))
+
+
+def _added(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "file").agg(F.max("line").alias("n_lines"), F.sum(F.octet_length("content")).alias("n_bytes"))
 
 
@@ -109,7 +117,7 @@ _SHOWN = "CASE WHEN length(v) <= 4 THEN repeat('*', length(v)) ELSE left(v, 2) |
 
 
 def queries() -> dict:
-    plain = (diff_added_lines, diff_findings, scan_mails, json_masking, prompt_guard, allow_list_exact, allow_list_regex, threshold_filter, mails_by_role, parity, doc_stats, mails_by_hour)
+    plain = (diff_added_lines, diff_all_added_lines, diff_findings, scan_mails, json_masking, prompt_guard, allow_list_exact, allow_list_regex, threshold_filter, mails_by_role, parity, doc_stats, mails_by_hour)
     return {f.__name__: f for f in plain} | {f"anonymize_{k}": _anonymized(op) for k, (op, _) in _OPERATORS.items()}
 
 
@@ -125,6 +133,10 @@ def oracle_sql() -> dict[str, str]:
         WITH l AS ({lined})
         SELECT doc_id, 'docs/' || doc_id || '.txt' AS file, CAST(max(line) AS INT) AS n_lines, CAST(sum(octet_length(encode(regexp_replace(c, '\r\z', '')))) AS BIGINT) AS n_bytes
         FROM l WHERE doc_id % 10 <> 1 GROUP BY doc_id""",
+        "diff_all_added_lines": rf"""
+        WITH l AS ({lined})
+        SELECT doc_id, 'docs/' || doc_id || '.txt' AS file, CAST(max(line) AS INT) AS n_lines, CAST(sum(octet_length(encode(regexp_replace(c, '\r\z', '')))) AS BIGINT) AS n_bytes
+        FROM l GROUP BY doc_id""",
         "diff_findings": by_line,
         "scan_mails": by_line,
         "json_masking": f"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '{_RE2}')) > 0 THEN 'EMAIL_ADDRESS ×' || len(regexp_extract_all(text, '{_RE2}')) ELSE '' END AS summary FROM documents",

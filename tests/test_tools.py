@@ -160,3 +160,11 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "allow").write_text("# known\n jane@example.com \n")
     assert cli.main(["scan", "--entities", "EMAIL_ADDRESS", "--allow-file", str(tmp_path / "allow"), str(tmp_path / "a.txt")], spark) == 0
     assert cli.main(["scan", str(tmp_path / "none")], spark) == 2 and cli.main(["version"], spark) == 0
+
+
+def test_diff_of_all_documents(spark, tmp_path):
+    from maskwright.plans import tools
+
+    spark.createDataFrame([(k, "a\nbc") for k in range(25)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = tools.queries()["diff_all_added_lines"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_bytes) for r in rows) == [(k, 2, 3) for k in range(25)]
