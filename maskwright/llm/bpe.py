@@ -4,7 +4,8 @@ The words of many texts are cut into symbols that lie in one flat array. Each
 round looks up all neighbouring symbol pairs by binary search among the sorted
 pair keys of the merge list, takes in every word its pair of lowest rank, and
 merges it everywhere in that word. Words are encoded once and kept in a cache
-of bounded size, so a text costs one lookup for each of its words.
+bounded in bytes, so a text costs one lookup for each of its words; where the
+cache is full, the words met most often stay.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import configure, per_worker, utf8
+from maskwright.llm.shingles import in_chunks
 
 #: The patterns by which the two public vocabularies cut texts into words.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Distinct words that a worker keeps encoded, and bytes of text that it handles at a time.
-CACHE_WORDS, CHUNK_BYTES = 1_000_000, 1 << 21
+#: Bytes that a worker's table of encoded words may take, what an entry takes besides its key, and bytes of text that are handled at a time.
+CACHE_BYTES, ENTRY_BYTES, CHUNK_BYTES = 128 << 20, 110, 1 << 21
 
 
 def byte_letters() -> list[str]:
@@ -54,6 +57,9 @@ class Table(dict):
     def __init__(self):
         self.new: list[str] = []
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+        self.odd = np.zeros(0, bool)  # texts with such a stretch must be cut as a whole
+        self.weight = 0
 
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
@@ -61,15 +67,38 @@ class Table(dict):
         return n
 
     def take(self) -> list[str]:
+        """The keys numbered since the last call; room for what is kept of them is made."""
         new, self.new = self.new, []
+        self.weight += sum(map(sys.getsizeof, new)) + ENTRY_BYTES * len(new)
+        more = np.zeros(len(new), np.int64)
+        self.start, self.length, self.used = (np.concatenate([x, more]) for x in (self.start, self.length, self.used))
+        self.odd = np.concatenate([self.odd, more > 0])
         return new
 
-    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """The ids of the keys taken, one after the other."""
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
+    def put(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the keys of these numbers, one after the other."""
+        self.start[numbers] = len(self.flat) + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
 
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the keys of these numbers, one after the other, and how many each has."""
+        size = self.length[numbers]
+        return ragged(self.flat, self.start[numbers], size), size
+
+    def shrink(self, limit: int) -> None:
+        """Keeps the keys used most often, up to half of `limit` bytes."""
+        keys = list(self)
+        size = np.fromiter(map(sys.getsizeof, keys), np.int64, len(keys)) + ENTRY_BYTES
+        order = np.argsort(-self.used, kind="stable")
+        kept = np.sort(order[np.cumsum(size[order]) <= limit // 2])
+        self.clear()
+        self.update(zip(map(keys.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        self.flat, self.length = self.ids(kept)
+        self.used, self.odd = self.used[kept] // 2, self.odd[kept]
+        self.start = np.cumsum(self.length) - self.length
+        self.weight = int(size[kept].sum())
+
 
 class Bpe:
     """Encodes and decodes as the tokenizers library does with the vocabulary file at path, without added special tokens."""
@@ -94,16 +123,13 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         back = {c: b for b, c in enumerate(letters)}
-        self.bytes: list[bytes] = [b""] * (max([self.size - 1, *self.special.values()]) + 1)
+        stands: list[bytes] = [b""] * (max([self.size - 1, *self.special.values()]) + 1)
         for token, i in vocab.items():
-            self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+            stands[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for token, i in self.special.items():
-            self.bytes[i] = token.encode()
-        self._reset()
-
-    def _reset(self) -> None:
-        self.stretches, self.pieces = Table(), Table()
-        self.odd = np.zeros(0, bool)  # by stretch: white space at its edge, so its text must be cut as a whole
+            stands[i] = token.encode()
+        self.bytes = pa.array(stands, pa.large_binary())
+        self.table = Table()
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one flat array, and how many each has."""
@@ -157,28 +183,28 @@ class Bpe:
         """The words of a folded text without special tokens, as the vocabulary's pattern cuts it."""
         return (self.ascii if text.isascii() else self.find)(text)
 
-    def _parts(self, text: str) -> list[str]:
-        """Keys of the cache whose ids make up the text: stretches between spaces, so that the pattern runs over new ones alone.
+    def _parts(self, text: str) -> list[str] | None:
+        """The stretches between single spaces, as keys of the table, so that the pattern runs over new ones alone; None if the text must be cut as a whole, as NUL or a special token is in it.
 
-        A key that begins with NUL and S is a special token, with NUL and T a text to be cut as a whole; NUL and F marks the first stretch, which has no space before it.
+        NUL and F marks the first stretch, which has no space before it.
         """
-        if not any(s in text for s in self.special):
-            return self._between_spaces(text)
-        return list(chain.from_iterable(["\0S" + x] if x in self.special else self._between_spaces(x) for x in self.cut.split(text) if x))
-
-    def _between_spaces(self, text: str) -> list[str]:
-        text = self.fold(text)
-        if "\0" in text:
-            return ["\0T" + text]
-        parts = text.split(" ")
+        if "\0" in text or any(s in text for s in self.special):
+            return None
+        parts = self.fold(text).split(" ")
         if not self.suffix:
             parts[0] = "\0F" + parts[0]
         return parts
 
+    def _keys(self, words: list[str]) -> list[str]:
+        """The keys under which single words lie: their stretch's where a word makes one up, else NUL and P before the word."""
+        if self.suffix:
+            return words
+        return [w[1:] if w[0] == " " and len(w) > 1 and not w[1].isspace() else "\0P" + w for w in words]
+
     def _cut(self, key: str) -> list[str] | None:
-        """The words of a stretch; None if white space at its edge means that its text must be cut as a whole."""
-        if key[:2] == "\0T":
-            return self.words(key[2:])
+        """The words of a key; None if white space at a stretch's edge means that its text must be cut as a whole."""
+        if key[:2] == "\0P":
+            return [key[2:]]
         first = key[:2] == "\0F"
         text = key[2:] if first else key
         space = "" if first or self.suffix else " "
@@ -191,61 +217,56 @@ class Bpe:
         return self.words(space + text)
 
     def _learn(self) -> None:
-        """Encodes the stretches met for the first time: of their words, new ones by merge rounds."""
-        new = self.stretches.take()
+        """Finds the ids of the keys met for the first time: single words by merge rounds, others from those of their words."""
+        table = self.table
+        new = table.take()
         if not new:
             return
-        special = [k[2:] if k[:2] == "\0S" else None for k in new]
-        cut = [() if x else self._cut(k) for k, x in zip(new, special, strict=True)]
-        at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(c for c in cut if c)), np.int64)
-        if words := self.pieces.take():
-            self.pieces.add(*self.merge(words))
-        per = np.array([len(c or ()) for c in cut], np.int64)
-        size = self.pieces.length[at]
-        own = np.diff(np.append(0, np.cumsum(size))[np.append(0, np.cumsum(per))])
-        ids = ragged(self.pieces.flat, self.pieces.start[at], size)
-        if any(special):
-            groups = np.split(ids, np.cumsum(own)[:-1])
-            groups = [[self.special[x]] if x else g for g, x in zip(groups, special, strict=True)]
-            own, ids = np.array([len(g) for g in groups]), np.concatenate(groups)
-        self.stretches.add(ids, own)
-        self.odd = np.append(self.odd, [c is None for c in cut])
+        base, cut = len(table) - len(new), list(map(self._cut, new))
+        long = [k for k, c in enumerate(cut) if c and len(c) > 1]
+        parts = list(map(table.__getitem__, chain.from_iterable(self._keys(cut[k]) for k in long)))
+        cut += map(self._cut, table.take())
+        table.odd[base:] = [c is None for c in cut]
+        single = [k for k, c in enumerate(cut) if c and len(c) == 1]
+        table.put(base + np.array(single, np.int64), *self.merge([cut[k][0] for k in single]))
+        if long:
+            ids, size = table.ids(np.array(parts, np.int64))
+            per = np.cumsum([0] + [len(cut[k]) for k in long])
+            table.put(base + np.array(long, np.int64), ids, np.add.reduceat(size, per[:-1]))
+
+    def _whole(self, text: str) -> np.ndarray:
+        """The ids of a text cut as a whole."""
+        out = []
+        for x in self.cut.split(text) if self.cut else [text]:
+            if x in self.special:
+                out.append(np.array([self.special[x]], np.uint32))
+            elif x:
+                at = np.array(list(map(self.table.__getitem__, self._keys(self.words(self.fold(x))))), np.int64)
+                self._learn()
+                out.append(self.table.ids(at)[0])
+        return np.concatenate([np.zeros(0, np.uint32), *out])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text (unsigned 32-bit)."""
-        if len(self.stretches) > CACHE_WORDS or len(self.pieces) > CACHE_WORDS:
-            self._reset()
-        get, found = self.stretches.__getitem__, []
+        table = self.table
+        if table.weight > CACHE_BYTES:
+            table.shrink(CACHE_BYTES)
+        found = []
         for t in texts:
             parts = self._parts(t)
-            found.append(np.fromiter(map(get, parts), np.int64, len(parts)))
-        self._learn()
-        for n, at in enumerate(found):
-            if self.odd[at].any():
-                found[n] = np.array([get(("\0S" if x in self.special else "\0T") + (x if x in self.special else self.fold(x))) for x in (self.cut.split(texts[n]) if self.cut else [texts[n]])])
+            found.append(None if parts is None else np.fromiter(map(table.__getitem__, parts), np.int64, len(parts)))
         self._learn()
-        return [ragged(self.stretches.flat, self.stretches.start[at], self.stretches.length[at]) if len(at) else np.zeros(0, np.uint32) for at in found]
+        table.used += np.bincount(np.concatenate([np.zeros(0, np.int64), *(at for at in found if at is not None)]), minlength=len(table))
+        return [self._whole(t) if at is None or table.odd[at].any() else table.ids(at)[0] for t, at in zip(texts, found, strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, special tokens included (byte-level vocabularies)."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
-
-
-def chunks(texts: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        return self.bytes.take(pa.array(ids)).buffers()[2].to_pybytes().decode("utf-8", "replace") if len(ids) else ""
 
 
 def encoded(bpe: Bpe, column: pa.Array) -> Iterator[np.ndarray]:
-    """The ids of each UTF-8 text of a column, in order, a bounded number of bytes at a time."""
-    for part in chunks(x.as_py() or b"" for x in column):
+    """The ids of each UTF-8 text of a column, in order, a bounded number of bytes at a time (a longer text goes alone)."""
+    for part in in_chunks([x.as_py() or b"" for x in column], CHUNK_BYTES):
         yield from bpe.encode([t.decode("utf-8", "replace") for t in part])
 
 
@@ -254,30 +275,25 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
 
     Null texts count as empty; null ids and repeated rows keep their own rows; other columns are not read.
     """
-    configure(docs.sparkSession)
-    return _mapped(docs, vocabulary, id_column, text_column, lambda bpe, ids: {"ids": ids.astype("<u4").tobytes(), "decoded": bpe.decode(ids).encode()}, "ids binary, decoded binary", ["ids", "decoded"])
+    return _mapped(docs, vocabulary, id_column, text_column, lambda ids, text: (ids.tobytes(), text), {"ids": pa.binary(), "decoded": pa.binary()})
 
 
 def token_digests(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), from the same encoder and decoder without moving ids and texts."""
-    configure(docs.sparkSession)
-
-    def digests(bpe: Bpe, ids: np.ndarray) -> dict:
-        return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(bpe.decode(ids).encode()).hexdigest()}
-
-    return _mapped(docs, vocabulary, id_column, text_column, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"])
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), from the same encoder and decoder without moving ids and texts. Odd rows count as in encode_documents."""
+    return _mapped(docs, vocabulary, id_column, text_column, lambda ids, text: (len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()), {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()})
 
 
-def _mapped(docs, vocabulary, id_column, text_column, each, columns: str, names: list[str]) -> DataFrame:
+def _mapped(docs: DataFrame, vocabulary: str, id_column: str, text_column: str, each, kinds: dict[str, pa.DataType]) -> DataFrame:
+    """Rows of each(ids, decoded text in UTF-8), with the ids as little-endian unsigned 32-bit integers."""
+    configure(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
         bpe = per_worker(("bpe", vocabulary), lambda: Bpe(vocabulary))
         for b in batches:
-            rows = [each(bpe, ids) for ids in encoded(bpe, b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[n] for r in rows], _ARROW[c]) for n, c in zip(names, (x.split()[1] for x in columns.split(", ")), strict=True))], names=[id_column, *names])
-
-    return docs.select(id_column, utf8(text_column).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, {columns}")
-
+            rows = [each(ids.astype("<u4"), bpe.decode(ids).encode()) for ids in encoded(bpe, b.column(1))]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(columns, kinds.values(), strict=True))], names=[id_column, *kinds])
 
-_ARROW = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+    names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    return docs.select(id_column, utf8(text_column).alias("text")).mapInArrow(run, ", ".join([f"`{id_column}` {kind}", *(f"{c} {names[t]}" for c, t in kinds.items())]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import configure, remainder, stored, utf8
+from maskwright.llm.common import configure, mapped, remainder, stored, utf8
 
 #: Words with numbers of their own (bounds what is broadcast), those that are clustered, those whose exchange runs to its end.
 KNOWN, CLUSTERED, CORE = 60_000, 16_384, 2_048
@@ -57,7 +57,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 held.clear()
         yield out()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return mapped(texts, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -130,7 +130,7 @@ def numbered(docs: DataFrame, words, id_column: str, text_column: str, held_out)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(often, pa.list_(pa.int64()))], names=["row", "id", "held_out", "n", "ids", "rare", "often"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), held_out.alias("held_out"), utf8(text_column).alias("text"))
-    return rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, n long, ids binary, rare array<binary>, often array<long>")
+    return mapped(rows, run, f"row long, id {kind}, held_out boolean, n long, ids binary, rare array<binary>, often array<long>")
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -151,7 +151,7 @@ def summed(texts: DataFrame, keys_of, size: int) -> DataFrame:
             part = some[at : at + 500_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["key", "n"])
 
-    return texts.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return mapped(texts.select("ids"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def dense(counts: DataFrame, shape: tuple) -> np.ndarray:
@@ -236,7 +236,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             u = np.add.reduceat(base[x], at) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(known_.astype(np.int64)), pa.array(u.astype(np.float64)), pa.array(s.astype(np.float64))], names=["row", "held_out", "n", "known", "base", "score"])
 
-    common = number.select("row", "held_out", "n", "ids").mapInArrow(run, "row long, held_out boolean, n long, known long, base double, score double").select("row", "known", "base", "score")
+    common = mapped(number.select("row", "held_out", "n", "ids"), run, "row long, held_out boolean, n long, known long, base double, score double").select("row", "known", "base", "score")
     rare = number.select("row", F.explode(F.arrays_zip("rare", "often")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.often").alias("times"))
     few = counts.select("word", F.col("n").alias("c"))
     seen = rare.join(few, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))

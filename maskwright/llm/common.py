@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import sys
 import tempfile
 import types
@@ -21,9 +25,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one is made only where the setting is absent."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where the setting is absent, a local one is made if Spark runs in one process; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="maskwright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -37,7 +43,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: the lineage ends there, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            jvm, at = df.sparkSession._jvm, df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,14 +65,38 @@ def remainder(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def _held() -> dict:
+    return vars(sys.modules.setdefault("_maskwright_held", types.ModuleType("_maskwright_held"))).setdefault("held", {})
+
+
 def per_worker(key, make):
-    """What make() returns, made once in a Python worker and kept for its later tasks."""
-    held = vars(sys.modules.setdefault("_maskwright_held", types.ModuleType("_maskwright_held")))
+    """What make() returns, made once in a Python worker and kept until the worker makes or runs something else."""
+    held = _held()
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]
 
 
+def release() -> None:
+    """Frees what per_worker keeps."""
+    if _held():
+        _held().clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in workers that have first freed what earlier stages kept in them."""
+
+    def alone(batches):
+        release()
+        return run(batches)
+
+    return df.mapInArrow(alone, schema)
+
+
 def utf8(column: str) -> Column:
     """The text as bytes, for Arrow without decoding; null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

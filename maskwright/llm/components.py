@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import stored
+from maskwright.llm.common import discard, mapped, stored
 
 
 #: Links that a task joins to stars at a time.
@@ -58,7 +58,7 @@ def _local_stars(links: DataFrame) -> DataFrame:
         if held:
             yield joined()
 
-    return links.mapInArrow(run, "u long, v long")
+    return mapped(links, run, "u long, v long")
 
 
 def _minima(pairs: DataFrame, name: str) -> DataFrame:
@@ -83,14 +83,18 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_minima(both, "cc-min"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "cc-large")
+        least = _minima(both, "cc-min")
+        large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        discard(e, least)
         low = _minima(large, "cc-min")
         hub = low.select("u", F.col("m").alias("v"))
         rest = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(hub.unionByName(rest).distinct(), "cc")
+        discard(large, low)
         now = _digest(e)
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

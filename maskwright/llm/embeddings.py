@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import configure, stored
+from maskwright.llm.common import configure, mapped, stored
 from maskwright.llm.components import connected_components
 
 #: Vectors for each pivot, and the least and most of these (the most bounds what is broadcast); sampled vectors for each pivot.
@@ -163,7 +163,7 @@ def _links(reps: DataFrame, pivots, threshold: float, block: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(posted)[1], pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("size"), b.column("label"), b.column("v"), pa.array(home, pa.int32()), lists], names=["rep", "size", "label", "v", "home", "pivots"])
 
-    described = stored(reps.select("rep", "size", "label", "v").mapInArrow(describe, "rep long, size long, label string, v array<double>, home int, pivots array<int>"), "described")
+    described = stored(mapped(reps.select("rep", "size", "label", "v"), describe, "rep long, size long, label string, v array<double>, home int, pivots array<int>"), "described")
     posted = described.withColumn("pivot", F.explode("pivots")).withColumn("member", F.col("home") == F.col("pivot")).drop("pivots", "home")
     pairs = spread(posted, block, "pivot-lists")
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import configure, stored
+from maskwright.llm.common import configure, mapped, stored
 from maskwright.llm.embeddings import matrix, usable
 
 #: Dimensions of a subspace and its codewords.
@@ -150,7 +150,7 @@ def _search(part: DataFrame, books: Codebooks, top: int, every: int) -> DataFram
             codes = books.encode(matrix(b.column("v")))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "v", "codes"])
 
-    coded = stored(part.mapInArrow(encode, "id long, v array<double>, codes binary"), "coded")
+    coded = stored(mapped(part, encode, "id long, v array<double>, codes binary"), "coded")
     n, queries = coded.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1))).first()
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-queries // QUERY_BLOCK))
     part_of = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import configure, stored, utf8
+from maskwright.llm.common import configure, mapped, stored, utf8
 from maskwright.llm.components import connected_components
 from maskwright.llm.shingles import in_chunks, jaccard_at_least, shingle_sets
 
@@ -68,7 +68,7 @@ def describe(docs: DataFrame, words: int, id_column: str, text_column: str) -> D
                     sig.append(next(rows).tobytes() if len(v) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(x, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "s", "x", "signature"])
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text")).mapInArrow(run, "id long, n long, s long, x long, signature binary")
+    return mapped(docs.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text")), run, "id long, n long, s long, x long, signature binary")
 
 
 def plant(reps: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def plant(reps: DataFrame) -> DataFrame:
                     deep = deep << np.uint64(16) | (wide[:, v] & np.uint64(0xFFFF))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(deep.view(np.int64)), b.column(0), codes], names=["key", "deep", "rep", "code"])
 
-    return reps.select("rep", "signature").mapInArrow(run, "key long, deep long, rep long, code binary")
+    return mapped(reps.select("rep", "signature"), run, "key long, deep long, rep long, code binary")
 
 
 def neighbours(forest: DataFrame, least: int) -> DataFrame:
@@ -117,7 +117,7 @@ def neighbours(forest: DataFrame, least: int) -> DataFrame:
             key, rep, code = key[-REACH:], rep[-REACH:], code[-REACH:]
 
     ordered = forest.repartitionByRange("key", "deep", "rep").sortWithinPartitions("key", "deep", "rep")
-    return ordered.select("key", "rep", "code").mapInArrow(run, "a long, b long").filter("a < b")
+    return mapped(ordered.select("key", "rep", "code"), run, "a long, b long").filter("a < b")
 
 
 def links_of(ids: np.ndarray, block: np.ndarray, texts: list[bytes], i: int, j: int, words: int, percent: int) -> list[tuple[int, int]]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.bpe import Bpe, encoded
-from maskwright.llm.common import configure, per_worker, stored, utf8
+from maskwright.llm.common import configure, mapped, per_worker, stored, utf8
 
 #: Tokens of a sequence, of a length class, and the id that ends a document.
 LENGTH, STEP, END_ID = 4096, 32, 2
@@ -118,7 +118,7 @@ class Plan:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, id_column: str, text_column: str) -> DataFrame:
-    """(row, id, n, crc, ids): each text's ids and the end id, as unsigned 16-bit integers; n tokens; the CRC-32 of all as 32-bit integers."""
+    """(row, id, n, crc, ids): each text's ids and the end id, as unsigned 16-bit integers, or 32-bit ones if one of them needs it; n tokens; the CRC-32 of all as 32-bit integers."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
@@ -128,8 +128,8 @@ def tokenized(docs: DataFrame, vocabulary: str, id_column: str, text_column: str
             for ids in encoded(bpe, b.column(2)):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
-                raw.append(ids.astype("<u2").tobytes())
+                crc.append(zlib.crc32(ids))
+                raw.append((ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(raw, pa.binary())], names=["row", "id", "n", "crc", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), utf8(text_column).alias("text"))
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colum
 
     tails = light.select("row", (F.col("n") - tail).alias("begin"), tail.alias("tail")).filter("tail > 0").withColumn("cls", (F.ceil(F.col("tail") / STEP) - 1).cast("long")).withColumn("one", F.lit(1))
     ranked = running(tails, "row", "one", "rank", buckets, ["cls"])
-    placed = stored(ranked.select("row", "begin", "tail", "cls", "rank").mapInArrow(place, "row long, begin long, tail long, sequence long"), "placed")
+    placed = stored(mapped(ranked.select("row", "begin", "tail", "cls", "rank"), place, "row long, begin long, tail long, sequence long"), "placed")
     inside = placed.filter("sequence >= 0")
     order = Window.partitionBy("sequence").orderBy(F.desc("tail"), "row")
     whole = inside.withColumn("offset", F.coalesce(F.sum("tail").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("row", F.col("begin").alias("start"), F.col("tail").alias("length"), "sequence", "offset")
@@ -215,10 +215,10 @@ def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colum
                 for p in parts:
                     own = crc
                     if p["length"] != n:
-                        x = np.frombuffer(raw, "<u2").astype("<u4") if x is None else x
+                        x = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4") if x is None else x
                         own = zlib.crc32(x[p["start"] : p["start"] + p["length"]].tobytes())
                     out.append((i, p["start"], p["length"], own, n, p["sequence"], p["offset"]))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), b.column("id").type), *(pa.array(list(c), pa.int64()) for c in cols[1:])], names=[id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ids.join(pieces, "row").select("id", "n", "crc", "ids", "pieces").mapInArrow(cut, f"`{id_column}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return mapped(ids.join(pieces, "row").select("id", "n", "crc", "ids", "pieces"), cut, f"`{id_column}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

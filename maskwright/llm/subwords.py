@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
-from maskwright.llm.shingles import _BACK, _LETTER, _SPACE, _STEP, _power, in_chunks, mix
+from maskwright.llm.shingles import _BACK, _LETTER, _SPACE, _STEP, _power, mix
 
 #: Lengths of character n-grams; a word's edge counts as a character.
 GRAMS = (3, 4, 5)
+#: Bytes of text that are hashed at a time; each takes about 150 bytes meanwhile.
+PART = 1 << 18
+_LAST_SPACE = re.compile(rb"[\t-\r ]")
 REPEAT = np.uint64(0x5851F42D4C957F2D)
 _EXACT = np.where(_SPACE, np.uint64(1), mix(np.arange(1, 257, dtype=np.uint64)))
 _FOLDED = np.where(_SPACE, np.uint64(1), _LETTER)
@@ -39,12 +45,41 @@ def subword_buckets(texts: list[bytes], buckets: int, fold: bool) -> tuple[np.nd
     return bucket.astype(np.int64), np.searchsorted(begins, place + 1, side="right") - 1
 
 
+def cut_texts(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The texts in groups of about PART bytes, with the number of the text that each part is of. Longer texts are cut at white space where there is some (a repetition across a cut doesn't count), so memory follows PART, not the longest text."""
+    own, held, size = [], [], 0
+    for k, t in enumerate(texts):
+        at = 0
+        while True:
+            end = len(t)
+            if end - at > PART:
+                spaces = [m.start() for m in _LAST_SPACE.finditer(t, at + PART // 2, at + PART)][-1:]
+                end = spaces[0] if spaces else at + PART
+            if held and size + end - at > PART:
+                yield own, held
+                own, held, size = [], [], 0
+            own.append(k)
+            held.append(t[at:end])
+            size += end - at
+            at = end
+            if at >= len(t):
+                break
+    if held:
+        yield own, held
+
+
 def subword_counts(texts: list[bytes], buckets: int, fold: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, counts) of each text."""
-    out = []
-    for part in in_chunks(texts):
-        bucket, own = subword_buckets(part, buckets, fold)
-        key, n = np.unique(own * buckets + bucket, return_counts=True)
+    parts: list[list] = [[] for _ in texts]
+    for own, part in cut_texts(texts):
+        bucket, at = subword_buckets(part, buckets, fold)
+        key, n = np.unique(at * buckets + bucket, return_counts=True)
         cut = np.searchsorted(key, np.arange(len(part) + 1) * buckets)
-        out += [((key[a:b] % buckets).astype(np.int32), n[a:b].astype(np.float32)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return out
+        for k, a, b in zip(own, cut[:-1], cut[1:], strict=True):
+            parts[k].append(((key[a:b] % buckets).astype(np.int32), n[a:b].astype(np.float32)))
+    return [p[0] if len(p) == 1 else _added(p) for p in parts]
+
+
+def _added(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([n for _, n in parts]), len(key)).astype(np.float32)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import configure, remainder, utf8
+from maskwright.llm.common import configure, mapped, remainder, utf8
 from maskwright.llm.subwords import subword_counts
 from maskwright.llm.training import hashed_sample, labels_of
 
@@ -114,7 +114,7 @@ def score_documents(docs: DataFrame, model, threshold: float, id_column: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_column, "held_out", "score", "predicted"])
 
     rows = docs.select(id_column, (remainder(id_column, 5) == 0).alias("held_out"), utf8(text_column).alias("text"))
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, score double, predicted int")
+    return mapped(rows, run, f"`{id_column}` {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_documents(docs: DataFrame, model, threshold: float, keep: int, text_column: str = "text") -> DataFrame:
@@ -129,7 +129,7 @@ def keep_documents(docs: DataFrame, model, threshold: float, keep: int, text_col
             s = np.array(m.score([(t.as_py() or "").encode() for t in b.column(at)]), np.float64)
             yield b.filter(pa.array((s >= threshold).astype(np.int32) == keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

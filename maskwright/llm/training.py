@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import configure, remainder, utf8
+from maskwright.llm.common import configure, mapped, remainder, utf8
 from maskwright.llm.subwords import subword_counts
 
 
@@ -26,10 +26,13 @@ def hashed_sample(docs: DataFrame, chosen: DataFrame, buckets: int, fold_case: b
     def run(batches):
         for b in batches:
             rows = subword_counts([t.as_py() for t in b.column(2)], buckets, fold_case)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k.tobytes() for k, _ in rows], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in rows], pa.binary())], names=["id", "y", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k.tobytes() for k, _ in rows], pa.binary()), pa.array([c.astype(np.uint16 if c.max(initial=0) < 1 << 16 else np.uint32).tobytes() for _, c in rows], pa.binary())], names=["id", "y", "buckets", "counts"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text")).join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "y")), "doc_id").select("doc_id", "y", "text")
-    found = rows.mapInArrow(run, "id long, y int, buckets binary, counts binary").toArrow().sort_by("id")
-    # views of the table's buffers, not copies
-    view = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in found.column(name)]
-    return list(zip(found.column("y").to_pylist(), view("buckets", np.int32), view("counts", np.uint16), strict=True))
+    found = mapped(rows, run, "id long, y int, buckets binary, counts binary").toArrow()
+    # views of the table's buffers, not copies; counts have two bytes, or four where one is large
+    raw = [(np.frombuffer(k.as_buffer(), np.int32), c.as_buffer()) for k, c in zip(found.column("buckets"), found.column("counts"), strict=True)]
+    kinds = {2: np.uint16, 4: np.uint32}
+    views = [(k, np.frombuffer(c, kinds[c.size // len(k)]) if len(k) else np.zeros(0, np.uint16)) for k, c in raw]
+    labels = found.column("y").to_pylist()
+    return [(labels[i], *views[i]) for i in np.argsort(found.column("id").to_numpy(), kind="stable")]

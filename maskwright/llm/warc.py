@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import configure, new_path
+from maskwright.llm.common import configure, mapped, new_path
 
 #: Bytes of a record's block before it is continued in a further segment, and of a chunk of its transfer framing.
 SEGMENT_BYTES, CHUNK_BYTES = 65_536, 8_192
@@ -96,7 +96,7 @@ def write_archives(pages: DataFrame, path: str, dedup_bytes: int = DEDUP_BYTES,
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     rows = plan_revisits(pages, dedup_bytes).withColumn("row", F.monotonically_increasing_id())
-    lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    lines = mapped(rows, run, "value binary").select(F.col("value").cast("string"))
     lines.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -145,7 +145,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield _batch(rows)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, _RECORD)
+    return mapped(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content"), run, _RECORD)
 
 
 _KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
@@ -184,7 +184,7 @@ def reassemble(segments: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["rid", "type", "refers", "digest", "length"])
 
-    return groups.mapInArrow(run, "rid long, type string, refers string, digest string, length long")
+    return mapped(groups, run, "rid long, type string, refers string, digest string, length long")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
