@@ -7,27 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions.arrays import let, running
+
 Operator = Callable[[Column, Column], Column]
 
 
 def mask(ch: str = "*") -> Operator:
+    """One ch for each character."""
     return lambda entity, m: F.repeat(F.lit(ch), F.char_length(m))
 
 
 def mask_keep_last(ch: str, k: int) -> Operator:
+    """One ch for each character but the last k; values of up to k characters stay."""
     k = max(0, k)
     return lambda entity, m: F.when(F.char_length(m) <= k, m).otherwise(F.concat(F.repeat(F.lit(ch), F.char_length(m) - k), F.right(m, F.lit(k)) if k else F.lit("")))
 
 
 def replace() -> Operator:
+    """The type in angle brackets."""
     return lambda entity, m: F.concat(F.lit("<"), entity, F.lit(">"))
 
 
 def replace_with(text: str) -> Operator:
+    """A fixed text."""
     return lambda entity, m: F.lit(text)
 
 
 def redact() -> Operator:
+    """Nothing."""
     return replace_with("")
 
 
@@ -36,37 +43,66 @@ def token() -> Operator:
     return lambda entity, m: F.concat(entity, F.lit("_"), F.substring(F.sha2(F.concat(entity, F.lit("|"), m), 256), 1, 8))
 
 
-def resolve(text: Column, spans: Column) -> Column:
-    """Disjoint pieces: spans are cut to the text, ordered by falling score and length, and each keeps what those before it leave."""
-    size = F.octet_length(text)
-    cut = F.filter(F.transform(spans, lambda x: F.struct(x["entity_type"].alias("entity_type"), F.greatest(x["start"], F.lit(0)).alias("start"), F.least(x["end"], size).alias("end"), x["score"].alias("score"))), lambda x: x["end"] > x["start"])
-    keyed = F.array_sort(F.transform(cut, lambda x: F.struct((-x["score"]).alias("a"), (x["start"] - x["end"]).alias("b"), x["start"].alias("start"), x["end"].alias("end"), x["entity_type"].alias("entity_type"))))
+_PIECE = "struct<start:int,end:int,entity_type:string>"
+
+
+def _greedy(spans: Column) -> Column:
+    """Pieces of a few overlapping spans: by falling score and length, each keeps what those before it leave."""
+    keyed = F.array_sort(F.transform(spans, lambda x: F.struct((-x["score"]).alias("a"), (x["start"] - x["end"]).alias("b"), x["start"].alias("start"), x["end"].alias("end"), x["entity_type"].alias("entity_type"))))
     piece = lambda a, b, t: F.struct(a.alias("start"), b.alias("end"), t.alias("entity_type"))
 
     def left(pieces, k):
         return F.filter(F.flatten(F.transform(pieces, lambda p: F.array(piece(p["start"], F.least(p["end"], k["start"]), p["entity_type"]), piece(F.greatest(p["start"], k["end"]), p["end"], p["entity_type"])))), lambda q: q["end"] > q["start"])
 
-    none = F.array().cast("array<struct<start:int,end:int,entity_type:string>>")
-    fold = F.aggregate(keyed, none, lambda kept, x: F.concat(kept, F.aggregate(kept, F.array(piece(x["start"], x["end"], x["entity_type"])), left)))
-    return F.array_sort(fold)
+    return F.aggregate(keyed, F.array().cast(f"array<{_PIECE}>"), lambda kept, x: F.concat(kept, F.aggregate(kept, F.array(piece(x["start"], x["end"], x["entity_type"])), left)))
+
+
+def resolve(text: Column, spans: Column) -> Column:
+    """Disjoint pieces: spans are cut to the text, ordered by falling score and length, and each keeps what those before it leave.
+
+    Spans are first grouped where they overlap, so time follows their number unless very many overlap in one place.
+    """
+
+    def pieces(ks: Column) -> Column:
+        def cut(ends: Column) -> Column:
+            # a group begins where a span begins at or after the end of all before it
+            begins = F.filter(F.sequence(F.lit(0), F.size(ks) - 1), lambda i: (i == 0) | (F.get(ks, i)["start"] >= F.get(ends, i - 1)))
+            groups = let(begins, lambda b: F.transform(b, lambda i, k: F.slice(ks, i + 1, F.coalesce(F.get(b, k + 1), F.size(ks)) - i)))
+            one = lambda g: F.array(F.struct(*(F.get(g, F.lit(0))[c].alias(c) for c in ("start", "end", "entity_type"))))
+            return F.array_sort(F.flatten(F.transform(groups, lambda g: F.when(F.size(g) == 1, one(g)).otherwise(_greedy(g)))))
+
+        none = F.array().cast(f"array<{_PIECE}>")
+        return F.when(F.size(ks) > 0, let(running(ks, F.lit(-1), "int", lambda far, k: F.greatest(far, k["end"])), cut)).otherwise(none)
+
+    size = F.octet_length(text)
+    cut = F.transform(spans, lambda x: F.struct(F.greatest(x["start"], F.lit(0)).alias("start"), F.least(x["end"], size).alias("end"), x["entity_type"].alias("entity_type"), x["score"].alias("score")))
+    return let(F.array_sort(F.filter(cut, lambda x: x["end"] > x["start"])), pieces)
+
+
+def spliced(raw: Column, pieces: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """The text of the bytes `raw` with put(piece, its text) in place of each of the disjoint, sorted pieces."""
+    part = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
+
+    def join(ps: Column) -> Column:
+        each = F.transform(ps, lambda p, i: F.concat(part(F.coalesce(F.get(ps, i - 1)["end"], F.lit(0)), p["start"]), put(p, part(p["start"], p["end"]))))
+        rest = F.coalesce(F.get(ps, F.size(ps) - 1)["end"], F.lit(0))
+        return F.concat(F.array_join(each, ""), part(rest, F.octet_length(raw)))
+
+    return let(pieces, join)
 
 
 def anonymize(text: Column, spans: Column, default: Operator | None = None, by_entity: dict[str, Operator] | None = None) -> Column:
     """The text with each piece of a span replaced by its type's operator (default: the type in angle brackets). Null texts stay null."""
     default = default or replace()
-    raw = text.cast("binary")
-    slice_ = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
 
-    def put(entity: Column, m: Column) -> Column:
-        out = default(entity, m)
+    def put(piece: Column, m: Column) -> Column:
+        out = default(piece["entity_type"], m)
         for name, op in (by_entity or {}).items():
-            out = F.when(entity == name, (op or default)(entity, m)).otherwise(out)
+            out = F.when(piece["entity_type"] == name, (op or default)(piece["entity_type"], m)).otherwise(out)
         return out
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, p: F.struct(p["end"].alias("at"), F.concat(acc["out"], slice_(acc["at"], p["start"]), put(p["entity_type"], slice_(p["start"], p["end"]))).alias("out"))
-    done = F.aggregate(resolve(text, spans), start, step, lambda acc: F.concat(acc["out"], slice_(acc["at"], F.octet_length(text))))
-    return F.when(text.isNotNull(), done)
+    done = let(text.cast("binary"), lambda raw: spliced(raw, resolve(text, spans), put))
+    return F.when(text.isNotNull(), F.when(F.size(spans) > 0, done).otherwise(text))
 
 
 def display(value: Column) -> Column:

@@ -41,6 +41,22 @@ class Settings:
             raise ValueError(f"unknown cut {self.cut!r}")
 
 
+@dataclass(frozen=True)
+class ArtifactRecognizer:
+    """Takes its spans from a model's artifacts. entities: the types it may give (None: any)."""
+
+    entities: tuple[str, ...] | None = None
+    name: str = "ArtifactRecognizer"
+    language: str = "en"
+
+    def supports(self, entities: list[str] | None) -> bool:
+        return entities is None or (bool(entities) if self.entities is None else any(e in entities for e in self.entities))
+
+    def wanted(self, entities: list[str] | None) -> list[str] | None:
+        own = None if self.entities is None else list(self.entities)
+        return own if entities is None else entities if own is None else [e for e in own if e in entities]
+
+
 def is_word(c: str) -> bool:
     kind = unicodedata.category(c)
     return kind[0] in "LM" or kind == "Nd"

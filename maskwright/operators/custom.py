@@ -10,20 +10,23 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions.regex import BEFORE, REACH
 from maskwright.operators.catalog import Recognizer
 
+_NEW_WORD = regex.compile(r"[^\p{L}\p{Nd}\p{M}][\p{L}\p{Nd}\p{M}]")
+
 #: Seconds a pattern may take on one text; the matches found until then count.
 SECONDS = 1.0
 
 
-def recognizer(entity: str, patterns: list[tuple[float, str, int]], context: list[str] | None = None, name: str | None = None, language: str = "en", validator: Callable[[Column], Column] | str | None = None) -> Recognizer:
-    """A recognizer whose patterns may use look-around and back references. validator: a function from the span's text to a condition, or the name of a built-in check."""
+def recognizer(entity: str, patterns: list[tuple[float, str, int]], context: list[str] | None = None, name: str | None = None, language: str = "en", validator: Callable[[Column], Column] | str | None = None, accepts: Callable[[Column], Column] | None = None) -> Recognizer:
+    """A recognizer whose patterns may use look-around and back references. validator: a function from the span's text to a condition, or the name of a built-in check; accepts: a function from the span, with the text before it, to a condition."""
     for score, pattern, group in patterns:
         if not 0 <= score <= 1:
             raise ValueError(f"score {score} of {entity} isn't between 0 and 1")
         if not 0 <= group <= regex.compile(pattern).groups:
             raise ValueError(f"pattern {pattern!r} of {entity} has no group {group}")
-    return Recognizer(entity, name or f"{entity}Recognizer", language, list(patterns), list(context or []), validator, [], True)
+    return Recognizer(entity, name or f"{entity}Recognizer", language, list(patterns), list(context or []), validator, [], True, accepts)
 
 
 def from_specs(specs: list[dict]) -> list[Recognizer]:
@@ -36,8 +39,16 @@ def from_file(path: str) -> list[Recognizer]:
         return from_specs(json.load(f))
 
 
-def spans_of(pattern: regex.Pattern, group: int, text: str, seconds: float = SECONDS) -> list[tuple[int, int, str]]:
-    """(start, end, text) of all non-empty matches, in bytes."""
+def _before(text: str, a: int) -> str:
+    """What precedes a span: as many characters as hold enough words for its context."""
+    size = BEFORE
+    while size < a and len(_NEW_WORD.findall(text, a - size, a)) < REACH:
+        size *= 4
+    return text[max(0, a - size) : a]
+
+
+def spans_of(pattern: regex.Pattern, group: int, text: str, seconds: float = SECONDS) -> list[tuple[int, int, str, str]]:
+    """(start, end, text, before) of all non-empty matches, in bytes."""
     out, at, size = [], 0, 0
     try:
         for m in pattern.finditer(text, timeout=seconds):
@@ -47,18 +58,18 @@ def spans_of(pattern: regex.Pattern, group: int, text: str, seconds: float = SEC
             # a group inside a look-behind may lie before the last one
             size = size + len(text[at:a].encode()) if a >= at else len(text[:a].encode())
             at = a
-            out.append((size, size + len(text[a:b].encode()), text[a:b]))
+            out.append((size, size + len(text[a:b].encode()), text[a:b], _before(text, a)))
     except TimeoutError:
         pass
     return out
 
 
 def lookaround_matches(pattern: str, group: int, text: Column) -> Column:
-    """array<struct<start, end, text>> as the native scan gives, by an Arrow function."""
+    """array<struct<start, end, text, before>> as the native scan gives, by an Arrow function."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+    @F.pandas_udf("array<struct<start:int,end:int,text:string,before:string>>")
     def run(texts: pd.Series) -> pd.Series:
         compiled = regex.compile(pattern)
-        return pd.Series([[{"start": a, "end": b, "text": t} for a, b, t in spans_of(compiled, group, x or "")] for x in texts])
+        return pd.Series([[{"start": a, "end": b, "text": t, "before": p} for a, b, t, p in spans_of(compiled, group, x or "")] for x in texts])
 
     return run(text)

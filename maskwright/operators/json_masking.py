@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.arrays import let
 from maskwright.operators.analyze import Options, analyze
-from maskwright.operators.anonymize import display
+from maskwright.operators.anonymize import display, spliced
 
 #: Keys whose strings are paths and stay as they are.
 PATH_KEYS = ["filenames", "filePath", "file_path", "path"]
@@ -21,19 +23,17 @@ IGNORE, THRESHOLD = ("DATE_TIME", "URL"), 0.5
 def masked(text: Column, spans: Column) -> Column:
     """struct<masked, types>: the text with the union of all spans in the form of reports, and the type of each span that had a part of its own.
 
-    Spans are taken from the last start to the first, longer ones first, and each is cut where the one after it begins.
+    Spans are taken from the last start to the first, longer ones first, and each is cut where the one after it begins: of spans that begin alike the longest remains.
     """
-    raw = text.cast("binary")
-    part = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
-    keyed = F.array_sort(F.transform(spans, lambda x: F.struct((-x["start"]).alias("a"), (-x["end"]).alias("b"), x["entity_type"].alias("entity_type"))))
-    begin = F.struct(F.octet_length(text).alias("limit"), F.lit("").alias("tail"), F.array().cast("array<string>").alias("types"))
+    keyed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("b"), x["entity_type"].alias("entity_type"))))
+    first = lambda ks: F.filter(ks, lambda k, i: (i == 0) | (k["start"] > F.get(ks, i - 1)["start"]))
+    cut = lambda ks: F.transform(ks, lambda k, i: F.struct(k["start"].alias("start"), F.least(-k["b"], F.coalesce(F.get(ks, i + 1)["start"], -k["b"])).alias("end"), k["entity_type"].alias("entity_type")))
 
-    def step(acc, k):
-        start, end = -k["a"], F.least(-k["b"], acc["limit"])
-        done = F.struct(start.alias("limit"), F.concat(display(part(start, end)), part(end, acc["limit"]), acc["tail"]).alias("tail"), F.concat(acc["types"], F.array(k["entity_type"])).alias("types"))
-        return F.when(start < end, done).otherwise(acc)
+    def put(ps: Column) -> Column:
+        done = let(text.cast("binary"), lambda raw: spliced(raw, ps, lambda p, m: display(m)))
+        return F.struct(done.alias("masked"), F.reverse(F.transform(ps, lambda p: p["entity_type"])).alias("types"))
 
-    return F.aggregate(keyed, begin, step, lambda acc: F.struct(F.concat(part(F.lit(0), acc["limit"]), acc["tail"]).alias("masked"), acc["types"].alias("types")))
+    return F.when(F.size(spans) > 0, let(let(let(keyed, first), cut), put)).otherwise(F.struct(text.alias("masked"), F.array().cast("array<string>").alias("types")))
 
 
 def summarized(types: Column) -> Column:
@@ -79,29 +79,48 @@ def rebuilt(text: str, new: list[str]) -> str:
 def mask_json(df: DataFrame, id_column: str, json_column: str = "json", options: Options | None = None, ignore: tuple[str, ...] = IGNORE) -> DataFrame:
     """(id, json, summary): each JSON value with personal data in its strings masked, and the counts by type.
 
-    Where nothing is found, or the column is null or no JSON, the value stays as it is and the summary is empty.
-    Strings are taken out and put back by Arrow functions and analyzed between natively. Ids must be unique: the strings of a row meet again by id.
+    Where nothing is found, or the column is null or no JSON, the value stays as it is and the summary is empty; ids may repeat or be null.
+    An Arrow function sends a row's value and then its strings, which are analyzed natively in that order, and another puts them together: nothing is shuffled, and a task holds one row's strings at a time.
     """
     kind = df.schema[id_column].dataType.simpleString()
 
     def out(batches):
         for b in batches:
-            found = [leaves(t.as_py()) for t in b.column(1)]
-            at = [(k, p, s) for k, f in enumerate(found) for p, s in enumerate(f or ())]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _, _ in at], pa.int64())), pa.array([p for _, p, _ in at], pa.int32()), pa.array([s for _, _, s in at], pa.string())], names=["id", "pos", "leaf"])
+            rows: list[tuple] = []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                rows.append((k, t, None))
+                rows += [(k, None, s) for s in leaves(t) or ()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _, _ in rows], pa.int64())), pa.array([s is None for _, _, s in rows], pa.bool_()), pa.array([t for _, t, _ in rows], pa.string()), pa.array([s for _, _, s in rows], pa.string())], names=["id", "head", "json", "leaf"])
 
     def back(batches):
+        held = None
+
+        def done():
+            i, t, new, types = held
+            found = Counter(types)
+            return i, rebuilt(t, new) if found else t, ", ".join(f"{k} ×{n}" for k, n in sorted(found.items(), key=lambda x: (-x[1], x[0])))
+
+        def batch(rows):
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(list(cols[0]), b.column(0).type), pa.array(list(cols[1]), pa.string()), pa.array(list(cols[2]), pa.string())], names=[id_column, json_column, "summary"])
+
         for b in batches:
-            new = [t if m is None else rebuilt(t, m) for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), b.column(3)], names=[id_column, json_column, "summary"])
-
-    source = df.select(id_column, json_column)
-    strings = source.filter(F.col(id_column).isNotNull()).mapInArrow(out, f"id {kind}, pos int, leaf string")
-    done = _analyzed(strings, "leaf", options, ignore).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "_masked"))).alias("all"))
-    types = F.flatten(F.transform("all", lambda x: x["_masked"]["types"]))
-    done = done.select("id", F.transform("all", lambda x: x["_masked"]["masked"]).alias("new"), summarized(types).alias("summary")).filter("summary <> ''")
-    joined = source.join(done, source[id_column] == done["id"], "left").select(source[id_column], source[json_column], "new", F.coalesce("summary", F.lit("")).alias("summary"))
-    return joined.mapInArrow(back, f"`{id_column}` {kind}, `{json_column}` string, summary string")
+            rows = []
+            for i, head, t, m, types in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if head:
+                    if held:
+                        rows.append(done())
+                    held = (i, t, [], [])
+                else:
+                    held[2].append(m)
+                    held[3].extend(types)
+            yield batch(rows)
+        if held:
+            yield batch([done()])
+
+    strings = df.select(id_column, json_column).mapInArrow(out, f"id {kind}, head boolean, json string, leaf string")
+    found = _analyzed(strings, "leaf", options, ignore).select("id", "head", "json", "_masked.masked", "_masked.types")
+    return found.mapInArrow(back, f"`{id_column}` {kind}, `{json_column}` string, summary string")
 
 
 def mask_tool_events(df: DataFrame, id_column: str, skip_tools: tuple[str, ...] = ("Read",), options: Options | None = None) -> DataFrame:

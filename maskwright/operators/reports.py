@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def text_line(place: Column, entity: Column, masked: Column, score: Column) -> Column:
+    """A finding as a line of a report; null parts print as null."""
     return F.format_string("%s  %s  %s  %.2f", place, entity, masked, score)
 
 
 def json_report(found: DataFrame, *columns: str) -> DataFrame:
-    """One row with one JSON value {findings, total}; findings in the order of the columns. For reports that a person reads: the value is one string."""
+    """(place, line): the lines of one JSON value {findings, total}, findings in the order of the columns. Sorted by place and joined by line feeds they are the value, so a report of any size can be written as text; no task holds it whole. Null columns are left out of a finding."""
     columns = columns or ("line", "entity_type", "value_masked", "score")
-    rows = F.array_sort(F.collect_list(F.struct(*columns)))
-    return found.agg(F.to_json(F.struct(rows.alias("findings"), F.count("*").alias("total"))).alias("report"))
+    rows = found.groupBy(*columns).agg(F.count("*").alias("_n"))  # repeated findings are equal lines
+    body = rows.select(F.struct(F.lit(1).alias("part"), *columns).alias("place"), F.explode(F.array_repeat(F.to_json(F.struct(*columns)), F.col("_n").cast("int"))).alias("line"))
+    first = rows.agg(F.min(F.struct(*columns)).alias("m"))
+    none = F.struct(*(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in columns))
+    edge = lambda part, line, df: df.select(F.struct(F.lit(part).alias("part"), *(none[c].alias(c) for c in columns)).alias("place"), line.alias("line"))
+    head = edge(0, F.lit('{"findings": ['), first)
+    tail = edge(2, F.format_string('], "total": %d}', "n"), found.agg(F.count("*").alias("n")))
+    # every finding but the first of all has a comma before it
+    numbered = body.crossJoin(F.broadcast(first)).select("place", "line", F.struct(*(F.col("place")[c].alias(c) for c in columns)).eqNullSafe(F.col("m")).alias("least"))
+    least = numbered.filter("least").agg(F.min("line").alias("line"), F.count("*").alias("n"), F.first("place").alias("place"))
+    once = least.filter("n > 0").select("place", F.explode(F.concat(F.array("line"), F.array_repeat(F.concat(F.lit(","), "line"), (F.col("n") - 1).cast("int")))).alias("line"))
+    return head.unionByName(once).unionByName(numbered.filter("not least").select("place", F.concat(F.lit(","), "line").alias("line"))).unionByName(tail)
 
 
 def group_stats(timed: DataFrame) -> DataFrame:
-    """Of (size_class, density, bytes, us): documents, bytes, mean, p50 and p99 microseconds a document (the value at place int(p * (n - 1)) of the sorted ones) and MB a second."""
-    place = lambda p: F.element_at("all", (F.floor(F.lit(p) * (F.col("docs") - 1)) + 1).cast("int"))
-    grouped = timed.groupBy("size_class", "density").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"), F.avg("us").alias("mean_us"), F.sum("us").alias("_us"), F.array_sort(F.collect_list("us")).alias("all"))
-    return grouped.select("size_class", "density", "docs", "bytes", "mean_us", place(0.5).alias("p50_us"), place(0.99).alias("p99_us"), (F.col("bytes") / F.nullif(F.col("_us"), F.lit(0))).alias("mb_per_sec"))
+    """Of (size_class, density, bytes, us): documents, bytes, mean, p50 and p99 microseconds a document (the value at place int(p * (n - 1)) of the sorted ones) and MB a second. Equal times are counted before they are sorted, and null times don't count among the places."""
+    keys = ["size_class", "density"]
+    totals = timed.groupBy(*keys).agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"), F.avg("us").alias("mean_us"), F.sum("us").alias("_us"), F.count("us").alias("_n"))
+    each = timed.filter("us is not null").groupBy(*keys, "us").agg(F.count("*").alias("_k")).withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys).orderBy("us")))
+    at = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * (F.col("_n") - 1)), F.col("us")))
+    placed = each.join(totals.select(*keys, "_n"), keys).groupBy(*keys).agg(at(0.5).alias("p50_us"), at(0.99).alias("p99_us"))
+    return totals.join(placed, keys, "left").select(*keys, "docs", "bytes", "mean_us", "p50_us", "p99_us", (F.col("bytes") / F.nullif(F.col("_us"), F.lit(0))).alias("mb_per_sec"))
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -129,7 +129,10 @@ def test_corpus_and_reports(spark):
     assert (s.docs, s.mean_us, s.p50_us, s.p99_us) == (10, 5.5, 5.0, 9.0)
     assert reports.speed_table(spark.createDataFrame([("a", "1KB", "none", 2.0), ("b", "1KB", "none", 6.0)], "engine string, size_class string, density string, mean_us double"), "a", "b").first().speedup == 3.0
     empty = spark.createDataFrame([], "line int, entity_type string, value_masked string, score double")
-    assert json.loads(reports.json_report(empty).first().report) == {"findings": [], "total": 0}
+    read = lambda df: json.loads("\n".join(r.line for r in reports.json_report(df).orderBy("place").collect()))
+    assert read(empty) == {"findings": [], "total": 0}
+    some = spark.createDataFrame([(2, "B", "x", 0.5), (1, "A", "x", 0.5), (1, "A", "x", 0.5), (None, "C", "y", 1.0)], empty.schema)
+    assert read(some) == {"findings": [{"entity_type": "C", "value_masked": "y", "score": 1.0}, *[{"line": 1, "entity_type": "A", "value_masked": "x", "score": 0.5}] * 2, {"line": 2, "entity_type": "B", "value_masked": "x", "score": 0.5}], "total": 4}
 
 
 def test_models(spark, tmp_path):
