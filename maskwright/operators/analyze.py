@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,10 +162,8 @@ def compiles(pattern: str) -> bool:
     """Whether the JVM takes the pattern."""
     try:
         SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception as e:
-        if "PatternSyntaxException" in str(e):
-            return False
-        raise
+    except (IllegalArgumentException, Py4JJavaError):
+        return False
     return True
 
 

@@ -13,6 +13,7 @@ from maskwright.operators.catalog import EMAIL, RECOGNIZERS
 from maskwright.operators.diff import diff_lines, scan_diff
 from maskwright.operators.json_masking import guard_prompts, mask_json
 from maskwright.operators.scan import scan
+from maskwright.plans.registry import spread
 from maskwright.streaming.findings import windowed_counts
 
 _MAILS = ["EMAIL_ADDRESS"]
@@ -21,7 +22,7 @@ _RE2 = to_duckdb(EMAIL)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def scan_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     events = docs.select("doc_id", F.to_json(F.struct(F.struct(F.array("text").alias("lines"), F.col("text").alias("path")).alias("out"))).alias("json"))
-    return mask_json(events, "doc_id", options=_OPTIONS).select("doc_id", "summary")
+    return mask_json(events, "doc_id", options=_OPTIONS).select("doc_id", "summary", F.sha2(F.get_json_object("json", "$.out.lines[0]"), 256).alias("lines_sha256"), F.sha2(F.get_json_object("json", "$.out.path"), 256).alias("path_sha256"))
 
 
 def prompt_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +69,17 @@ def allow_list_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def allow_list_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mail_counts(spark, sf_dir, Options(entities=_MAILS, context=False, allow_regex=["^a", "com$"]))
+    """Mails whose name begins with other letters than these."""
+    return _mail_counts(spark, sf_dir, Options(entities=_MAILS, context=False, allow_regex=["^[a-m]", r"\borg$"]))
+
+
+def allow_list_invalid_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that don't compile count as texts."""
+    return _mail_counts(spark, sf_dir, Options(entities=["IP_ADDRESS"], context=False, allow_regex=["10.0.0.1", "("]))
 
 
 def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mail_counts(spark, sf_dir, Options(entities=["EMAIL_ADDRESS", "BR_RG"], context=False, threshold=0.45))
+    return _mail_counts(spark, sf_dir, Options(entities=["EMAIL_ADDRESS", "IP_ADDRESS"], context=False, threshold=0.55))
 
 
 def _mail_counts(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
@@ -117,10 +124,16 @@ _SHOWN = "CASE WHEN length(v) <= 4 THEN repeat('*', length(v)) ELSE left(v, 2) |
 
 
 def queries() -> dict:
-    plain = (diff_added_lines, diff_all_added_lines, diff_findings, scan_mails, json_masking, prompt_guard, allow_list_exact, allow_list_regex, threshold_filter, mails_by_role, parity, doc_stats, mails_by_hour)
+    plain = (diff_added_lines, diff_all_added_lines, diff_findings, scan_mails, json_masking, prompt_guard, allow_list_exact, allow_list_regex, allow_list_invalid_regex, threshold_filter, mails_by_role, parity, doc_stats, mails_by_hour)
     return {f.__name__: f for f in plain} | {f"anonymize_{k}": _anonymized(op) for k, (op, _) in _OPERATORS.items()}
 
 
+def _ips(ip: list[str], test: str) -> str:
+    return f"""
+        WITH m AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '{ip[0]}'), regexp_extract_all(text, '{ip[1]}'))) AS text FROM documents)
+        SELECT doc_id, 'IP_ADDRESS' AS entity_type, text, count(*) AS n FROM m WHERE {test} GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     ip = [to_duckdb(p) for _, p, _ in next(r for r in RECOGNIZERS if r.entity == "IP_ADDRESS").patterns]
     mails = f"SELECT doc_id, lang, unnest(regexp_extract_all(text, '{_RE2}')) AS text FROM documents"
@@ -139,13 +152,12 @@ def oracle_sql() -> dict[str, str]:
         FROM l GROUP BY doc_id""",
         "diff_findings": by_line,
         "scan_mails": by_line,
-        "json_masking": f"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '{_RE2}')) > 0 THEN 'EMAIL_ADDRESS ×' || len(regexp_extract_all(text, '{_RE2}')) ELSE '' END AS summary FROM documents",
+        "json_masking": f"WITH p AS (SELECT doc_id, text, string_split_regex(text, '{_RE2}') AS a, regexp_extract_all(text, '{_RE2}') AS m FROM documents) SELECT doc_id, sha256(array_to_string([a[i] || CASE WHEN i <= len(m) THEN {_SHOWN.replace('v', 'm[i]')} ELSE '' END FOR i IN range(1, len(a) + 1)], '')) AS lines_sha256, sha256(text) AS path_sha256, CASE WHEN len(regexp_extract_all(text, '{_RE2}')) > 0 THEN 'EMAIL_ADDRESS ×' || len(regexp_extract_all(text, '{_RE2}')) ELSE '' END AS summary FROM p",
         "prompt_guard": f"SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '{_RE2}')) AS warned FROM conversations GROUP BY role",
-        "allow_list_exact": f"""
-        WITH m AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '{ip[0]}'), regexp_extract_all(text, '{ip[1]}'))) AS text FROM documents)
-        SELECT doc_id, 'IP_ADDRESS' AS entity_type, text, count(*) AS n FROM m WHERE text NOT IN ('10.0.0.1', '127.0.0.1') GROUP BY ALL""",
-        "allow_list_regex": f"WITH m AS ({mails}) SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, text, count(*) AS n FROM m WHERE NOT regexp_matches(text, '^a|com$') GROUP BY doc_id, text",
-        "threshold_filter": f"WITH m AS ({mails}) SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, text, count(*) AS n FROM m GROUP BY doc_id, text",
+        "allow_list_exact": _ips(ip, "text NOT IN ('10.0.0.1', '127.0.0.1')"),
+        "allow_list_regex": f"WITH m AS ({mails}) SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, text, count(*) AS n FROM m WHERE NOT regexp_matches(text, '^[a-m]|\\borg$') GROUP BY doc_id, text",
+        "threshold_filter": _ips(ip, "true"),
+        "allow_list_invalid_regex": _ips(ip, "text NOT IN ('10.0.0.1', '(')"),
         "mails_by_role": f"SELECT role, CAST(sum(coalesce(len(regexp_extract_all(text, '{_RE2}')), 0)) AS BIGINT) AS n FROM conversations GROUP BY role",
         "parity": f"WITH m AS ({mails}) SELECT 'EMAIL_ADDRESS' AS entity_type, count(*) AS a, count(*) FILTER (WHERE lang = 'en') AS b, count(*) FILTER (WHERE lang = 'en') AS \"both\" FROM m HAVING count(*) > 0",
         "doc_stats": """
