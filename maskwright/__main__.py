@@ -1,4 +1,4 @@
-"""python -m maskwright scan|diff|prompt|entities|version: exit code 0 if nothing was found, 1 if something was, 2 on errors."""
+"""python -m maskwright scan|diff|prompt|hook|models|entities|version: exit code 0 if nothing was found, 1 if something was, 2 on errors."""
 
 from __future__ import annotations
 
@@ -22,6 +22,20 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--json", action="store_true")
         c.add_argument("--no-context", action="store_true")
         c.add_argument("--mode", choices=["warn", "block"], default="warn")
+    h = sub.add_parser("hook")
+    h.add_argument("event", choices=["post", "prompt"])
+    h.add_argument("--threshold", type=float, default=0.5)
+    h.add_argument("--ignore", default="DATE_TIME,URL,IP_ADDRESS")
+    h.add_argument("--entities", default="")
+    h.add_argument("--no-context", action="store_true")
+    h.add_argument("--mode", choices=["warn", "block"], default="warn")
+    h.add_argument("--skip-tools", default="Read")
+    h.add_argument("--chain", default="")
+    m = sub.add_parser("models")
+    m.add_argument("action", choices=["pins", "verify"])
+    m.add_argument("manifest", help="JSON file of pinned models")
+    m.add_argument("--model")
+    m.add_argument("--folder")
     sub.add_parser("entities")
     sub.add_parser("version")
     return p
@@ -74,6 +88,41 @@ def run(spark, a: argparse.Namespace) -> int:
     return int(bool(rows))
 
 
+def _models(a: argparse.Namespace) -> int:
+    """pins: the manifest's files with their digests; verify: the status of a model's files, 1 if one isn't as pinned."""
+    import json
+
+    from maskwright.sources.models import verify_local
+
+    with open(a.manifest, encoding="utf-8") as f:
+        manifest = f.read()
+    if a.action == "pins":
+        for model, spec in sorted(json.loads(manifest).items()):
+            for path, x in sorted(spec["files"].items()):
+                print(model, spec.get("revision", "-"), path, x["sha256"].lower(), x["size"], sep="  ")
+        return 0
+    if not a.model or not a.folder:
+        raise ValueError("models verify needs --model and --folder")
+    found = verify_local(a.folder, manifest, a.model)
+    for path, status in found:
+        print(path, status, sep="  ")
+    return int(any(s != "ok" for _, s in found))
+
+
+def _hook(a: argparse.Namespace, spark) -> int:
+    """Answers the event on standard input; always 0, as an error would break the caller's session."""
+    from maskwright.operators.analyze import Options
+    from maskwright.operators.hooks import answer
+
+    split = lambda x: tuple(y for y in x.split(",") if y)
+    options = Options(entities=list(split(a.entities)) or None, threshold=a.threshold, context=not a.no_context)
+    more = {"mode": a.mode} if a.event == "prompt" else {"skip_tools": split(a.skip_tools), "chain": a.chain}
+    out = answer(spark, a.event, getattr(sys.stdin, "buffer", sys.stdin), options=options, ignore=split(a.ignore), **more)
+    if out:
+        print(out.rstrip("\n"))
+    return 0
+
+
 def main(args: list[str] | None = None, spark=None) -> int:
     try:
         a = _parser().parse_args(args)
@@ -85,12 +134,14 @@ def main(args: list[str] | None = None, spark=None) -> int:
 
             print(*supported_entities(), sep="\n")
             return 0
+        if a.command == "models":
+            return _models(a)
         if spark is None:
             from pyspark.sql import SparkSession
 
             spark = SparkSession.builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-        return run(spark, a)
-    except (OSError, ValueError) as e:
+        return _hook(a, spark) if a.command == "hook" else run(spark, a)
+    except (OSError, ValueError, KeyError) as e:
         print(f"maskwright: {e}", file=sys.stderr)
         return 2
 

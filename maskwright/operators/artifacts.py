@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 Backend = Callable[[list[str]], list[list[tuple[str, int, int, float]]]]
 Span = tuple[str, int, int, float]
+#: (start, end) of the tokens of a text, without special ones, and how many tokens it has with them.
+Tokenizer = Callable[[str], tuple[list[tuple[int, int]], int]]
 ARTIFACTS = "array<struct<entity_type:string,start:int,end:int,score:double>>"
-#: Runes of a word at most, when a span grows to its edges; windows to a call of the model.
-WORD, BATCH = 100, 32
+#: Runes of a word at most, when a span grows to its edges; windows to a call of the model; tokens that neighbouring windows share.
+WORD, BATCH, SHARED = 100, 32, 32
 
 
 @dataclass(frozen=True)
 class Settings:
-    """cut: whole, lines or fields. window, overlap: bytes of a folded window and what neighbours share. low: types whose scores are multiplied by low_factor (0: not)."""
+    """cut: whole, lines or fields. window, overlap: bytes of a folded window and what neighbours share. tokenizer, budget: windows of at most so many tokens instead. low: types whose scores are multiplied by low_factor (0: not)."""
 
     mapping: dict[str, str] = field(default_factory=dict)
     ignore: tuple[str, ...] = ()
@@ -35,6 +37,8 @@ class Settings:
     cut: str = "whole"
     window: int = 248
     overlap: int = 96
+    tokenizer: Tokenizer | None = None
+    budget: int = 256
 
     def __post_init__(self):
         if self.cut not in ("whole", "lines", "fields"):
@@ -84,6 +88,22 @@ def windows(size: int, width: int, overlap: int) -> list[tuple[int, int]]:
     return [(s, min(s + width, size)) for s in starts]
 
 
+def token_windows(text: str, tokenizer: Tokenizer, budget: int) -> list[tuple[int, int]]:
+    """Windows that have at most `budget` tokens each, special ones included; each begins SHARED tokens before the last one's end. As a cut can make more tokens of a word, a window is counted anew and shortened until it fits."""
+    spans, size = tokenizer(text)
+    if size <= budget or not spans:
+        return [(0, len(text))]
+    own, out, first = max(1, budget - (size - len(spans))), [], 0
+    while True:
+        take = min(own, len(spans) - first)
+        while take > 1 and (over := tokenizer(text[spans[first][0] : spans[first + take - 1][1]])[1] - budget) > 0:
+            take = max(1, take - over)
+        out.append((spans[first][0], spans[first + take - 1][1]))
+        if first + take >= len(spans):
+            return out
+        first += max(1, take - SHARED)
+
+
 def merged(spans: list[Span]) -> list[Span]:
     """By start; of equal spans of a type the best score, and none that lies in a wider one of its type."""
     out: list[Span] = []
@@ -133,8 +153,9 @@ def mapped(label: str, score: float, o: Settings) -> tuple[str, float] | None:
 
 def found_in(texts: list[str], backend: Backend, o: Settings) -> list[list[Span]]:
     """The artifacts of each text, in byte offsets."""
-    jobs = [(n, a + x, a + y) for n, t in enumerate(texts) for a, b in segments(t, o.cut) for x, y in windows(b - a, o.window, o.overlap)]
     folded, raw = [fold(t) for t in texts], [[] for _ in texts]
+    cut = lambda text: token_windows(text, o.tokenizer, o.budget) if o.tokenizer else windows(len(text), o.window, o.overlap)
+    jobs = [(n, a + x, a + y) for n, t in enumerate(texts) for a, b in segments(t, o.cut) for x, y in cut(folded[n][a:b])]
     for k in range(0, len(jobs), BATCH):
         part = jobs[k : k + BATCH]
         for (n, a, b), answer in zip(part, backend([folded[n][a:b] for n, a, b in part]), strict=True):

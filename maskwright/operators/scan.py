@@ -9,10 +9,14 @@ from maskwright.operators.analyze import Options, analyze, rows_of
 from maskwright.operators.anonymize import display
 
 
+#: Bytes of a line at most.
+MOST_BYTES = 10 << 20
+
+
 def lines(df: DataFrame, id_column: str, text_column: str = "text") -> DataFrame:
-    """(id, line, content): the lines of each text from 1, without a carriage return at their end; a line feed at the text's end begins no line. Null texts have none."""
+    """(id, line, content): the lines of each text from 1, without a carriage return at their end; a line feed at the text's end begins no line. Null texts have none. A line of MOST_BYTES or more fails the job."""
     parts = F.split(F.regexp_replace(F.col(text_column), r"\n\z", ""), "\n")
-    return df.filter(F.octet_length(text_column) > 0).select(id_column, F.posexplode(parts).alias("line", "content")).select(id_column, (F.col("line") + 1).alias("line"), F.regexp_replace("content", r"\r\z", "").alias("content"))
+    return df.filter(F.octet_length(text_column) > 0).select(id_column, F.posexplode(parts).alias("line", "content")).select(id_column, (F.col("line") + 1).alias("line"), F.when(F.octet_length("content") < MOST_BYTES, F.regexp_replace("content", r"\r\z", "")).otherwise(F.raise_error(F.lit("a line is too long")).cast("string")).alias("content"))
 
 
 def scan(df: DataFrame, id_column: str, text_column: str = "text", options: Options | None = None, ignore: tuple[str, ...] = ("DATE_TIME", "URL")) -> DataFrame:
