@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import configure, per_worker, utf8
+from maskwright.llm.common import configure, per_worker, trim, utf8
 from maskwright.llm.shingles import in_chunks
 
 #: The patterns by which the two public vocabularies cut texts into words.
@@ -32,7 +32,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Bytes that a worker's table of encoded words may take, what an entry takes besides its key, and bytes of text that are handled at a time.
-CACHE_BYTES, ENTRY_BYTES, CHUNK_BYTES = 128 << 20, 110, 1 << 21
+CACHE_BYTES, ENTRY_BYTES, CHUNK_BYTES = 128 << 20, 230, 1 << 21
 
 
 def byte_letters() -> list[str]:
@@ -87,7 +87,7 @@ class Table(dict):
         return ragged(self.flat, self.start[numbers], size), size
 
     def shrink(self, limit: int) -> None:
-        """Keeps the keys used most often, up to half of `limit` bytes."""
+        """Keeps the keys used most often, up to half of `limit` bytes, and gives the memory back."""
         keys = list(self)
         size = np.fromiter(map(sys.getsizeof, keys), np.int64, len(keys)) + ENTRY_BYTES
         order = np.argsort(-self.used, kind="stable")
@@ -98,6 +98,8 @@ class Table(dict):
         self.used, self.odd = self.used[kept] // 2, self.odd[kept]
         self.start = np.cumsum(self.length) - self.length
         self.weight = int(size[kept].sum())
+        del keys, size, order
+        trim()
 
 
 class Bpe:
@@ -246,6 +248,11 @@ class Bpe:
                 out.append(self.table.ids(at)[0])
         return np.concatenate([np.zeros(0, np.uint32), *out])
 
+    def rest(self) -> None:
+        """Shrinks the table to a quarter, as other workers hold one, too."""
+        if self.table.weight > CACHE_BYTES // 4:
+            self.table.shrink(CACHE_BYTES // 2)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text (unsigned 32-bit)."""
         table = self.table
@@ -264,6 +271,11 @@ class Bpe:
         return self.bytes.take(pa.array(ids)).buffers()[2].to_pybytes().decode("utf-8", "replace") if len(ids) else ""
 
 
+def shared_bpe(vocabulary: str) -> Bpe:
+    """The encoder of this Python worker. Tasks go from one idle worker to another, so each lets its encoder rest when it ends."""
+    return per_worker(("bpe", vocabulary), lambda: Bpe(vocabulary))
+
+
 def encoded(bpe: Bpe, column: pa.Array) -> Iterator[np.ndarray]:
     """The ids of each UTF-8 text of a column, in order, a bounded number of bytes at a time (a longer text goes alone)."""
     for part in in_chunks([x.as_py() or b"" for x in column], CHUNK_BYTES):
@@ -289,11 +301,12 @@ def _mapped(docs: DataFrame, vocabulary: str, id_column: str, text_column: str,
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        bpe = per_worker(("bpe", vocabulary), lambda: Bpe(vocabulary))
+        bpe = shared_bpe(vocabulary)
         for b in batches:
             rows = [each(ids.astype("<u4"), bpe.decode(ids).encode()) for ids in encoded(bpe, b.column(1))]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(columns, kinds.values(), strict=True))], names=[id_column, *kinds])
+        bpe.rest()
 
     names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     return docs.select(id_column, utf8(text_column).alias("text")).mapInArrow(run, ", ".join([f"`{id_column}` {kind}", *(f"{c} {names[t]}" for c, t in kinds.items())]))

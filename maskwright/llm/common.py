@@ -11,6 +11,7 @@ import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,13 +79,19 @@ def per_worker(key, make):
     return held[key]
 
 
+def trim() -> None:
+    """Gives memory that isn't used back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release() -> None:
     """Frees what per_worker keeps."""
     if _held():
         _held().clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 def mapped(df: DataFrame, run, schema) -> DataFrame:

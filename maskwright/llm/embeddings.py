@@ -124,12 +124,13 @@ def spread(rows: DataFrame, block: int, name: str) -> DataFrame:
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Links join vectors of equal, non-null label and equal dimension with cosine >= threshold. Equal vectors of a label are one class: compared once, counted as often as they occur. Rows whose vector can't be used, or whose label is null, link with nothing; a null id takes no part in links either. Rows of a repeated id count as vectors of their own and share its id.
+    Links join vectors of equal, non-null label and equal dimension with cosine >= threshold. Equal vectors of a label are one class: compared once, counted as often as they occur. Rows whose vector can't be used, or whose label is null, link with nothing; a null id takes no part in links either. Rows of a repeated id count as vectors of their own, with links of their own, and share its id.
     """
     spark = configure(vectors.sparkSession)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), usable(F.col(vector_column)).alias("v"), F.col(label_column).cast("string").alias("label"))
     good = rows.filter("id is not null and v is not null and label is not null")
-    reps = stored(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "vectors")
+    classes = stored(good.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    reps = classes.select("rep", "size", "label", "v")
     edges, degrees = [], []
     for dim in [r.d for r in reps.select(F.size("v").alias("d")).distinct().collect()]:
         part = reps.filter(F.size("v") == dim)
@@ -145,8 +146,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_column: str = "
     for more in degrees[1:]:
         degrees[0] = degrees[0].unionByName(more)
     found = connected_components(edges[0])
-    about = reps.join(degrees[0].groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    about = stored(about.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-classes")
+    joined = stored(found.join(classes.select(F.col("rep").alias("node"), "least"), "node"), "joined")
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    joined = joined.join(least, "component").select(F.col("node").alias("rep"), "component_id")
+    about = classes.join(degrees[0].groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(joined, "rep", "left")
+    about = stored(about.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "vector-classes")
     out = rows.withColumn("code", F.xxhash64("label", "v")).join(about.withColumn("code", F.xxhash64("label", "v")), ["code", "label", "v"], "left")
     own = F.col("id").isNotNull() & F.col("component_id").isNotNull()
     component = F.when(own, F.col("component_id")).otherwise(F.col("id"))

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import Bpe, encoded
-from maskwright.llm.common import configure, mapped, per_worker, stored, utf8
+from maskwright.llm.bpe import encoded, shared_bpe
+from maskwright.llm.common import configure, mapped, stored, utf8
 
 #: Tokens of a sequence, of a length class, and the id that ends a document.
 LENGTH, STEP, END_ID = 4096, 32, 2
@@ -46,7 +46,7 @@ def price(duals: np.ndarray) -> tuple[float, np.ndarray]:
     return best[-1], pattern
 
 
-def solve(demand: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+def solve(demand: np.ndarray, rounds: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, how often each is used) of the relaxed cutting-stock problem, by the revised simplex method with generated columns."""
     have = np.flatnonzero(demand)
     if not len(have):
@@ -73,6 +73,8 @@ def solve(demand: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, np.ndarra
         inverse -= np.outer(direction, pivot)
         inverse[out] = pivot
         x = np.maximum(inverse @ need, 0)
+    else:
+        raise RuntimeError(f"the linear program isn't solved after {rounds} columns")
     return np.array(columns), x
 
 
@@ -122,7 +124,7 @@ def tokenized(docs: DataFrame, vocabulary: str, id_column: str, text_column: str
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        bpe = per_worker(("bpe", vocabulary), lambda: Bpe(vocabulary))
+        bpe = shared_bpe(vocabulary)
         for b in batches:
             n, crc, raw = [], [], []
             for ids in encoded(bpe, b.column(2)):
@@ -131,6 +133,7 @@ def tokenized(docs: DataFrame, vocabulary: str, id_column: str, text_column: str
                 crc.append(zlib.crc32(ids))
                 raw.append((ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(raw, pa.binary())], names=["row", "id", "n", "crc", "ids"])
+        bpe.rest()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), utf8(text_column).alias("text"))
     return rows.mapInArrow(run, f"row long, id {kind}, n long, crc long, ids binary")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -250,3 +251,104 @@ def test_components_of_chains(spark, monkeypatch):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     u, v = components.stars(np.array([9, 5, 7, 3]), np.array([5, 7, 8, 2]))
     assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {7: 5, 8: 5, 9: 5, 3: 2}
+
+
+def test_near_vectors_of_repeated_ids(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, [1.0, 0.1, 0.0, 0.0], 0), (3, [0.1, 1.0, 0.0, 0.0], 0), (3, [0.1, 1.0, 0.0, 0.0], 0), (4, a, 1)]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("x"))).collect()
+    assert sorted((q.vec_id, q.n_links, q.component_id) for q in found) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
+def test_bpe_with_a_small_table(spark, monkeypatch):
+    """Words that were set aside are encoded again."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 30_000)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t, own = Tokenizer.from_file(P.path(name)), bpe.Bpe(P.path(name))
+        for k in range(6):
+            texts = [words(200, k), words(50, 1), "it's a-b,c. THE\nend " + words(20, 2), *(x or "" for x in ODD)]
+            assert [x.tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+            assert len(own.table) == len(own.table.start) == len(own.table.used)
+        own.rest()
+        assert own.table.weight <= 15_000
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    from maskwright.llm import subwords
+
+    texts = [words(300, 1).encode(), b"", b"x" * 5000, ("ab " * 900).encode(), words(5, 2).encode()]
+    monkeypatch.setattr(subwords, "PART", 1 << 30)
+    whole = subwords.subword_counts(texts, 1 << 12, True)
+    monkeypatch.setattr(subwords, "PART", 256)
+    parts = subwords.subword_counts(texts, 1 << 12, True)
+    assert len(parts) == len(texts) and all(np.array_equal(np.sort(k), k) for k, _ in parts)
+    for (k, n), (m, o), t in zip(whole, parts, texts, strict=True):
+        cuts = len(t) // 128
+        assert abs(n.sum() - o.sum()) <= 13 * cuts and len(np.setxor1d(k, m)) <= 13 * cuts
+
+
+def test_reassembly_errors(spark):
+    kind = "rid long, target string, type string, refers string, digest string, length long, origin string, segment int, total long, block binary"
+    part = lambda n, block, total=None: (1, None, "response" if n == 1 else "continuation", None, "", None, "o", n, total, block)
+    body = warc.HTTP + warc.chunked(b"abc")
+    good = [part(2, body[40:], len(body)), part(1, body[:40]), part(1, body[:40])]
+    row = warc.reassemble(spark.createDataFrame(good, kind)).first()
+    assert (row.length, row.digest) == (3, hashlib.sha1(b"abc").hexdigest())
+    for bad in ([part(1, b"x"), part(3, b"y", 2)], [part(1, b"x"), part(2, b"y", 5)], [part(1, b"x")]):
+        with pytest.raises(Exception, match="missing|expected"):
+            warc.reassemble(spark.createDataFrame(bad, kind)).collect()
+
+
+def test_inner_product_ties_and_few_candidates(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(30)] + [(60, [2.0, 0.0, 0.0]), (61, [1.0, 1.0, 1.0])]
+    found = inner_product.nearest_by_inner_product(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1))).collect()
+    by = lambda q: [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+    assert by(0) == list(range(1, 21)) and by(20) == [i for i in range(21) if i != 20][:20] and by(60) == [61]
+
+
+def test_score_of_the_language_model(spark):
+    """Scores against a plain account of the class bigrams, and held-out texts are likelier than by words alone."""
+    rng = random.Random(5)
+    nouns, verbs = ([f"{p}{i}" for i in range(12)] for p in ("n", "v"))
+    texts = [" ".join(rng.choice(nouns if k % 2 == 0 else verbs) for k in range(40)) for _ in range(120)]
+    rows = brown_lm.score_texts(documents(spark, texts)).collect()
+    held = [r for r in rows if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held) + 5 * len(held)
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage against its operator on the same rows, and the whole against its stages."""
+    import corpus_pipeline as pipeline
+
+    clean = [words(60, i) for i in range(60)]
+    texts = [("you idiot " if i % 5 == 0 else "") + ("GRR!! " * 30 if i % 7 == 0 else words(40, i)) for i in range(300)] + clean + [c + " end" for c in clean[:20]] + clean[:5] + ODD
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 7 != 0), int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert [n for n, _ in pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "packing"]
+    at, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in pipeline.STAGES[:3]:
+        before = {r.doc_id for r in at.collect()}
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = {r.doc_id for r in out.collect()}
+        if name == "near_duplicates":
+            want = {r.doc_id for r in lsh_forest.near_documents(at).collect() if r.kept}
+        else:
+            scored = (quality.quality if name == "quality" else toxicity.toxicity)(at, labels)
+            want = {r.doc_id for r in scored.collect() if r.predicted == (name == "quality")}
+        assert kept[name] == want and kept[name] <= before
+        at = out
+    pieces = pipeline.STAGES[3][1](spark, at, str(tmp_path))
+    assert {r.doc_id for r in pieces.collect()} == kept["near_duplicates"]
+    rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())
+    whole = pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in whole.collect()} == kept["near_duplicates"] and sum(r[2] for r in rows(whole)) == sum(r[2] for r in rows(pieces))
+    nothing = docs.limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
