@@ -187,6 +187,69 @@ def test_language_model(spark):
         assert rows[i].score < 0
 
 
+def test_class_scores_match_brute_force(spark, monkeypatch):
+    """Few numbered words, so that most are rare: scores by loops over tokens, with the operator's classes, and sums over all words of each history."""
+    monkeypatch.setattr(brown_lm, "KNOWN", 30)
+    monkeypatch.setattr(brown_lm, "CORE", 10)
+    C, END, RARE = brown_lm.CLASSES, brown_lm.END, brown_lm.RARE
+    texts = [None, "", "new1 new2 the", *(words(30, i % 9) + " the of the" * (i % 4) for i in range(60)), words(40, 999)]
+    docs = documents(spark, texts)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    cut = [(t or "").encode().split() for t in texts]
+    count = {}
+    for t, h in zip(cut, held, strict=True):
+        for w in [] if h else t:
+            count[w] = count.get(w, 0) + 1
+    top = sorted(count, key=lambda w: (-count[w], w))[:30]
+    seen = spark.sparkContext.broadcast(top)
+    train = brown_lm.numbered(docs, seen, "doc_id", "text", brown_lm.remainder("doc_id", 7) == 2).filter("not held_out")
+    cls = brown_lm.cluster(train, len(top))
+    rare = {bytes(r.word): (r["class"], r.c) for r in brown_lm.moved(brown_lm.rare_spots(train, cls).selectExpr("word", "at", "1L AS n"), brown_lm.transitions(train, cls)).collect()}
+    assert {w: c for w, (_, c) in rare.items()} == {w: c for w, c in count.items() if w not in top} and len(rare) > 50
+    group = {None: END} | {w: int(cls[i]) for i, w in enumerate(top)}
+    assert max(group[w] for w in top) < C
+    own, pair, into = np.zeros(C + 2), {}, {}
+    state = lambda w: ("rare", rare[w][0]) if w in rare else ("unseen",) if w not in group else group[w]
+    for t, h in zip(cut, held, strict=True):
+        for v, w in zip([None, *t], [*t, None], strict=True) if not h else ():
+            g = group.get(w, RARE)
+            own[g] += 1
+            pair[state(v), g] = pair.get((state(v), g), 0) + 1
+            if w in rare and v in group:
+                into[group[v], rare[w][0]] = into.get((group[v], rare[w][0]), 0) + 1
+    share = {g: own[g] + 1 for g in range(C + 2) if own[g] or g >= END}
+    weight = np.zeros(C)
+    for k, c in rare.values():
+        weight[k] += c + 1
+
+    def p(w, v):
+        g, h = group.get(w, RARE), state(v)
+        x = (pair.get((h, g), 0) + 20 * share[g] / sum(share.values())) / (sum(pair.get((h, o), 0) for o in share) + 20)
+        if g != RARE:
+            return x * ((count[w] if w else own[END]) / own[g])
+        if w not in rare:
+            return x / (weight.sum() + 1)
+        k, c = rare[w]
+        a = [into.get((h, j), 0) if isinstance(h, int) else 0 for j in range(C)]
+        return x * weight.sum() / (weight.sum() + 1) * (a[k] + 20 * weight[k] / weight.sum()) / (sum(a) + 20) * (c + 1) / weight[k]
+
+    for v in (None, top[0], top[20], next(iter(rare)), b"unseen"):
+        assert abs(sum(p(w, v) for w in (None, b"unseen", *count)) - 1) < 1e-9
+    for r in brown_lm.score_texts(docs).collect():
+        t = cut[r.doc_id]
+        assert abs(r.score - sum(np.log10(p(w, v)) for v, w in zip([None, *t], [*t, None], strict=True))) < 1e-6
+
+
+def test_classes_beat_the_base_on_held_out_texts(spark, monkeypatch):
+    """Two kinds of words in turn tell log10(2) a token; a third of the words is numbered, and as rare words next to each other tell nothing, 5/9 of that can be gained. Half of it must be."""
+    monkeypatch.setattr(brown_lm, "KNOWN", 40)
+    r = random.Random(5)
+    nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    texts = [" ".join(r.choice(nouns if k % 2 else verbs) for k in range(40)) for _ in range(300)]
+    rows = [x for x in brown_lm.score_texts(documents(spark, texts)).collect() if x.held_out]
+    assert sum(x.score for x in rows) > sum(x.base_score for x in rows) + np.log10(2) * 5 / 9 / 2 * sum(x.n_tokens for x in rows)
+
+
 def test_exchange_finds_classes():
     counts = np.zeros((8, 8))
     for a in range(8):
