@@ -2,30 +2,33 @@
 
 1. Each document's shingle set gives a signature, and a digest of the set by
    which equal sets become one class.
-2. The forest: TREES orders of the signature, each sorted as a whole. Documents
-   that share the first DEPTH values of an order and stand within REACH places
-   of each other there, which are those of longest common prefix, are
-   candidates; where many documents share the first values the sort by further
-   ones makes the region's depth greater. Candidates whose signatures agree
-   enough to leave a similarity at the threshold possible are joined to groups.
+2. The forest: TREES orders of the signature, each sorted as a whole. A
+   document's candidates in an order are its neighbours of longest common
+   prefix, DEPTH values at least: the REACH next places on either side, and of
+   the TIES next those that share as long a prefix as the last of them. So the
+   depth is that of the region: short where few documents share values, up to
+   2 * DEPTH values where many do. Candidates whose signatures agree enough to
+   leave a similarity at the threshold possible are joined to groups.
 3. Within a group every pair that the signatures leave possible is confirmed
    on full sets, but for pairs that confirmed links join already, so the
    components are those of all links within the group. Long groups are cut into
-   blocks, and pairs of blocks go to tasks of their own.
+   blocks: first one block meets all others, which joins what is near a common
+   text; then all that this left outside the group's largest component meets
+   the whole group. Pairs of blocks go to tasks of their own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import configure, mapped, stored, utf8
 from maskwright.llm.components import connected_components
 from maskwright.llm.shingles import in_chunks, jaccard_at_least, shingle_sets
 
-TREES, DEPTH, REACH = 20, 4, 8
+TREES, DEPTH, REACH, TIES = 20, 4, 8, 32
 VALUES = TREES * DEPTH
 #: Signature values of two sets that must agree: the expected number at the threshold less four to five standard deviations (in the forest, of values cut to four bits).
 SLACK = 4.5
@@ -94,30 +97,48 @@ def plant(reps: DataFrame) -> DataFrame:
     return mapped(reps.select("rep", "signature"), run, "key long, deep long, rep long, code binary")
 
 
+def common_prefix(key: np.ndarray, deep: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many values of their order the rows x and y share from the first on: 0 below DEPTH, 2 * DEPTH at most."""
+    apart = (deep[x] ^ deep[y]).view(np.uint64)
+    more = sum(((apart >> np.uint64(16 * (DEPTH - k))) == 0).astype(np.int8) for k in range(1, DEPTH)) + (apart == 0)
+    return np.where(key[x] == key[y], DEPTH + more, 0)
+
+
+def near_places(key: np.ndarray, deep: np.ndarray, old: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Candidate places (x, y) of a sorted order, x < y, with y from `old` on."""
+    n, out = len(key), []
+    edge = common_prefix(key, deep, np.arange(max(0, n - REACH)), np.arange(min(REACH, n), n))
+    for o in range(1, min(TIES, n - 1) + 1):
+        x = np.arange(max(0, old - o), n - o)
+        x = x[key[x] == key[x + o]]
+        if o > REACH:
+            x = x[common_prefix(key, deep, x, x + o) >= np.minimum(edge[x], edge[x + o - REACH])]
+        out.append((x, x + o))
+    return out
+
+
 def neighbours(forest: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of documents that stand near each other in a tree's order and share its first values, if `least` of their cut values agree."""
+    """Pairs (a, b) of documents that are neighbours in a tree's order, if `least` of their cut values agree."""
 
     def run(batches):
-        key, rep, code = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, VALUES // 2), np.uint8)
+        key, deep, rep, code = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, VALUES // 2), np.uint8)
         for b in batches:
             old = len(key)
-            key, rep = np.append(key, b.column(0).to_numpy()), np.append(rep, b.column(1).to_numpy())
-            code = np.concatenate([code, np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, VALUES // 2)])
-            xs, ys = [], []
-            for o in range(1, REACH + 1):
-                x = np.flatnonzero(key[:-o] == key[o:])
-                x = x[x + o >= old]
-                apart = code[x] ^ code[x + o]
-                x = x[((apart & 0xF0) == 0).sum(1) + ((apart & 0x0F) == 0).sum(1) >= least]
-                xs.append(rep[x])
-                ys.append(rep[x + o])
+            key, deep, rep = (np.append(have, b.column(k).to_numpy()) for k, have in enumerate((key, deep, rep)))
+            code = np.concatenate([code, np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, VALUES // 2)])
+            xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in near_places(key, deep, old):
+                apart = code[x] ^ code[y]
+                alike = ((apart & 0xF0) == 0).sum(1) + ((apart & 0x0F) == 0).sum(1) >= least
+                xs.append(rep[x[alike]])
+                ys.append(rep[y[alike]])
             x, y = np.concatenate(xs), np.concatenate(ys)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-            key, rep, code = key[-REACH:], rep[-REACH:], code[-REACH:]
+            key, deep, rep, code = key[-TIES:], deep[-TIES:], rep[-TIES:], code[-TIES:]
 
     ordered = forest.repartitionByRange("key", "deep", "rep").sortWithinPartitions("key", "deep", "rep")
-    return mapped(ordered.select("key", "rep", "code"), run, "a long, b long").filter("a < b")
+    return mapped(ordered.select("key", "deep", "rep", "code"), run, "a long, b long").filter("a < b")
 
 
 def links_of(ids: np.ndarray, block: np.ndarray, texts: list[bytes], i: int, j: int, words: int, percent: int) -> list[tuple[int, int]]:
@@ -159,7 +180,7 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_column
     full = seen.filter("id is not null and n > 0")
     reps = stored(full.groupBy("n", "s", "x").agg(F.min(F.struct("id", "signature")).alias("r")).select("n", "s", "x", F.col("r.id").alias("rep"), "r.signature"), "classes")
     groups = connected_components(neighbours(plant(reps), least_agreeing(percent, 1 / 16)))
-    pairs = _spread_groups(docs.select(F.col(id_column).cast("long").alias("rep"), utf8(text_column).alias("text")), groups)
+    texts = docs.select(F.col(id_column).cast("long").alias("rep"), utf8(text_column).alias("text"))
 
     def compare(key, t: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
@@ -168,8 +189,17 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_column
         found = links_of(t.column("rep").to_numpy(), t.column("b").to_numpy(), t.column("text").to_pylist(), i, j, words, percent) if some else []
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    links = pairs.groupBy("group", "i", "j").applyInArrow(lambda key, t: compare(key, t), "a long, b long")
+    def confirmed(members: DataFrame) -> DataFrame:
+        pairs = members.join(texts, "rep").select("group", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "text")
+        return pairs.groupBy("group", "i", "j").applyInArrow(lambda key, t: compare(key, t), "a long, b long")
+
+    sized = _cut_groups(groups)
+    links = stored(confirmed(_first_block_with_all(sized)), "links")
     found = connected_components(links)
+    if not (big := sized.filter("blocks > 1")).isEmpty():
+        rest = stored(_rest_with_all(big, found), "groups")
+        if not rest.isEmpty():
+            found = connected_components(links.unionByName(confirmed(rest)))
     classes = stored(reps.select("n", "s", "x", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s", "x", F.coalesce("component", "rep").alias("component")), "classes")
     out = seen.select("id", "n", "s", "x").join(classes, ["n", "s", "x"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -182,10 +212,31 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str
     return docs.join(gone, id_column, "left_anti").select(docs.columns)
 
 
-def _spread_groups(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Sends the members' texts to the pairs of blocks of their groups; sizes are counted without the texts."""
+def _cut_groups(groups: DataFrame) -> DataFrame:
+    """(rep, group, blocks): each document's group and the number of its blocks."""
     big = stored(groups.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "groups")
-    n = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
-    sized = stored(groups.join(big, "component", "left").select(F.col("node").alias("rep"), F.col("component").alias("group"), n.alias("blocks")), "groups")
-    out = members.join(sized, "rep").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.select("group", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "text")
+    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
+    return stored(groups.join(big, "component", "left").select(F.col("node").alias("rep"), F.col("component").alias("group"), blocks.alias("blocks")), "groups")
+
+
+def _block(first: Column, blocks: Column) -> Column:
+    return first + F.pmod(F.xxhash64("rep"), blocks).cast("int")
+
+
+def _first_block_with_all(sized: DataFrame) -> DataFrame:
+    """(group, rep, b, o): pairs (b, o) of blocks that need the document, for each group's first block with itself and all others."""
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    out = sized.withColumn("b", _block(F.lit(0), F.col("blocks")))
+    return out.select("group", "rep", "b", F.explode(F.when(F.col("b") == 0, every).otherwise(F.array(F.lit(0)))).alias("o"))
+
+
+def _rest_with_all(big: DataFrame, found: DataFrame) -> DataFrame:
+    """(group, rep, b, o) as above, for the documents outside of their group's largest component in `found` with each other and with those inside."""
+    placed = stored(big.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "group", F.coalesce("component", "rep").alias("component")), "groups")
+    sizes = placed.groupBy("group", "component").agg(F.count("*").alias("n"))
+    least = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).filter("n > main.n")
+    plan = stored(least.select("group", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("inside")), "groups")
+    out = placed.join(plan, "group").withColumn("in", F.col("component") == F.col("main"))
+    b = F.when(F.col("in"), _block(F.col("rest"), F.col("inside"))).otherwise(_block(F.lit(0), F.col("rest")))
+    last = F.when(F.col("in"), F.col("rest")).otherwise(F.col("rest") + F.col("inside")) - 1
+    return out.select("group", "rep", b.alias("b"), F.explode(F.sequence(F.lit(0), last)).alias("o"))

@@ -171,6 +171,52 @@ def test_near_documents(spark):
     assert [rows[i].component_id for i in range(len(texts))] == part
 
 
+def test_near_documents_of_long_groups(spark, monkeypatch):
+    """Blocks of ten: chains of copies, of which the first block meets few, a large clique, and texts that are only alike enough to be candidates."""
+    monkeypatch.setattr(lsh_forest, "BLOCK", 10)
+    monkeypatch.setattr(lsh_forest, "least_agreeing", lambda percent, collide=0.0: 20)
+    r, texts = random.Random(5), []
+    for seed in range(3):
+        chain = words(60, 100 + seed).split()
+        for _ in range(35):
+            at = r.randrange(len(chain))
+            chain[at : at + 1] = [words(1, r.random())]
+            texts.append(" ".join(chain))
+    clique = words(80, 7)
+    texts += [f"{clique} {words(2, 200 + i)}" for i in range(60)]
+    r.shuffle(texts)
+    rows = {x.doc_id: x for x in lsh_forest.near_documents(documents(spark, texts), 4).collect()}
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    part = list(range(len(texts)))
+    for _ in texts:
+        for a, b in links:
+            part[a] = part[b] = min(part[a], part[b])
+    assert 60 < len(links) and len(set(part)) > 1
+    assert [rows[i].component_id for i in range(len(texts))] == part
+
+
+def test_depth_of_the_forest_follows_the_region():
+    values = sorted([7, *v, i] for i, v in enumerate([[1, 1, 1, 1]] * 30 + [[1, 1, 1, 2]] * 15 + [[1, 2, 3, k] for k in range(6)] + [[9, 9, 9, 9]] * 2))
+    values += [[8, 0, 0, 0, 0, 99 + i] for i in range(3)]
+    key = np.array([v[0] for v in values])
+    deep = np.array([v[1] << 48 | v[2] << 32 | v[3] << 16 | v[4] for v in values])
+    found = {(a, b) for x, y in lsh_forest.near_places(key, deep, 0) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+
+    def shared(a, b):
+        return 0 if key[a] != key[b] else 4 + next((k for k in range(4) if values[a][k + 1] != values[b][k + 1]), 4)
+
+    want = set()
+    for a in range(len(values)):
+        for b in range(a + 1, min(a + 33, len(values))):
+            ends = [shared(a, a + 8) if a + 8 < len(values) else 0, shared(b - 8, b) if b >= 8 else 0]
+            if shared(a, b) >= 4 and (b - a <= 8 or shared(a, b) >= min(ends)):
+                want.add((a, b))
+    assert found == want and (0, 29) in found and (10, 38) not in found and shared(10, 38) == 7
+    later = {(a, b) for x, y in lsh_forest.near_places(key, deep, 20) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    assert later == {p for p in want if p[1] >= 20}
+
+
 def test_language_model(spark):
     texts = [*ODD, *(words(60, i % 5) for i in range(40))]
     rows = {r.doc_id: r for r in brown_lm.score_texts(documents(spark, texts)).collect()}
