@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import configure, mapped, stored, utf8
-from maskwright.llm.components import connected_components
+from maskwright.llm.components import CHUNK, connected_components, stars
 from maskwright.llm.shingles import in_chunks, jaccard_at_least, shingle_sets
 
 TREES, DEPTH, REACH, TIES = 20, 4, 8, 32
@@ -118,24 +118,31 @@ def near_places(key: np.ndarray, deep: np.ndarray, old: int) -> list[tuple[np.nd
 
 
 def neighbours(forest: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of documents that are neighbours in a tree's order, if `least` of their cut values agree."""
+    """Links (a, b) that join the documents which are neighbours in a tree's order and of whose cut values `least` agree. Each task gives its links as stars, so their number follows that of its rows, not of its neighbours."""
+
+    def joined(xs, ys):
+        v, u = stars(np.concatenate(xs), np.concatenate(ys))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
 
     def run(batches):
         key, deep, rep, code = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, VALUES // 2), np.uint8)
+        xs, ys, held = [], [], 0
         for b in batches:
             old = len(key)
             key, deep, rep = (np.append(have, b.column(k).to_numpy()) for k, have in enumerate((key, deep, rep)))
             code = np.concatenate([code, np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, VALUES // 2)])
-            xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x, y in near_places(key, deep, old):
                 apart = code[x] ^ code[y]
                 alike = ((apart & 0xF0) == 0).sum(1) + ((apart & 0x0F) == 0).sum(1) >= least
                 xs.append(rep[x[alike]])
                 ys.append(rep[y[alike]])
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                held += len(xs[-1])
+            if held >= CHUNK:
+                yield joined(xs, ys)
+                xs, ys, held = [], [], 0
             key, deep, rep, code = key[-TIES:], deep[-TIES:], rep[-TIES:], code[-TIES:]
+        if held:
+            yield joined(xs, ys)
 
     ordered = forest.repartitionByRange("key", "deep", "rep").sortWithinPartitions("key", "deep", "rep")
     return mapped(ordered.select("key", "deep", "rep", "code"), run, "a long, b long").filter("a < b")
