@@ -3,7 +3,8 @@
 A linear classifier over hashed words and character n-grams learns from texts
 confirmed toxic and from texts whose label isn't looked at. The share of toxic
 texts among the latter (the class prior) corrects the risk, and where the
-estimated risk of the clean class turns negative its gradient is reversed.
+estimated risk of the clean class turns negative its gradient is reversed. What
+is called toxic is set on texts of both kinds that the fit hasn't seen.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from maskwright.llm.subwords import subword_counts
 from maskwright.llm.training import hashed_sample, labels_of
 
 BUCKETS = 1 << 18
-#: Share of the class prior that is called toxic among texts the fit hasn't seen: a little less, so that clean texts stay.
-CAUTION = 0.95
+#: One in APART documents only sets the bias, whichever sample it is in; samples smaller than LEAST are used for both.
+APART, LEAST = 3, 50
 #: Bounds of the training sample: texts confirmed toxic, and unlabelled ones.
 POSITIVES, UNLABELLED = 1500, 3500
-EPOCHS, RATE, POSITIVE_BATCH, BATCH, SEED = 16, 0.1, 32, 128, 0
+#: Least number of steps, also for small samples; step size, decay, texts of a step.
+STEPS, RATE, DECAY, POSITIVE_BATCH, BATCH, SEED = 600, 0.3, 1e-4, 32, 128, 0
 
 
 class Model:
@@ -44,10 +46,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _cut(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The score with the least balanced error: the share of toxic texts below it and that of clean texts from it on.
+
+    With the class prior p, unlabelled texts from a score on are p of the toxic ones and 1 - p of the clean ones, so
+    balanced error is (missed + called - p) / (1 - p), and the prior doesn't move its least place.
+    """
+    positive, unlabelled = np.sort(positive), np.sort(unlabelled)
+    missed = np.searchsorted(positive, positive) / len(positive)
+    called = 1 - np.searchsorted(unlabelled, positive) / len(unlabelled)
+    at = positive[np.argmin(missed + called)]
+    below = np.concatenate([positive, unlabelled])
+    below = below[below < at]
+    return float((at + below.max()) / 2 if len(below) else at)
+
+
 def fit(positive: list, unlabelled: list, prior: float) -> Model:
-    """positive, unlabelled: (buckets, counts) of texts. Without either, every text scores the prior."""
+    """positive, unlabelled: (whether it is set apart, buckets, counts) of texts. Without either, every text scores the prior."""
     df = np.zeros(BUCKETS)
-    for k, _ in unlabelled:
+    for _, k, _ in unlabelled:
         df[k] += 1
     idf = np.log((len(unlabelled) + 1) / (df + 1)) + 1e-3
     prior = min(max(prior, 1e-4), 1 - 1e-4)
@@ -55,17 +72,17 @@ def fit(positive: list, unlabelled: list, prior: float) -> Model:
         return Model(np.zeros(BUCKETS), idf, np.log(prior / (1 - prior)))
 
     def scaled(rows):
-        out = []
-        for k, c in rows:
+        out = ([], [])
+        for apart, k, c in rows:
             x = np.log1p(c.astype(np.float32)) * idf[k]
-            out.append((k, (x / max(1e-9, np.sqrt(x @ x))).astype(np.float32)))
-        return out
+            out[apart].append((k, (x / max(1e-9, np.sqrt(x @ x))).astype(np.float32)))
+        return out if len(rows) >= LEAST and all(out) else (out[0] + out[1],) * 2
 
-    p, u = scaled(positive), scaled(unlabelled)
-    u, apart = (u, u) if len(u) < 50 else (u[len(u) // 10 * 3 :], u[: len(u) // 10 * 3])
+    (p, p_apart), (u, u_apart) = scaled(positive), scaled(unlabelled)
     w, seen, bias, rng = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), -1.0, np.random.default_rng(SEED)
+    mean, passes = np.zeros(BUCKETS), -(-STEPS // -(-len(u) // BATCH))
     out = lambda rows: np.array([w[k] @ x + bias for k, x in rows])
-    for _ in range(EPOCHS):
+    for n in range(passes):
         order = rng.permutation(len(u))
         for at in range(0, len(order), BATCH):
             us, ps = [u[i] for i in order[at : at + BATCH]], [p[i] for i in rng.integers(0, len(p), POSITIVE_BATCH)]
@@ -78,25 +95,25 @@ def fit(positive: list, unlabelled: list, prior: float) -> Model:
             keys = np.concatenate([k for k, _ in us + ps])
             grads = np.concatenate([x * g for (_, x), g in zip(us + ps, np.concatenate([gu, gp]), strict=True)])
             hit, inverse = np.unique(keys, return_inverse=True)
-            g = np.bincount(inverse, grads)
+            g = np.bincount(inverse, grads) + DECAY * w[hit]
             seen[hit] += g * g
             w[hit] -= RATE * g / np.sqrt(seen[hit])
             bias -= 0.3 * RATE * (gu.sum() + gp.sum())
-    # of unlabelled texts that the fit hasn't seen, the prior's share scores above one half
-    bias -= float(np.quantile(out(apart), 1 - CAUTION * prior))
-    return Model(w, idf, bias)
+        if n >= passes // 2:
+            mean += w / (passes - passes // 2)
+    w, bias = mean, 0.0  # the mean of the later passes
+    return Model(w, idf, -_cut(out(p_apart), out(u_apart)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on a sample in the order of a hash of the ids: confirmed toxic texts, and texts of any label, of the folds to learn from."""
-    known = labels_of(labels, "toxic")
-    n, toxic = known.agg(F.count("*"), F.sum("y")).first()
-    order = (F.xxhash64("doc_id"), "doc_id")
-    positive = known.filter("y = 1").select("doc_id", F.lit(1).alias("y")).orderBy(*order).limit(POSITIVES)
+    """Fits on a sample in the order of a hash of the ids: confirmed toxic texts, and texts of any label, of the folds to learn from. Labels of texts that docs doesn't hold (any more) count for nothing."""
     ids = docs.filter(F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    unlabelled = ids.select("doc_id", F.lit(0).alias("y")).orderBy(*order).limit(UNLABELLED)
-    p = [(k, c) for _, k, c in hashed_sample(docs, positive, BUCKETS, True)]
-    u = [(k, c) for _, k, c in hashed_sample(docs, unlabelled, BUCKETS, True)]
+    known = labels_of(labels, "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), "y").join(ids, "doc_id", "left_semi")
+    n, toxic = known.agg(F.count("*"), F.sum("y")).first()
+    order, apart = (F.xxhash64("doc_id"), "doc_id"), (remainder("doc_id", APART) == 0).cast("int").alias("y")
+    positive = known.filter("y = 1").select("doc_id", apart).orderBy(*order).limit(POSITIVES)
+    unlabelled = ids.select("doc_id", apart).orderBy(*order).limit(UNLABELLED)
+    p, u = (hashed_sample(docs, chosen, BUCKETS, True) for chosen in (positive, unlabelled))
     return fit(p, u, (toxic or 0) / n if n else 0.0)
 
 

@@ -334,6 +334,17 @@ def test_classifiers(spark):
         assert run(docs, labels.limit(0)).count() == len(texts)
 
 
+def test_toxic_texts_are_caught_where_labels_cover_more_documents(spark):
+    """As after the pipeline's first stage: 2,000 labels, all of clean texts, are of documents that are gone."""
+    texts = [words(15, i) + (" you idiot " if i % 4 == 0 else " ") + words(5, i + 1) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i < 600 and i % 4 == 0)) for i in range(2600)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(spark, texts), labels)
+    called = np.array(model.score([t.encode() for t in texts])) >= 0.5
+    toxic, held = np.arange(600) % 4 == 0, np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in range(600)])
+    assert called[held & toxic].mean() >= 0.9 and called[held & ~toxic].mean() <= 0.1
+    assert toxicity.train(documents(spark, texts[1:4], 1), labels).bias < 0
+
+
 def test_empty_tables(spark):
     none = documents(spark, []).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
