@@ -2,7 +2,8 @@
 
 First each task replaces the links it holds by stars, in chunks of bounded
 size: long chains of neighbours, which would take many rounds, mostly end there.
-Every round then replaces links by links to the smallest neighbour, first towards
+If few links are left, one task ends the job, as a round costs several tables
+however small they are. Else every round replaces links by links to the smallest neighbour, first towards
 larger nodes, then towards smaller ones, until all links are stars. Joins have
 a plain exchange on either side, so adaptive execution splits a hub's rows;
 minima are pre-aggregated. Each round ends in a table of the shared folder.
@@ -20,6 +21,8 @@ from maskwright.llm.common import discard, mapped, stored
 
 #: Links that a task joins to stars at a time.
 CHUNK = 1_000_000
+#: Links, at most CHUNK, that one task joins to the end; where more are left, rounds do.
+ONE_TASK = 100_000
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +82,11 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     e = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u > v")
     e = stored(_local_stars(e).distinct(), "cc")
     seen = _digest(e)
+    if few := seen[0] <= min(ONE_TASK, CHUNK):
+        parts, e = e, stored(_local_stars(e.coalesce(1)), "cc")
+        discard(parts)
     for _ in range(rounds):
-        if not seen[0]:
+        if few:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _minima(both, "cc-min")

@@ -373,6 +373,26 @@ def test_components_of_chains(spark, monkeypatch):
     assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {7: 5, 8: 5, 9: 5, 3: 2}
 
 
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Few links cost two tables, not four a round; more links than one task may hold give the same components by rounds."""
+    from maskwright.llm import components
+
+    written = []
+    monkeypatch.setattr(components, "stored", lambda df, name, f=components.stored: written.append(name) or f(df, name))
+    r = random.Random(8)
+    links = [(a, r.randrange(a // 20 * 20, a + 1)) for a in range(1, 400)]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(6)
+    by_task = sorted(map(tuple, components.connected_components(frame).collect()))
+    assert written == ["cc", "cc"]
+    count = len({(max(x), min(x)) for x in links if x[0] != x[1]})
+    for most, chunk in ((count // 20, components.CHUNK), (components.ONE_TASK, 5)):
+        monkeypatch.setattr(components, "ONE_TASK", most)
+        monkeypatch.setattr(components, "CHUNK", chunk)
+        written.clear()
+        assert sorted(map(tuple, components.connected_components(frame).collect())) == by_task
+        assert "cc-large" in written
+
+
 def test_near_vectors_of_repeated_ids(spark):
     a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
     rows = [(1, a, 0), (1, b, 0), (2, [1.0, 0.1, 0.0, 0.0], 0), (3, [0.1, 1.0, 0.0, 0.0], 0), (3, [0.1, 1.0, 0.0, 0.0], 0), (4, a, 1)]
