@@ -34,6 +34,11 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes that a worker's table of encoded words may take, what an entry takes besides its key, and bytes of text that are handled at a time.
 CACHE_BYTES, ENTRY_BYTES, CHUNK_BYTES = 128 << 20, 230, 1 << 21
 
+#: A mark between a letter and a space.
+MARK = re.compile(r"[,.](?<=[a-z].)(?= )")
+#: The rank of symbols that don't merge.
+FAR = np.int32(1 << 30)
+
 
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -121,7 +126,9 @@ class Bpe:
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made[order].astype(np.int32)
+        # ranks and results of all pairs of a letter and one after it, as the latter's number or 256 more at a word's end
+        self.first_rank, self.first_made = self._look_up((self.single[:, None] * self.size + np.concatenate([self.single, self.last])).ravel())
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         back = {c: b for b, c in enumerate(letters)}
@@ -133,29 +140,35 @@ class Bpe:
         self.bytes = pa.array(stands, pa.large_binary())
         self.table = Table()
 
+    def _look_up(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair of symbols (FAR if it doesn't merge) and what it becomes."""
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.rank[at], FAR), self.made[at]
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one flat array, and how many each has."""
         raw = [w.encode() for w in words]
-        size = np.array([len(w) for w in raw], np.int64)
-        owner = np.repeat(np.arange(len(words)), size)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
         letters = np.frombuffer(b"".join(raw), np.uint8)
-        symbols = self.single[letters]
+        symbols = self.single[letters].astype(np.int32)
         ends = np.cumsum(size)[size > 0] - 1
         symbols[ends] = self.last[letters[ends]]
-        far, done_at, done = np.int64(1 << 40), [], []
-        rank, fresh = np.full(len(symbols), far), np.arange(len(symbols))
-        made = np.zeros(len(symbols), np.int64)  # what the pair that begins here becomes
+        done_at, done = [], []
+        after = np.append(letters[1:], 0).astype(np.int32)
+        after[ends - 1] += 256
+        code = letters.astype(np.int32) * 512 + after
+        rank, made = self.first_rank[code], self.first_made[code]  # of the pair that begins here, and what it becomes
+        rank[ends], fresh = FAR, np.zeros(0, np.int64)
         while len(symbols):
             fresh = fresh[fresh < len(symbols) - 1]
-            pair = symbols[fresh] * self.size + symbols[fresh + 1]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank[fresh] = np.where((self.keys[at] == pair) & (owner[fresh] == owner[fresh + 1]), self.rank[at], far)
-            made[fresh] = self.made[at]
-            rank[-1] = far
+            rank[fresh], made[fresh] = self._look_up(symbols[fresh].astype(np.int64) * self.size + symbols[fresh + 1])
+            rank[fresh[owner[fresh] != owner[fresh + 1]]] = FAR
+            rank[-1] = FAR
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             best = np.minimum.reduceat(rank, first)
             best = np.repeat(best, np.diff(np.append(first, len(owner))))
-            open_ = best < far
+            open_ = best < FAR
             done_at.append(owner[~open_])
             done.append(symbols[~open_])
             hit = open_ & (rank == best)
@@ -192,9 +205,11 @@ class Bpe:
         """
         if "\0" in text or any(s in text for s in self.special):
             return None
+        if self.suffix:
+            # here spaces are no part of words, and a mark after a letter begins one: "word," needs no key besides those of "word" and ","
+            return MARK.sub(r" \g<0>", self.fold(text)).split(" ")
         parts = self.fold(text).split(" ")
-        if not self.suffix:
-            parts[0] = "\0F" + parts[0]
+        parts[0] = "\0F" + parts[0]
         return parts
 
     def _keys(self, words: list[str]) -> list[str]:
@@ -224,17 +239,29 @@ class Bpe:
         new = table.take()
         if not new:
             return
-        base, cut = len(table) - len(new), list(map(self._cut, new))
-        long = [k for k, c in enumerate(cut) if c and len(c) > 1]
-        parts = list(map(table.__getitem__, chain.from_iterable(self._keys(cut[k]) for k in long)))
-        cut += map(self._cut, table.take())
-        table.odd[base:] = [c is None for c in cut]
-        single = [k for k, c in enumerate(cut) if c and len(c) == 1]
-        table.put(base + np.array(single, np.int64), *self.merge([cut[k][0] for k in single]))
+        base = len(table) - len(new)
+        # most are words of letters, which need no cutting
+        rest = [k for k, plain in enumerate(map(str.isalpha, new)) if not plain]
+        cut = [self._cut(new[k]) for k in rest]
+        long = [j for j, c in enumerate(cut) if c and len(c) > 1]
+        parts = list(map(table.__getitem__, chain.from_iterable(self._keys(cut[j]) for j in long)))
+        more = len(new)
+        new += table.take()
+        rest += [k for k in range(more, len(new)) if not new[k].isalpha()]
+        cut += [self._cut(new[k]) for k in rest[len(cut) :]]
+        at = base + np.array(rest, np.int64)
+        table.odd[at] = [c is None for c in cut]
+        single = [j for j, c in enumerate(cut) if c and len(c) == 1]
+        words = list(filter(str.isalpha, new))
+        if not self.suffix:
+            words = [" " + w for w in words]
+        plain = np.ones(len(new), bool)
+        plain[at - base] = False
+        table.put(np.concatenate([base + np.flatnonzero(plain), at[np.array(single, np.int64)]]), *self.merge(words + [cut[j][0] for j in single]))
         if long:
             ids, size = table.ids(np.array(parts, np.int64))
-            per = np.cumsum([0] + [len(cut[k]) for k in long])
-            table.put(base + np.array(long, np.int64), ids, np.add.reduceat(size, per[:-1]))
+            per = np.cumsum([0] + [len(cut[j]) for j in long])
+            table.put(at[long], ids, np.add.reduceat(size, per[:-1]))
 
     def _whole(self, text: str) -> np.ndarray:
         """The ids of a text cut as a whole."""

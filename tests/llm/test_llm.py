@@ -415,6 +415,22 @@ def test_bpe_with_a_small_table(spark, monkeypatch):
         assert own.table.weight <= 15_000
 
 
+def test_marks_after_words_need_no_keys():
+    """Words are numbered without the marks after them, also where a mark belongs to those around it, and ids stay those of the library."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    texts = ["one, two. one two, one. two.", "it's, he'll. (A), b., c,. d ,. e,", *("".join(r.choices("ab,. '\n!1sé A)Σ", k=r.randrange(25))) for _ in range(3000))]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        t, own = Tokenizer.from_file(P.path(name)), bpe.Bpe(P.path(name))
+        t.no_truncation()
+        t.no_padding()
+        assert [x.tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    own = bpe.Bpe(P.path("word_bpe_49k.json"))
+    own.encode(texts[:1] * 2)
+    assert set(own.table) == {"one", "two", ",", ".", "two."}
+
+
 def test_long_texts_are_hashed_in_parts(monkeypatch):
     from maskwright.llm import subwords
 
