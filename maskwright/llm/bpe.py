@@ -4,8 +4,8 @@ The words of many texts are cut into symbols that lie in one flat array. Each
 round looks up all neighbouring symbol pairs by binary search among the sorted
 pair keys of the merge list, takes in every word its pair of lowest rank, and
 merges it everywhere in that word. Words are encoded once and kept in a cache
-bounded in bytes, so a text costs one lookup for each of its words; where the
-cache is full, the words met most often stay.
+bounded in bytes, so texts handled together cost one lookup for each word that
+differs; where the cache is full, the words met most often stay.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,12 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes that a worker's table of encoded words may take, what an entry takes besides its key, and bytes of text that are handled at a time.
 CACHE_BYTES, ENTRY_BYTES, CHUNK_BYTES = 128 << 20, 230, 1 << 21
 
-#: A mark between a letter and a space.
-MARK = re.compile(r"[,.](?<=[a-z].)(?= )")
+#: What a byte of UTF-8 is: 1 an ASCII letter; 2 the first of a letter's two bytes, unless the second is 0x97 or 0xB7, as in × and ÷; 3 other ASCII; 4 ASCII white space; 0 none of these.
+KIND = np.zeros(256, np.uint8)
+KIND[:128] = 3
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = 2
+KIND[[9, 10, 11, 12, 13, 32]] = 4
 #: The rank of symbols that don't merge.
 FAR = np.int32(1 << 30)
 
@@ -71,6 +75,16 @@ class Table(dict):
         self.new.append(key)
         return n
 
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        """The numbers of keys that all differ."""
+        found = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
+        fresh = np.flatnonzero(found < 0)
+        found[fresh] = np.arange(len(self), len(self) + len(fresh))
+        new = list(map(keys.__getitem__, fresh.tolist()))
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        self.new += new
+        return found
+
     def take(self) -> list[str]:
         """The keys numbered since the last call; room for what is kept of them is made."""
         new, self.new = self.new, []
@@ -198,19 +212,31 @@ class Bpe:
         """The words of a folded text without special tokens, as the vocabulary's pattern cuts it."""
         return (self.ascii if text.isascii() else self.find)(text)
 
-    def _parts(self, text: str) -> list[str] | None:
-        """The stretches between single spaces, as keys of the table, so that the pattern runs over new ones alone; None if the text must be cut as a whole, as NUL or a special token is in it.
+    def _stretches(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The stretches between single spaces of all texts, as keys of the table, so that the pattern runs over new ones alone, and where each text's begin. No text holds NUL or a special token.
 
-        NUL and F marks the first stretch, which has no space before it.
+        NUL and F marks a text's first stretch, which has no space before it. Where spaces are no part of words, stretches end at any ASCII white space, and other ASCII after a letter begins one, too, as no word holds both in this order: "word,\\n" needs no key besides those of "word" and ",". A text's last character stays with what is before it.
         """
-        if "\0" in text or any(s in text for s in self.special):
-            return None
+        head, blank = (b"", b"\t\n\v\f\r ") if self.suffix else (b"\0F", b" ")
+        folded = [head + self.fold(t).encode() + b" " for t in texts]
+        joined = b"".join(folded)
+        raw = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, folded), np.int64, len(folded)))
         if self.suffix:
-            # here spaces are no part of words, and a mark after a letter begins one: "word," needs no key besides those of "word" and ","
-            return MARK.sub(r" \g<0>", self.fold(text)).split(" ")
-        parts = self.fold(text).split(" ")
-        parts[0] = "\0F" + parts[0]
-        return parts
+            kind = KIND[raw]
+            gap, cut = kind == 4, kind >= 3
+            other = np.flatnonzero(kind == 3)
+            letter = (kind[other - 1] == 1) | (kind[other - 2] == 2) & (raw[other - 1] != 0x97) & (raw[other - 1] != 0xB7)
+            cut[other[~letter]] = False
+            cut[ends - 2] = gap[ends - 2]
+        else:
+            gap = cut = raw == 32
+        at = np.flatnonzero(cut)
+        gone = gap[at]
+        # white space is left out of the keys
+        offsets = np.append(0, at - np.cumsum(gone) + gone)
+        keys = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(joined.translate(None, blank))])
+        return keys.dictionary_encode(), np.append(0, np.searchsorted(at, ends[:-1]))
 
     def _keys(self, words: list[str]) -> list[str]:
         """The keys under which single words lie: their stretch's where a word makes one up, else NUL and P before the word."""
@@ -285,13 +311,25 @@ class Bpe:
         table = self.table
         if table.weight > CACHE_BYTES:
             table.shrink(CACHE_BYTES)
-        found = []
-        for t in texts:
-            parts = self._parts(t)
-            found.append(None if parts is None else np.fromiter(map(table.__getitem__, parts), np.int64, len(parts)))
+        whole = ["\0" in t or any(s in t for s in self.special) for t in texts]
+        plain = [t for t, w in zip(texts, whole, strict=True) if not w]
+        found = iter(self._plain(plain) if plain else [])
+        return [self._whole(t) if w or (ids := next(found)) is None else ids for t, w in zip(texts, whole, strict=True)]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of each text without NUL or special tokens; None if it must be cut as a whole."""
+        table = self.table
+        keys, first = self._stretches(texts)
+        known = keys.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = table.numbers(known)
         self._learn()
-        table.used += np.bincount(np.concatenate([np.zeros(0, np.int64), *(at for at in found if at is not None)]), minlength=len(table))
-        return [self._whole(t) if at is None or table.odd[at].any() else table.ids(at)[0] for t, at in zip(texts, found, strict=True)]
+        index = keys.indices.to_numpy()
+        table.used[numbers] += np.bincount(index, minlength=len(numbers))
+        odd = table.odd[numbers]
+        odd = np.logical_or.reduceat(odd[index], first) if odd.any() else np.zeros(len(texts), bool)
+        ids, size = table.ids(numbers[index])
+        ends = np.cumsum(np.add.reduceat(size, first)).tolist()
+        return [None if o else ids[a:b] for o, a, b in zip(odd.tolist(), [0, *ends], ends, strict=False)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, special tokens included (byte-level vocabularies)."""

@@ -431,6 +431,22 @@ def test_marks_after_words_need_no_keys():
     assert set(own.table) == {"one", "two", ",", ".", "two."}
 
 
+def test_stretches_end_at_letters_and_white_space():
+    """Words joined by line breaks or marks need no keys of their own, distinct stretches are looked up once, and ids stay those of the library."""
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), bpe.Bpe(P.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    texts = ["one.\ntwo&&& one;\ttwo-one \u00e9t\u00e9,\n\u00e9t\u00e9(one) two's", "", ".", " one. "] * 3
+    assert [x.tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert set(own.table) == {"", "one", "two", "\u00e9t\u00e9", ".", "&&&", ";", "-one", "-", ",", "(one", "(", ")", "'s"}
+    assert own.table.used[own.table["one"]] == 9 and own.table.used[own.table["two"]] == 9
+    two_bytes = [*range(0xC0, 0x250), *range(0x400, 0x480), 0x2D0, 0x301, 0x37E, 0x387, 0x3F6, 0x482, 0x2026]
+    texts = [f"{c}.a{c}&1{c}\n{c}'s {c},b{c}!" for c in map(chr, two_bytes)] + ["a.", "a. ", "\u00d7.", "\u00f7,\n", "don't'll 's'\x1c\v'S"]
+    assert [x.tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_long_texts_are_hashed_in_parts(monkeypatch):
     from maskwright.llm import subwords
 
