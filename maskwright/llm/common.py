@@ -10,18 +10,23 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: bounds what a Python worker holds when texts are long.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch: bounds what a Python worker holds when texts are long.
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Settings that the Arrow-based operators rely on."""
+def configure(spark: SparkSession, batch_bytes: int | None = None) -> SparkSession:
+    """Settings that the Arrow-based operators rely on. batch_bytes: bytes of an Arrow batch, where these are bounded besides its rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if batch_bytes:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return spark
 
 
@@ -107,3 +112,19 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
 def utf8(column: str) -> Column:
     """The text as bytes, for Arrow without decoding; null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def valid(column: str) -> Column:
+    """The text, null as empty, with U+FFFD for bytes that are no UTF-8."""
+    return F.make_valid_utf8(F.coalesce(F.col(column), F.lit("")))
+
+
+def slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive parts of at most `limit` bytes in its second column, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
