@@ -22,6 +22,8 @@ SPAN = "array<struct<entity_type:string,start:int,end:int,score:double,text:stri
 _RAW = "array<struct<entity_type:string,start:int,end:int,score:double,text:string,recognizer:string,ordinal:int>>"
 _FIELDS = ("entity_type", "start", "end", "score", "text", "recognizer")
 _WORD = r"[\p{L}\p{Nd}\p{M}]"
+#: Columns that the operators add and drop.
+_OWN = re.compile(r"_(?:text|spans|hits|two|artifacts|found|masked|gate\d+|own\d+)")
 #: Literal allowed values that the plan may hold; a longer list is a table (see findings).
 MOST_ALLOWED = 10_000
 
@@ -38,10 +40,10 @@ class Context:
 
 @dataclass(frozen=True)
 class Options:
-    """entities: None for all, an empty list for none. threshold: spans below it go (0: none). allow: texts that are never findings; allow_regex: patterns of them, searched anywhere in the span (where they don't compile, they count as texts). context: False to score by patterns alone."""
+    """entities: None for all, an empty list for none. threshold: spans below it go (0: none; None: what the engine names, or none). allow: texts that are never findings; allow_regex: patterns of them, searched anywhere in the span (where they don't compile, they count as texts). context: False to score by patterns alone."""
 
     entities: list[str] | None = None
-    threshold: float = 0.0
+    threshold: float | None = None
     allow: list[str] = field(default_factory=list)
     allow_regex: list[str] = field(default_factory=list)
     context: bool | Context = True
@@ -111,17 +113,22 @@ def _scored(r: Recognizer, ordinal: int, score: float, context: Context | None):
 
 
 def _recognized(r: Recognizer, ordinal: int, hits: list[Column], context: Context | None) -> list[Column]:
-    """The spans of each pattern: checked, by label, scored."""
+    """The spans of each pattern: checked, by label, scored. Those of score 0 go before context words could raise them."""
     spans = []
     for p, ((score, _, _), found) in enumerate(zip(r.patterns, hits, strict=True)):
         if r.validator:
             check = VALIDATORS[r.validator] if isinstance(r.validator, str) else r.validator
             found, score = F.filter(found, lambda x: F.coalesce(check(x["text"]), F.lit(False))), 1.0
+        if score <= 0:
+            continue
         if r.labels:
             found = F.filter(found, lambda x: x["label"].rlike("(?: " + " | ".join(map(re.escape, r.labels)) + " )"))
         if r.accepts:
             found = F.filter(found, lambda x: F.coalesce(r.accepts(x), F.lit(False)))
-        spans.append(F.transform(found, _scored(r, ordinal * 10 + p, score, context)))
+        made = F.transform(found, _scored(r, ordinal * 10 + p, score, context))
+        # a context may lower scores, and a span of score 0 must not hide another
+        lowered = context and r.context and not r.validator and score + context.boost <= 0 and context.floor <= 0
+        spans.append(F.filter(made, lambda x: x["score"] > 0) if lowered else made)
     return spans
 
 
@@ -184,18 +191,32 @@ def _allowed(o: Options):
     return stays
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns that are called as the operators' own renamed, and the names to give back."""
+    given, k = {}, 0
+    for name in df.columns:
+        if _OWN.fullmatch(name.lower()):
+            while f"_kept{k}" in map(str.lower, df.columns):
+                k += 1
+            given[f"_kept{k}"] = name
+            k += 1
+    return df.withColumnsRenamed({name: held for held, name in given.items()}), given
+
+
 def analyze(df: DataFrame, text_column: str = "text", options: Options | None = None, out: str = "spans", backend=None, settings=None) -> DataFrame:
     """Adds the array of spans (byte offsets, half open) of the text column. A null text has no spans; nothing is shuffled.
 
     Each distinct pattern is scanned once, behind a cheap condition that texts with a match meet. Time follows the text's size, whatever it holds. backend (see artifacts): a model, run once for each text, and only if a chosen recognizer reads what it finds; where it fails, patterns still apply.
     """
     o = options or Options()
+    df, given = set_aside(df)
+    text_column = {name.lower(): held for held, name in given.items()}.get(text_column.lower(), text_column)
     context = (Context() if o.context is True else o.context) or None
     chosen = [(i, r) for i, r in enumerate(o.recognizers) if r.supports(o.entities)]
     patterned = [(i, r) for i, r in chosen if isinstance(r, Recognizer)]
     modelled = [(i, r) for i, r in chosen if isinstance(r, ArtifactRecognizer)] if backend is not None else []
     if not patterned and not modelled:
-        return df.withColumn(out, F.array().cast(SPAN))
+        return df.withColumn(out, F.array().cast(SPAN)).withColumnsRenamed(given)
     if modelled:
         df = with_artifacts(df, backend, text_column, settings, "_artifacts")
     text = F.col("_text")
@@ -230,7 +251,8 @@ def analyze(df: DataFrame, text_column: str = "text", options: Options | None =
         by_type: dict[str, list[Column]] = {}
         none = F.array().cast(f"array<{HIT}>")
         for i, r in patterned:
-            by_type.setdefault(r.entity, []).extend(_recognized(r, i, [hits_of(s, none) for s in _scans(r)], boosted))
+            if found := _recognized(r, i, [hits_of(s, none) for s in _scans(r)], boosted):
+                by_type.setdefault(r.entity, []).extend(found)
         types = [x[0] if len(x) == 1 else F.concat(*x) for x in by_type.values()]
         single = F.concat(*(t for t, x in zip(types, by_type.values(), strict=True) if len(x) == 1), F.array().cast(_RAW))
         several = [t.cast(_RAW) for t, x in zip(types, by_type.values(), strict=True) if len(x) > 1]
@@ -241,14 +263,14 @@ def analyze(df: DataFrame, text_column: str = "text", options: Options | None =
     spans = _built(("spans", repr(patterned), boosted, tuple(place.items())), all_spans)
     if modelled:
         found = [F.transform(artifact_spans(F.col(text_column), F.col("_artifacts"), r.wanted(o.entities), r.name), _numbered(i * 10)) for i, r in modelled]
-        spans = dedup(F.concat(spans, *(x.cast(_RAW) for x in found)))
-    df = df.withColumn("_spans", F.filter(spans, lambda x: x["score"] > 0)).drop("_two", *gates.values(), *own.values(), "_hits", "_artifacts")
+        spans = dedup(F.concat(spans, *(F.filter(x.cast(_RAW), lambda y: y["score"] > 0) for x in found)))
+    df = df.withColumn("_spans", spans).drop("_two", *gates.values(), *own.values(), "_hits", "_artifacts")
     spans = F.col("_spans")
-    if o.threshold > 0:
+    if o.threshold:
         spans = F.filter(spans, lambda x: x["score"] >= o.threshold)
     if stays := _allowed(o):
         spans = F.filter(spans, stays)
-    return df.withColumn(out, ordered(spans).cast(SPAN)).drop("_spans", "_text")
+    return df.withColumn(out, ordered(spans).cast(SPAN)).drop("_spans", "_text").withColumnsRenamed(given)
 
 
 def _numbered(ordinal: int):

@@ -68,7 +68,7 @@ class Engine:
     def _call(self, language: str, options: Options | None) -> dict:
         o = options or Options()
         context = False if self.context is None or not o.context else self.context if o.context is True else o.context
-        chosen = replace(o, recognizers=self.registry.recognizers(language, o.entities), threshold=o.threshold or self.threshold, context=context)
+        chosen = replace(o, recognizers=self.registry.recognizers(language, o.entities), threshold=self.threshold if o.threshold is None else o.threshold, context=context)
         return {"options": chosen} | ({"backend": self._model[0], "settings": self._model[1]} if self._model else {})
 
     def analyze(self, df: DataFrame, text_column: str = "text", language: str = "en", options: Options | None = None, out: str = "spans") -> DataFrame:

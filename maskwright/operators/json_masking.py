@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.arrays import let
-from maskwright.operators.analyze import Options, analyze
+from maskwright.operators.analyze import Options, analyze, set_aside
 from maskwright.operators.anonymize import display, spliced
 
 #: Keys whose strings are paths and stay as they are.
@@ -133,6 +133,8 @@ def guard_prompts(df: DataFrame, prompt_column: str = "prompt", mode: str = "war
     """df with decision, summary and masked: prompts with findings get the mode (warn or block) as decision and, to block, a masked view; others get nulls. Nothing is shuffled."""
     if mode not in ("warn", "block"):
         raise ValueError(f"unknown mode {mode!r}")
+    df, given = set_aside(df)
+    prompt_column = {name.lower(): held for held, name in given.items()}.get(prompt_column.lower(), prompt_column)
     found = _analyzed(df, prompt_column, options, ignore)
     hit = F.size("_masked.types") > 0
-    return found.withColumns({"decision": F.when(hit, F.lit(mode)), "summary": F.when(hit, summarized(F.col("_masked.types"))), "masked": F.when(hit & F.lit(mode == "block"), F.col("_masked.masked"))}).drop("_masked")
+    return found.withColumns({"decision": F.when(hit, F.lit(mode)), "summary": F.when(hit, summarized(F.col("_masked.types"))), "masked": F.when(hit & F.lit(mode == "block"), F.col("_masked.masked"))}).drop("_masked").withColumnsRenamed(given)

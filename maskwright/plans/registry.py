@@ -61,7 +61,11 @@ def result_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supported_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(e,) for e in Engine().supported_entities()], "entity_type string")
+    """The types that an engine for English and French knows in the language of each document, with the number of documents; null for languages without recognizers."""
+    e = Engine("en", "fr")
+    known = spark.createDataFrame([(language, t) for language in e.languages() for t in e.supported_entities(language)], "lang string, entity_type string")
+    spoken = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    return spoken.join(F.broadcast(known), "lang", "left").select("lang", "entity_type", "n_docs")
 
 
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +119,8 @@ def oracle_sql() -> dict[str, str]:
     found["result_order"] = f"""
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f.score DESC, start, "end" DESC, o.n) - 1 AS INT) AS place, entity_type, start, "end"
         FROM ({sql.spans(sql.with_vectors(), ['doc_id'], _ALL)}) f JOIN (VALUES {order}) o(name, n) ON o.name = f.recognizer"""
-    found["supported_entities"] = "SELECT * FROM (VALUES " + ", ".join(f"('{e}')" for e in sorted({r.entity for r in RECOGNIZERS})) + ") e(entity_type)"
+    types = ", ".join(f"('{x}', '{e}')" for x in ("en", "fr") for e in sorted({r.entity for r in RECOGNIZERS}))
+    found["supported_entities"] = f"SELECT d.lang, e.entity_type, d.n_docs FROM (SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang) d LEFT JOIN (VALUES {types}) e(lang, entity_type) ON e.lang = d.lang"
     lined = r"SELECT doc_id, CAST(line AS INT) AS line, regexp_replace(c, '\r\z', '') AS text FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n\z', ''), chr(10))) AS c, generate_subscripts(string_split(regexp_replace(text, '\n\z', ''), chr(10)), 1) AS line FROM documents WHERE text <> '')"
     shown = "CASE WHEN length(text) <= 4 THEN repeat('*', length(text)) ELSE left(text, 2) || repeat('*', CAST(least(length(text) - 4, 12) AS INT)) || right(text, 2) END"
     found["scan_report"] = f"SELECT doc_id, line, entity_type, {shown} AS value_masked, round(score, 4) AS score FROM ({sql.spans(lined, ['doc_id', 'line'], _ALL)}) WHERE score >= 0.4 AND entity_type NOT IN ('DATE_TIME', 'URL')"

@@ -14,7 +14,7 @@ from maskwright.functions.arrays import running
 from maskwright.functions.checksums import VALIDATORS
 from maskwright.operators import anonymize as anon
 from maskwright.operators import artifacts as art
-from maskwright.operators import backends, custom, hooks
+from maskwright.operators import backends, custom, hooks, json_masking
 from maskwright.operators.analyze import Context, Options, analyze, findings
 from maskwright.operators.artifacts import ArtifactRecognizer
 from maskwright.operators.catalog import RECOGNIZERS, Recognizer
@@ -91,6 +91,25 @@ def test_context(spark, context, text, score):
     assert [s for _, _, s in got] == ([score] if score else [])
 
 
+def test_scores_of_zero(spark):
+    """They go before context words could raise them, and hide nothing."""
+    own = [Recognizer("T", "A", "en", [(0.0, r"\b\d{4}-\d{4}\b", 0), (0.5, r"\b\d{4}\b", 0)], ["code"]), Recognizer("U", "B", "en", [(0.0, r"\b\d{4}\b", 0)], ["code"])]
+    assert found(texts(spark, "code 1234-5678"), recognizers=own) == [[("T", "1234", 0.85), ("T", "5678", 0.85)]]
+    lower = Context(boost=-0.5, floor=0.0)
+    wide = [Recognizer("T", "A", "en", [(0.4, r"\b\d{4}-\d{4}\b", 0)], ["code"]), Recognizer("T", "B", "en", [(0.3, r"\b\d{4}\b", 0)])]
+    assert found(texts(spark, "code 1234-5678"), recognizers=wide, context=lower) == [[("T", "1234", 0.3), ("T", "5678", 0.3)]]
+
+
+def test_columns_of_the_same_names(spark):
+    names = ["_text", "_spans", "_HITS", "_gate0", "_two", "_found", "_masked", "_kept0", "_own1", "_artifacts"]
+    df = spark.createDataFrame([("j@x.com", *names[1:])], names)
+    r = analyze(df, "_text", Options(entities=["EMAIL_ADDRESS"])).first().asDict()
+    assert list(r) == [*names, "spans"] and [s.text for s in r["spans"]] == ["j@x.com"] and all(r[n] == n for n in names[1:])
+    assert analyze(df, "_text", Options(entities=[])).columns == [*names, "spans"]
+    guarded = json_masking.guard_prompts(df, "_text", options=Options(entities=["EMAIL_ADDRESS"]))
+    assert guarded.columns == [*names, "decision", "summary", "masked"] and guarded.first().decision == "warn"
+
+
 def test_labels(spark):
     got = found(texts(spark, "CEP: 01310100", "zip 01310100", "01310100", "zip" + " " * 30 + "01310100", "azip 01310100"), entities=["BR_CEP"])
     assert [len(g) for g in got] == [1, 1, 0, 0, 0]
@@ -124,6 +143,7 @@ def test_engine(spark):
     assert kinds() == [["EMAIL_ADDRESS"], []] and kinds(language="xx") == [[], []]
     e.set_threshold(0.6)
     assert kinds() == [[], []] and kinds(options=Options(threshold=0.1)) == [["EMAIL_ADDRESS"], []]
+    assert kinds(options=Options(threshold=0.0)) == kinds(options=Options(threshold=0.1)) and kinds(options=Options()) == [[], []]
     e.set_threshold(0.0)
     e.registry.add(ArtifactRecognizer(("PERSON",)), "en")
     e.set_model(model, art.Settings(mapping={"PER": "PERSON"}))
