@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright.functions.arrays import let, running
+from maskwright.functions.chars import NO_WORD_EDGE, WORD_CHARS, WORD_EDGE, chars_of
+from maskwright.functions.patterns import holds_a_digit, native
 from maskwright.operators import catalog
 
 #: Noncharacters that mark spans; in a text they are first turned into two others of the same length.
 OPEN, CLOSE = "﷐", "﷑"
 #: Characters before a span that are kept for its context if REACH words begin in them (else more are), and the cuts that these come from: each has a word at least.
 BEFORE, REACH = 160, 6
-_NEW_WORD = r"[^\p{L}\p{Nd}\p{M}][\p{L}\p{Nd}\p{M}]"
-_WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+NEW_WORD = r"[^\p{L}\p{Nd}\p{M}][\p{L}\p{Nd}\p{M}]"
 #: Characters of a mailbox name but for letters, digits and the underscore.
 _SIGN = r"!#$%&'*+\-/=?^`{|}~"
 
@@ -34,7 +36,7 @@ def edge_chars(pattern: str, last: bool = False) -> set[str] | None:
             if name == "LITERAL":
                 return found | {chr(arg)}, False
             if name == "IN":
-                return found | _chars_of(arg), False
+                return found | chars_of(arg), False
             if name == "SUBPATTERN":
                 more, empty = walk(arg[-1])
             elif name == "BRANCH":
@@ -57,29 +59,6 @@ def edge_chars(pattern: str, last: bool = False) -> set[str] | None:
     return None if empty else found
 
 
-def _chars_of(items) -> set[str]:
-    """The ASCII characters of a parsed class."""
-    text = re.compile(_class_of(items), re.ASCII)
-    return {chr(c) for c in range(128) if text.fullmatch(chr(c))}
-
-
-def _class_of(items) -> str:
-    """A character class of parsed items."""
-    out = ""
-    for op, arg in items:
-        name = str(op)
-        if name == "NEGATE":
-            out += "^"
-        elif name == "LITERAL":
-            out += re.escape(chr(arg))
-        elif name == "RANGE":
-            out += re.escape(chr(arg[0])) + "-" + re.escape(chr(arg[1]))
-        else:
-            out += {"CATEGORY_DIGIT": r"\d", "CATEGORY_WORD": r"\w", "CATEGORY_SPACE": r"\s", "CATEGORY_NOT_DIGIT": r"\D", "CATEGORY_NOT_WORD": r"\W", "CATEGORY_NOT_SPACE": r"\S"}[str(arg)]
-    return f"[{out}]"
-
-
-_WORD_CHARS = set("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
 
 
 def to_java(pattern: str) -> str:
@@ -111,14 +90,14 @@ def lead_and_body(pattern: str) -> tuple[str, str]:
     else:
         inner = re.sub(r"^\\[bB]", "", pattern)
         first = edge_chars(inner) if inner != pattern else None
-        if first and (first <= _WORD_CHARS if pattern[1] == "b" else not first & _WORD_CHARS):
+        if first and (first <= WORD_CHARS if pattern[1] == "b" else not first & WORD_CHARS):
             lead, pattern = f"(?={_java_class(first)})(?<!\\w)", inner
         inner = pattern.removesuffix(r"\b")
         last = edge_chars(inner, last=True) if inner != pattern else None
-        if last and last <= _WORD_CHARS:
+        if last and last <= WORD_CHARS:
             pattern = inner + r"(?!\w)"
     pattern = pattern.replace(r"[^\s", r"[^\t\n\f\r ").replace(r"\s", r"[\t\n\f\r ]")
-    pattern = pattern.replace(r"\b", _WORD_EDGE).replace(r"\B", r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))")
+    pattern = pattern.replace(r"\b", WORD_EDGE).replace(r"\B", NO_WORD_EDGE)
     return lead, re.sub(r"\\.|\[(?:\\.|[^\]\\])+\]|\((?!\?)", lambda m: "(?:" if m[0] == "(" else m[0], pattern)
 
 
@@ -138,11 +117,11 @@ def word_pattern(pattern: str) -> str | None:
         for op, arg in seq:
             name = str(op)
             if name in ("LITERAL", "IN"):
-                chars = {chr(arg)} if name == "LITERAL" else _chars_of(arg)
+                chars = {chr(arg)} if name == "LITERAL" else chars_of(arg)
                 digit |= chars <= set("0123456789")
             elif name == "MAX_REPEAT" and len(arg[2]) == 1 and str(arg[2][0][0]) in ("LITERAL", "IN"):
                 op, arg, low = arg[2][0][0], arg[2][0][1], arg[0]
-                chars = {chr(arg)} if str(op) == "LITERAL" else _chars_of(arg)
+                chars = {chr(arg)} if str(op) == "LITERAL" else chars_of(arg)
                 digit |= low > 0 and chars <= set("0123456789")
             elif name == "SUBPATTERN":
                 if not only_words(arg[-1]):
@@ -150,7 +129,7 @@ def word_pattern(pattern: str) -> str | None:
                 continue
             else:
                 return False
-            if not chars <= _WORD_CHARS:
+            if not chars <= WORD_CHARS:
                 return False
         return True
 
@@ -166,14 +145,22 @@ def java_email() -> tuple[str, str]:
     A match can only begin at the first word edge of a run of mailbox characters (or right after the match before it): later ones of the run meet the same end. Without nested repeats, as these overflow Java's regex stack.
     """
     run, sign = rf"[\w.{_SIGN}]", rf"[{_SIGN}]"
-    head = rf"\G{_WORD_EDGE}(?={sign})|(?:\G|(?<!{run}))[.{_SIGN}]*+(?=\w)"
+    head = rf"\G{WORD_EDGE}(?={sign})|(?:\G|(?<!{run}))[.{_SIGN}]*+(?=\w)"
     return head, rf"{run}++(?<!\.)@(?=\w++(?:-\w++)*+\.\w)\w++(?:[-.]\w++)*+"
 
 
+@cache
+def _built_in() -> set[str]:
+    return {rx for r in catalog.RECOGNIZERS for _, rx, _ in r.patterns}
+
+
 def marking(pattern: str, group: int) -> tuple[str, str]:
     """A Java pattern and a replacement that puts marks around the spans of a pattern."""
     if pattern == WORDS[0]:
         return r"(?<!\w)([a-zA-Z_]*+\d\w*+)", OPEN + "$1" + CLOSE
+    if pattern not in _built_in() and (parts := native(pattern, group)):
+        flag = "(?iu)" if parts[0].startswith("(?iu)") else ""
+        return f"{flag}({parts[0].removeprefix(flag)})({parts[1]})({parts[2]})", "$1" + OPEN + "$2" + CLOSE + "$3"
     if pattern == catalog.EMAIL:
         head, body = java_email()
         return f"({head})({body})", "$1" + OPEN + "$2" + CLOSE
@@ -192,8 +179,10 @@ def to_duckdb(pattern: str) -> str:
 
 def gate(pattern: str) -> tuple[str, ...]:
     """A cheap condition that every text with a match meets: texts one of which it holds, or 'digits' and how many stand in a row, or 'like' and a pattern."""
-    if pattern == WORDS[0]:
+    if pattern == WORDS[0] or pattern not in _built_in() and holds_a_digit(pattern):
         return ("digits", "1")
+    if pattern not in _built_in():
+        return ("like", "".join(native(pattern) or (to_java(pattern),)))
     if pattern == catalog.EMAIL:
         return ("@",)
     if "https?" in pattern:
@@ -241,7 +230,7 @@ def spans_of(parts: Column, about: Callable[[Column, Column, Column, Column], Co
 
     def preceding(i: Column) -> Column:
         whole = F.concat(*(F.coalesce(F.get(parts, i - k), F.lit("")) for k in range(REACH, 0, -1)))
-        near = lambda w: let(F.right(w, F.lit(BEFORE)), lambda x: F.when(F.regexp_count(x, F.lit(_NEW_WORD)) < REACH, w).otherwise(x))
+        near = lambda w: let(F.right(w, F.lit(BEFORE)), lambda x: F.when(F.regexp_count(x, F.lit(NEW_WORD)) < REACH, w).otherwise(x))
         return F.translate(let(whole, near), CLOSE, "")
 
     def each(ends: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.arrays import let, running
 from maskwright.functions.checksums import VALIDATORS
+from maskwright.functions.patterns import native
 from maskwright.functions.regex import WORDS, cleared, cuts, gate, gate_condition, spans_of, to_java, word_pattern
 from maskwright.operators.artifacts import ArtifactRecognizer, artifact_spans, with_artifacts
 from maskwright.operators.catalog import RECOGNIZERS, Recognizer
@@ -221,7 +222,7 @@ def analyze(df: DataFrame, text_column: str = "text", options: Options | None =
         df = with_artifacts(df, backend, text_column, settings, "_artifacts")
     text = F.col("_text")
     df = df.withColumn("_text", cleared(F.col(text_column)))
-    scans = list(dict.fromkeys(s if _word(s) is None else WORDS for _, r in patterned for s in _scans(r)))
+    scans = list(dict.fromkeys(s if _word(s) is None else WORDS for _, r in patterned for s in scans_of(r)))
     native, own = [s for s in scans if not s[2]], {s: f"_own{i}" for i, s in enumerate(s for s in scans if s[2])}
     gates = {g: f"_gate{i}" for i, g in enumerate(dict.fromkeys(gate(rx) for rx, _, _ in native))}
     if any(g[0] == "digits" and int(g[1]) > 1 for g in gates):
@@ -251,7 +252,7 @@ def analyze(df: DataFrame, text_column: str = "text", options: Options | None =
         by_type: dict[str, list[Column]] = {}
         none = F.array().cast(f"array<{HIT}>")
         for i, r in patterned:
-            if found := _recognized(r, i, [hits_of(s, none) for s in _scans(r)], boosted):
+            if found := _recognized(r, i, [hits_of(s, none) for s in scans_of(r)], boosted):
                 by_type.setdefault(r.entity, []).extend(found)
         types = [x[0] if len(x) == 1 else F.concat(*x) for x in by_type.values()]
         single = F.concat(*(t for t, x in zip(types, by_type.values(), strict=True) if len(x) == 1), F.array().cast(_RAW))
@@ -282,8 +283,9 @@ def _word(scan: tuple[str, int, bool]) -> str | None:
     return None if scan[1] or scan[2] else word_pattern(scan[0])
 
 
-def _scans(r: Recognizer) -> list[tuple[str, int, bool]]:
-    return [(rx, g, r.lookaround) for _, rx, g in r.patterns]
+def scans_of(r: Recognizer) -> list[tuple[str, int, bool]]:
+    """The patterns of a recognizer, their groups, and whether Python must run them."""
+    return [(rx, g, r.lookaround and native(rx, g) is None) for _, rx, g in r.patterns]
 
 
 def rows_of(analyzed: DataFrame, *columns: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Recognizer:
-    """patterns: (score, regular expression in RE2 syntax, group that is the span). labels: words one of which must precede a span closely. lookaround: the patterns run in an engine with look-around, bounded in time. validator: the name of a check, or a function from the span's text to a condition; spans that meet it score 1, others go. accepts: a function from a span (start, end, text, and before, the text that precedes it) to a condition; others go."""
+    """patterns: (score, regular expression in RE2 syntax, group that is the span). labels: words one of which must precede a span closely. lookaround: patterns may use look-around; those that the JVM can't be shown to run in time that follows the text's size run in an engine that has it, bounded in time. validator: the name of a check, or a function from the span's text to a condition; spans that meet it score 1, others go. accepts: a function from a span (start, end, text, and before, the text that precedes it) to a condition; others go."""
 
     entity: str
     name: str

@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions.patterns import Unknown, flat, parsed
 from maskwright.functions.regex import BEFORE, REACH
 from maskwright.operators.catalog import Recognizer
 
@@ -20,7 +21,7 @@ SECONDS = 1.0
 
 
 def recognizer(entity: str, patterns: list[tuple[float, str, int]], context: list[str] | None = None, name: str | None = None, language: str = "en", validator: Callable[[Column], Column] | str | None = None, accepts: Callable[[Column], Column] | None = None) -> Recognizer:
-    """A recognizer whose patterns may use look-around and back references. validator: a function from the span's text to a condition, or the name of a built-in check; accepts: a function from the span, with the text before it, to a condition."""
+    """A recognizer of one's own. Patterns mean what they mean in RE2 (ASCII classes and word edges) and run in the JVM if their form shows that Java finds the same in time that follows the text's size; others run in Python, with a time limit, and those with look-around or back references know Unicode's letters and digits. validator: a function from the span's text to a condition, or the name of a built-in check; accepts: a function from the span, with the text before it, to a condition."""
     for score, pattern, group in patterns:
         if not 0 <= score <= 1:
             raise ValueError(f"score {score} of {entity} isn't between 0 and 1")
@@ -39,6 +40,18 @@ def from_file(path: str) -> list[Recognizer]:
         return from_specs(json.load(f))
 
 
+def compiled_for_python(pattern: str) -> regex.Pattern:
+    """The pattern as RE2 takes it where RE2 has all of it, else as it is."""
+    try:
+        names = {str(op) for op, _ in flat(parsed(pattern))}
+    except Unknown:
+        names = {"ASSERT"}
+    if names & {"ASSERT", "ASSERT_NOT", "GROUPREF", "GROUPREF_EXISTS", "ATOMIC_GROUP", "POSSESSIVE_REPEAT"}:
+        return regex.compile(pattern)
+    as_re2 = {"$": r"\Z", r"\s": r"[\t\n\f\r ]"}
+    return regex.compile(regex.sub(r"\\.|\[(?:\\.|[^\]\\])+\]|\$", lambda m: as_re2.get(m[0], m[0]), pattern), regex.ASCII)
+
+
 def _before(text: str, a: int) -> str:
     """What precedes a span: as many characters as hold enough words for its context."""
     size = BEFORE
@@ -69,7 +82,7 @@ def lookaround_matches(pattern: str, group: int, text: Column) -> Column:
 
     @F.pandas_udf("array<struct<start:int,end:int,text:string,before:string>>")
     def run(texts: pd.Series) -> pd.Series:
-        compiled = regex.compile(pattern)
+        compiled = compiled_for_python(pattern)
         return pd.Series([[{"start": a, "end": b, "text": t, "before": p} for a, b, t, p in spans_of(compiled, group, x or "")] for x in texts])
 
     return run(text)

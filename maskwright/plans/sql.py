@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from maskwright.functions.checksums import ES_LETTERS, FI_LETTERS, IT_ODD_DIGITS, IT_ODD_LETTERS, SG_LETTERS, SG_M_LETTERS
 from maskwright.functions.regex import to_duckdb
 from maskwright.operators.catalog import Recognizer
@@ -104,6 +106,17 @@ def validators() -> dict[str, str]:
     }
 
 
+def _in_three(pattern: str) -> str:
+    """A pattern with one capturing group as three: before it, the group, after it."""
+    at = re.search(r"\((?!\?)", pattern).start()
+    depth = 0
+    for k in range(at, len(pattern)):
+        depth += (pattern[k] == "(") - (pattern[k] == ")") if pattern[k - 1] != "\\" else 0
+        if not depth:
+            return f"({pattern[:at]}){pattern[at : k + 1]}({pattern[k + 1 :]})"
+    raise ValueError(pattern)
+
+
 def spans(source: str, keys: list[str], recognizers: list[tuple[int, Recognizer]], context: bool = True) -> str:
     """A query for (keys, entity_type, start, end, score, text, recognizer) over a source of (keys, text). recognizers: with their numbers."""
     checks, key = validators(), ", ".join(keys)
@@ -112,7 +125,7 @@ def spans(source: str, keys: list[str], recognizers: list[tuple[int, Recognizer]
     cut, rules = [], []
     for (rx, g), k in scans.items():
         pattern = to_duckdb(rx)
-        marked = f"regexp_replace(text, '{pattern.replace('(?:^|\\W)(', '((?:^|\\W))(', 1)}', '\\1' || {_OPEN} || '\\2' || {_CLOSE}, 'g')" if g else f"regexp_replace(text, '({pattern})', {_OPEN} || '\\1' || {_CLOSE}, 'g')"
+        marked = f"regexp_replace(text, '{_in_three(pattern)}', '\\1' || {_OPEN} || '\\2' || {_CLOSE} || '\\3', 'g')" if g else f"regexp_replace(text, '({pattern})', {_OPEN} || '\\1' || {_CLOSE}, 'g')"
         cut.append(f"SELECT rid, {k} AS scan, string_split({marked}, {_OPEN}) AS parts FROM src WHERE regexp_matches(text, '{pattern}')")
     for i, r in recognizers:
         ways = "|".join(" ".join(f"{w}(?:s|es)?" for w in p.lower().split()) for p in r.context) if context and r.context and not r.validator else ""

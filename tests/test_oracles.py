@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from maskwright.plans import registry, tools
+from maskwright.plans import large, registry, tools
 
 AT = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,7 +15,7 @@ def rows(names, values):
     return sorted(tuple(repr(round(v[k], 9) if isinstance(v[k], float) else v[k]) for k in order) for v in values)
 
 
-QUERIES, SQL = registry.queries() | tools.queries(), registry.oracle_sql() | tools.oracle_sql()
+QUERIES, SQL = registry.queries() | tools.queries() | large.queries(), registry.oracle_sql() | tools.oracle_sql() | large.oracle_sql()
 
 
 def test_all_have_sql():
