@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.functions.arrays import let
 from maskwright.operators.analyze import Options, analyze, rows_of
 from maskwright.operators.anonymize import display
+from maskwright.operators.pieces import places
+from maskwright.sources.files import file_rows
 
 _HUNK = re.compile(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))?", re.ASCII)
 
@@ -35,24 +40,40 @@ def exclusion(globs: list[str]) -> re.Pattern | None:
     return re.compile(f"(?s)(?:{'|'.join(ways)})\\Z") if ways else None
 
 
-def added_lines(diff: str, out: re.Pattern | None = None) -> Iterator[tuple[str, int, str]]:
-    """(file, line in the new version, content) of each added line of files that `out` doesn't match. A hunk ends by its stated count, so an added line that looks like a file header is none."""
-    file, number, left = None, 0, 0
-    for row in diff.removesuffix("\n").split("\n") if diff else ():
+class Reader:
+    """What is known at a row of a diff: the file (None: one that is left out, or none yet), the next line's number in it, and the lines left of the hunk. A hunk ends by its stated count, so an added line that looks like a file header is none."""
+
+    def __init__(self, out: re.Pattern | None = None, file=None, number: int = 0, left: int = 0):
+        self.out, self.file, self.number, self.left = out, file, number, left
+
+    def name(self, row: str) -> str | None:
+        """The file of a header row."""
+        name = row[4:].removeprefix("b/")
+        return None if name in ("/dev/null", "") or (self.out and self.out.match(name)) else name
+
+    def read(self, row: str) -> tuple | None:
+        """(file, line in the new version, content) if the row adds a line."""
         row = row.removesuffix("\r")
         if row.startswith("diff --git "):
-            left = 0
-        elif left <= 0 and row.startswith("+++ "):
-            name = row[4:].removeprefix("b/")
-            file = None if name in ("/dev/null", "") or (out and out.match(name)) else name
-        elif file is None:
-            continue
+            self.left = 0
+        elif self.left <= 0 and row.startswith("+++ "):
+            self.file = self.name(row)
+        elif self.file is None:
+            return None
         elif hunk := _HUNK.match(row):
-            number, left = int(hunk[1]), int(hunk[2] or 1)
-        elif left > 0 and row[:1] in ("+", " "):
-            if row[0] == "+":
-                yield file, number, row[1:]
-            number, left = number + 1, left - 1
+            self.number, self.left = int(hunk[1]), int(hunk[2] or 1)
+        elif self.left > 0 and row[:1] in ("+", " "):
+            self.number, self.left = self.number + 1, self.left - 1
+            return (self.file, self.number - 1, row[1:]) if row[0] == "+" else None
+        return None
+
+
+def added_lines(diff: str, out: re.Pattern | None = None) -> Iterator[tuple[str, int, str]]:
+    """(file, line in the new version, content) of each added line of files that `out` doesn't match."""
+    reader = Reader(out)
+    for row in diff.removesuffix("\n").split("\n") if diff else ():
+        if added := reader.read(row):
+            yield added
 
 
 def diff_lines(df: DataFrame, id_column: str, diff_column: str = "diff", exclude: list[str] | None = None) -> DataFrame:
@@ -71,8 +92,120 @@ def diff_lines(df: DataFrame, id_column: str, diff_column: str = "diff", exclude
 
     return df.select(id_column, diff_column).mapInArrow(run, f"`{id_column}` {kind}, file string, line int, content string")
 
+
 def scan_diff(df: DataFrame, id_column: str, diff_column: str = "diff", options: Options | None = None, ignore: tuple[str, ...] = ("DATE_TIME", "URL"), exclude: list[str] | None = None) -> DataFrame:
     """(id, file, line, entity_type, value_masked, score): findings in the added lines."""
     found = analyze(diff_lines(df, id_column, diff_column, exclude), "content", options or Options(threshold=0.4))
     rows = rows_of(found, id_column, "file", "line").filter(~F.col("s.entity_type").isin(*ignore) if ignore else F.lit(True))
     return rows.select(id_column, "file", "line", "s.entity_type", display(F.col("s.text")).alias("value_masked"), "s.score")
+
+
+#: Bytes of a chunk of a large diff, about.
+CHUNK = 1 << 20
+#: Stands for the file at a chunk's begin.
+_SAME = 0
+
+
+def summary_of(rows: list[str], out: re.Pattern | None = None) -> dict:
+    """What a chunk of rows makes of any state before it; states are [file, number, left].
+
+    Outside of hunks only the file counts, and of it only whether there is one (open) or not (closed). In a hunk, rows count as lines until it is used up or a row comes that sets the state whatever it was: `at` is that row, the first that begins a hunk or a file's diff. Of what lies between, only the last header row can matter, and only where the hunk ended before it, that is, had no more lines left than the rows counted before it (`named`): then `other` is the chunk's end, else `same`.
+    """
+
+    def end(file, rows) -> list:
+        reader = Reader(out, file)
+        for row in rows:
+            reader.read(row)
+        return [reader.file, reader.number, max(reader.left, 0)]
+
+    at = next((k for k, row in enumerate(rows) if row.startswith("diff --git ") or _HUNK.match(row)), None)
+    named, name, counted = -1, None, 0
+    for row in rows[:at]:
+        if row.startswith("+++ "):
+            named, name = counted, Reader(out).name(row.removesuffix("\r"))
+        counted += row[:1] in ("+", " ")
+    found = {"closed": end(None, rows), "open": end(_SAME, rows), "counted": counted, "named": named, "name": name, "same": None, "other": None}
+    if at is not None:
+        found |= {"same": end(_SAME, rows[at:]), "other": end(name, rows[at:])}
+    return found
+
+
+def after(state: list, summary: dict) -> list:
+    """The state after a chunk, from that before it."""
+    file, number, left = state
+    if left <= 0:
+        found = summary["closed" if file is None else "open"]
+    elif left <= summary["named"]:
+        found = summary["other"] or [summary["name"], 0, 0]
+    else:
+        found = summary["same"] or [_SAME, number + summary["counted"], max(0, left - summary["counted"])]
+    return [file if found[0] == _SAME else found[0], found[1], found[2]]
+
+
+def diff_chunks(df: DataFrame, id_column: str, diff_column: str = "diff", size: int = CHUNK) -> DataFrame:
+    """(id, key, block, chunk, text): each diff cut at line feeds into chunks, dealt to all tasks. Diffs of one key have the same text."""
+    raw, n = F.col(diff_column).cast("binary"), F.octet_length(diff_column)
+
+    def cut(raw: Column) -> Column:
+        part = lambda bounds, k: F.substring(raw, F.get(bounds, k) + F.when(k > 0, 2).otherwise(1), F.get(bounds, k + 1) - F.get(bounds, k) - F.when(k > 0, 1).otherwise(0)).cast("string")
+        return let(places(raw, n, r"\n", size), lambda bounds: F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: part(bounds, k)))
+
+    chunks = df.filter(n > 0).select(id_column, F.sha2(raw, 256).alias("key"), F.lit(0).cast("long").alias("block"), F.posexplode(let(raw, cut)).alias("chunk", "text"))
+    return chunks.repartition(F.xxhash64("key", "chunk"))
+
+
+def file_chunks(spark: SparkSession, paths: str | list[str], size: int = CHUNK) -> DataFrame:
+    """(source, key, block, chunk, text): diff files of any size in chunks of whole rows, read in parallel."""
+
+    def run(batches):
+        place, held, used, k = None, [], 0, 0
+
+        def chunk() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"source": [place[0]], "key": [place[0]], "block": [place[1]], "chunk": pa.array([k], pa.int32()), "text": ["\n".join(held)]})
+
+        for b in batches:
+            for file, block, value in zip(*(b.column(c).to_pylist() for c in ("file", "block", "value")), strict=True):
+                if held and (used > size or place != (file, block)):
+                    yield chunk()
+                    held, used, k = [], 0, k + 1
+                if place != (file, block):
+                    place, k = (file, block), 0
+                held.append(value)
+                used += len(value) + 1
+        if held:
+            yield chunk()
+
+    return file_rows(spark, paths).select("file", "block", "value").mapInArrow(run, "source string, key string, block long, chunk int, text string")
+
+
+def chunked_diff_lines(chunks: DataFrame, id_column: str = "source", exclude: list[str] | None = None) -> DataFrame:
+    """(id, file, line, content): what diff_lines gives, of diffs in chunks that any task can read.
+
+    A first pass sums up each chunk as what it makes of any state before it; a diff's small summaries are applied in order, which gives the state at each chunk's begin; a second pass reads the chunks from there. The text is read twice and moved only if the states are too many to broadcast.
+    """
+    kind, out = chunks.schema[id_column].dataType.simpleString(), exclusion(exclude or [])
+
+    def sums(batches):
+        for b in batches:
+            found = [json.dumps(summary_of(t.split("\n"), out)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("block"), b.column("chunk"), pa.array(found, pa.string())], names=["key", "block", "chunk", "summary"])
+
+    def states(group: pd.DataFrame) -> pd.DataFrame:
+        group, state, begin = group.sort_values(["block", "chunk"]), [None, 0, 0], []
+        for x in group.summary:
+            begin.append(json.dumps(state))
+            state = after(state, json.loads(x))
+        return group[["key", "block", "chunk"]].assign(state=begin)
+
+    def run(batches):
+        for b in batches:
+            for k, (text, state) in enumerate(zip(b.column("text").to_pylist(), b.column("state").to_pylist(), strict=True)):
+                reader = Reader(out, *json.loads(state))
+                rows = [x for row in text.split("\n") if (x := reader.read(row))]
+                files, numbers, contents = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k] * len(rows), pa.int64())), pa.array(files, pa.string()), pa.array(numbers, pa.int64()), pa.array(contents, pa.string())], names=[id_column, "file", "line", "content"])
+
+    summed = chunks.select("key", "block", "chunk", "text").mapInArrow(sums, "key string, block long, chunk int, summary string")
+    # equal diffs of several rows have equal summaries
+    begins = summed.dropDuplicates(["key", "block", "chunk"]).groupBy("key").applyInPandas(states, "key string, block long, chunk int, state string")
+    return chunks.join(begins, ["key", "block", "chunk"]).select(id_column, "text", "state").mapInArrow(run, f"`{id_column}` {kind}, file string, line long, content string")

@@ -40,7 +40,7 @@ def _latin(raw: Column, start: Column, size) -> Column:
     return F.decode(F.substring(raw, start + 1, F.lit(size) if isinstance(size, int) else size), "ISO-8859-1")
 
 
-def _places(raw: Column, n: Column, cut: str, size: int) -> Column:
+def places(raw: Column, n: Column, cut: str, size: int) -> Column:
     """array<int>: the first cut in each stretch of `size` bytes but the first, 0 before and n after them."""
 
     def first(k: Column) -> Column:
@@ -81,7 +81,7 @@ def pieces(df: DataFrame, id_column: str, text_column: str, cut: str, size: int
         return let(sized, lambda p: F.struct(F.substring(raw, p["a"] - p["lead"] + 1, p["lead"] + p["b"] - p["a"] + p["tail"]).cast("string").alias("text"), (p["a"] - p["lead"]).alias("offset"), p["lead"].alias("lead"), (p["b"] - p["a"]).alias("own")))
 
     n = F.octet_length(text_column)
-    parts = let(F.col(text_column).cast("binary"), lambda raw: let(_places(raw, n, cut, size), lambda bounds: F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: one(raw, bounds, n, k))))
+    parts = let(F.col(text_column).cast("binary"), lambda raw: let(places(raw, n, cut, size), lambda bounds: F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: one(raw, bounds, n, k))))
     return df.filter(F.col(text_column).isNotNull()).select(id_column, F.explode(parts).alias("piece"))
 
 

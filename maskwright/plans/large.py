@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.functions.regex import to_duckdb
 from maskwright.operators.analyze import Options, findings
-from maskwright.operators.catalog import RECOGNIZERS, Recognizer
+from maskwright.operators.catalog import EMAIL, RECOGNIZERS, Recognizer
 from maskwright.operators.custom import recognizer
+from maskwright.operators.diff import chunked_diff_lines, diff_chunks, file_chunks
 from maskwright.operators.pieces import findings_in_pieces
-from maskwright.plans import sql
+from maskwright.operators.scan import scan_lines
+from maskwright.plans import sql, tools
 from maskwright.plans.registry import spread
+from maskwright.plans.tools import SHOWN, document_diffs
+from maskwright.sources.files import file_lines
+from maskwright.sources.shared import shared_path
+
+_MAILS = Options(entities=["EMAIL_ADDRESS"], context=False)
 
 #: Patterns of one's own, each with its span in a group, and context words.
 OWN = [
@@ -33,8 +41,51 @@ def custom_recognizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(_docs(spark, sf_dir), "doc_id", options=Options(recognizers=OWN)).withColumn("score", F.round("score", 4))
 
 
+#: Documents whose texts make up a file.
+PER_FILE = 200
+
+
+def _written(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """Writes the texts of (doc_id, text) one after the other by id, PER_FILE ids to a file, and gives the folder; the files' paths hold part=<number>."""
+    path = shared_path(spark, name)
+    numbered = rows.select(F.floor(F.col("doc_id") / PER_FILE).alias("part"), "doc_id", "text").repartition("part").sortWithinPartitions("part", "doc_id")
+    numbered.select("part", "text").write.partitionBy("part").text(path)
+    return path
+
+
+def _part() -> Column:
+    return F.regexp_extract("file", r"part=(\d+)", 1).cast("long")
+
+
+def lines_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, their last number and bytes of files that hold the documents."""
+    found = file_lines(spark, _written(spark, _docs(spark, sf_dir), "text-files"))
+    return found.groupBy(_part().alias("part")).agg(F.count("*").alias("n_lines"), F.max("line").alias("last_line"), F.sum(F.octet_length("content")).alias("n_bytes"))
+
+
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail addresses by line in files that hold the documents."""
+    found = scan_lines(file_lines(spark, _written(spark, _docs(spark, sf_dir), "text-files")), "file", options=_MAILS)
+    return found.groupBy(_part().alias("part"), "line", "value_masked").agg(F.count("*").alias("n"))
+
+
+def _added(rows: DataFrame, doc_id: Column) -> DataFrame:
+    return rows.groupBy(doc_id.alias("doc_id"), "file").agg(F.max("line").cast("int").alias("n_lines"), F.sum(F.octet_length("content")).alias("n_bytes"))
+
+
+def diff_chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What diff_added_lines gives, each diff read in chunks of 500 bytes."""
+    return _added(chunked_diff_lines(diff_chunks(document_diffs(spark, sf_dir), "doc_id", size=500), "doc_id", exclude=["docs/*1.txt"]), F.col("doc_id"))
+
+
+def diff_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What diff_all_added_lines gives, from diff files that hold many documents each, read in chunks."""
+    path = _written(spark, document_diffs(spark, sf_dir).select("doc_id", F.col("diff").alias("text")), "diff-files")
+    return _added(chunked_diff_lines(file_chunks(spark, path, 10_000)), F.regexp_extract("file", r"docs/(\d+)", 1).cast("long"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (findings_of_pieces, custom_recognizers)}
+    return {f.__name__: f for f in (findings_of_pieces, custom_recognizers, lines_of_files, scan_files, diff_chunk_lines, diff_file_lines)}
 
 
 _ALL: list[tuple[int, Recognizer]] = list(enumerate(RECOGNIZERS))
@@ -46,7 +97,15 @@ def _rounded(query: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     docs = "SELECT doc_id, text FROM documents"
+    split = "string_split(coalesce(text, ''), chr(10))"
+    lined = rf"""
+        WITH s AS (SELECT doc_id, unnest({split}) AS c, generate_subscripts({split}, 1) AS i FROM documents),
+        l AS (SELECT doc_id // {PER_FILE} AS part, row_number() OVER (PARTITION BY doc_id // {PER_FILE} ORDER BY doc_id, i) AS line, regexp_replace(c, '\r\z', '') AS c FROM s)"""
     return {
         "findings_of_pieces": _rounded(sql.spans(docs, ["doc_id"], _ALL)),
         "custom_recognizers": _rounded(sql.spans(docs, ["doc_id"], list(enumerate(OWN)))),
+        "lines_of_files": f"{lined} SELECT part, count(*) AS n_lines, max(line) AS last_line, CAST(sum(octet_length(encode(c))) AS BIGINT) AS n_bytes FROM l GROUP BY part",
+        "scan_files": f"{lined}, m AS (SELECT part, line, unnest(regexp_extract_all(c, '{to_duckdb(EMAIL)}')) AS v FROM l) SELECT part, line, {SHOWN} AS value_masked, count(*) AS n FROM m GROUP BY ALL",
+        "diff_chunk_lines": tools.oracle_sql()["diff_added_lines"],
+        "diff_file_lines": tools.oracle_sql()["diff_all_added_lines"],
     }

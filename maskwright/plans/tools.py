@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
-def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a diff that adds a file of its lines."""
     n = F.size(F.split("text", "\n"))
     head = F.concat(F.lit("diff --git a/x b/x\n--- /dev/null\n+++ b/docs/"), F.col("doc_id").cast("string"), F.lit(".txt\n@@ -0,0 +1,"), n.cast("string"), F.lit(" @@\n"))
@@ -34,11 +34,11 @@ def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diff_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the files of a glob."""
-    return _added(diff_lines(_diffs(spark, sf_dir), "doc_id", exclude=["docs/*1.txt"]))
+    return _added(diff_lines(document_diffs(spark, sf_dir), "doc_id", exclude=["docs/*1.txt"]))
 
 
 def diff_all_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _added(diff_lines(_diffs(spark, sf_dir), "doc_id"))
+    return _added(diff_lines(document_diffs(spark, sf_dir), "doc_id"))
 
 
 def _added(rows: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def _added(rows: DataFrame) -> DataFrame:
 
 
 def diff_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_diff(_diffs(spark, sf_dir), "doc_id", options=_OPTIONS).groupBy("doc_id", "line", "value_masked").agg(F.count("*").alias("n"))
+    return scan_diff(document_diffs(spark, sf_dir), "doc_id", options=_OPTIONS).groupBy("doc_id", "line", "value_masked").agg(F.count("*").alias("n"))
 
 
 def scan_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ _OPERATORS = {
     "hash": (anon.token(), "'EMAIL_ADDRESS_' || substr(sha256('EMAIL_ADDRESS|' || m[i]), 1, 8)"),
 }
 
-_SHOWN = "CASE WHEN length(v) <= 4 THEN repeat('*', length(v)) ELSE left(v, 2) || repeat('*', CAST(least(length(v) - 4, 12) AS INT)) || right(v, 2) END"
+SHOWN = "CASE WHEN length(v) <= 4 THEN repeat('*', length(v)) ELSE left(v, 2) || repeat('*', CAST(least(length(v) - 4, 12) AS INT)) || right(v, 2) END"
 
 
 def queries() -> dict:
@@ -140,7 +140,7 @@ def oracle_sql() -> dict[str, str]:
     lined = r"SELECT doc_id, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents"
     by_line = f"""
         WITH l AS ({lined}), m AS (SELECT doc_id, line, unnest(regexp_extract_all(c, '{_RE2}')) AS v FROM l)
-        SELECT doc_id, CAST(line AS INT) AS line, {_SHOWN} AS value_masked, count(*) AS n FROM m GROUP BY ALL"""
+        SELECT doc_id, CAST(line AS INT) AS line, {SHOWN} AS value_masked, count(*) AS n FROM m GROUP BY ALL"""
     found = {
         "diff_added_lines": rf"""
         WITH l AS ({lined})
@@ -152,7 +152,7 @@ def oracle_sql() -> dict[str, str]:
         FROM l GROUP BY doc_id""",
         "diff_findings": by_line,
         "scan_mails": by_line,
-        "json_masking": f"WITH p AS (SELECT doc_id, text, string_split_regex(text, '{_RE2}') AS a, regexp_extract_all(text, '{_RE2}') AS m FROM documents) SELECT doc_id, sha256(array_to_string([a[i] || CASE WHEN i <= len(m) THEN {_SHOWN.replace('v', 'm[i]')} ELSE '' END FOR i IN range(1, len(a) + 1)], '')) AS lines_sha256, sha256(text) AS path_sha256, CASE WHEN len(regexp_extract_all(text, '{_RE2}')) > 0 THEN 'EMAIL_ADDRESS ×' || len(regexp_extract_all(text, '{_RE2}')) ELSE '' END AS summary FROM p",
+        "json_masking": f"WITH p AS (SELECT doc_id, text, string_split_regex(text, '{_RE2}') AS a, regexp_extract_all(text, '{_RE2}') AS m FROM documents) SELECT doc_id, sha256(array_to_string([a[i] || CASE WHEN i <= len(m) THEN {SHOWN.replace('v', 'm[i]')} ELSE '' END FOR i IN range(1, len(a) + 1)], '')) AS lines_sha256, sha256(text) AS path_sha256, CASE WHEN len(regexp_extract_all(text, '{_RE2}')) > 0 THEN 'EMAIL_ADDRESS ×' || len(regexp_extract_all(text, '{_RE2}')) ELSE '' END AS summary FROM p",
         "prompt_guard": f"SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '{_RE2}')) AS warned FROM conversations GROUP BY role",
         "allow_list_exact": _ips(ip, "text NOT IN ('10.0.0.1', '127.0.0.1')"),
         "allow_list_regex": f"WITH m AS ({mails}) SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, text, count(*) AS n FROM m WHERE NOT regexp_matches(text, '^[a-m]|\\borg$') GROUP BY doc_id, text",
