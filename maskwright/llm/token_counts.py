@@ -12,9 +12,13 @@ that looks at nothing before a word and, past its end, no further than the
 white space that follows or a contraction of three characters, and special
 strings hold no piece of themselves at their ends. So the words of a piece
 that starts at a true border are those of the text, but for words that the
-missing rest could change, which end within MARGIN characters of the piece's
-end; and a piece that was cut anywhere agrees with the text from the first
-true border at which it begins a word itself.
+missing rest could change, which end within a margin of the piece's end; and a
+piece that was cut anywhere agrees with the text from the first true border at
+which it begins a word itself.
+
+Short texts go whole. Their stretches between single spaces are numbered
+first, as a word always ends before a space that stands alone between other
+characters, and the library encodes each distinct stretch once.
 """
 
 from __future__ import annotations
@@ -32,8 +36,11 @@ from maskwright.llm.common import ARROW_BYTES, configure, mapped, per_worker, sl
 
 #: Bytes of a piece and of the first overlap, and how much wider the next one is.
 PIECE, OVERLAP, WIDER = 1 << 15, 512, 8
-#: Bytes of short texts that are encoded together: bounds the library's objects.
-BATCH_BYTES = 1 << 20
+#: Bytes of short texts that are handled together, and counts of stretches that a worker keeps.
+BATCH_BYTES, KEPT = 1 << 20, 300_000
+#: What a byte is: 1 ASCII but for white space and controls, 2 the first of a Latin letter's two bytes, 0 another.
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F], KIND[0xC3:0xCB] = 1, 2
 
 
 def check_vocabulary(path: str) -> int:
@@ -69,22 +76,43 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_column:
     margin = check_vocabulary(vocabulary)
     configure(docs.sparkSession, ARROW_BYTES)
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), valid(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).alias("id"), valid(text_column).cast("binary").alias("text"))
     size = F.octet_length("text")
     counted = mapped(rows.filter(size <= piece), _count(vocabulary), f"id {kind}, n_bytes long, n_tokens long")
-    long_ = stored(rows.filter(size > piece).select(F.monotonically_increasing_id().alias("key"), "id", size.cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("text")), "long-texts")
+    long_ = stored(rows.filter(size > piece).select(F.monotonically_increasing_id().alias("key"), "id", size.cast("long").alias("n_bytes"), "text"), "long-texts")
     counted = counted.unionByName(_resynchronised(long_, vocabulary, margin, piece, overlap))
     return counted.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def stretches(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The stretches of all texts, cut before spaces between two characters that surely are no white space, as numbered bytes, and the text that each lies in."""
+    joined = b"".join(texts)
+    raw, ends = np.frombuffer(joined, np.uint8), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    space = np.flatnonzero(raw[2:-1] == 32) + 2
+    other = (KIND[raw[space - 1]] == 1) | (raw[space - 1] & 0xC0 == 0x80) & (KIND[raw[space - 2]] == 2)
+    begins = np.append(0, ends[:-1])
+    at = np.union1d(begins[ends > begins], space[other & (KIND[raw[space + 1]] > 0)])
+    offsets = np.append(at, len(raw)).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
+    return found.dictionary_encode(), np.searchsorted(ends, at, side="right")
+
+
 def _count(vocabulary: str):
     def run(batches):
         t = _tokenizer(vocabulary)
+        known: dict[bytes, int] = {}
         for batch in batches:
             for part in slices(batch, BATCH_BYTES):
                 texts = part.column(1).to_pylist()
-                n = [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+                found, owner = stretches(texts)
+                keys = found.dictionary.to_pylist()
+                if new := [k for k in keys if k not in known]:
+                    if len(known) > KEPT:
+                        known, new = {}, keys
+                    known.update(zip(new, map(len, t.encode_batch_fast([k.decode() for k in new], add_special_tokens=False)), strict=True))
+                count = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+                n = np.bincount(owner, count[found.indices.to_numpy()], len(texts)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(n)], names=["id", "n_bytes", "n_tokens"])
 
     return run
 
