@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,35 +49,73 @@ def _analyzed(df: DataFrame, column: str, options: Options | None, ignore: tuple
     return found.withColumn("_masked", masked(F.coalesce(F.col(column), F.lit("")), F.col("_found"))).drop("_found")
 
 
-def _walk(value, key: str | None, put: Callable[[str], str]):
-    """The value with put() applied to each string in document order, but for strings under a key of paths; list items are under their list's key."""
-    if isinstance(value, str):
-        return value if key in PATH_KEYS else put(value)
-    if isinstance(value, dict):
-        return {k: _walk(v, k, put) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_walk(v, key, put) for v in value]
-    return value
+_TOKEN = re.compile(r'[ \t\n\r]*+(?:("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null)|([\[\]{},:]))')
+_LONE = re.compile("[\ud800-\udfff]")
 
 
-def leaves(text: str | None) -> list[str] | None:
-    """The strings to mask, in document order; None if the text isn't JSON."""
-    found: list[str] = []
-    try:
-        _walk(json.loads(text), None, lambda s: found.append(s) or s)
-    except (TypeError, ValueError, RecursionError):
+def _read(literal: str) -> str:
+    """The string of a JSON literal; halves of surrogate pairs that stand alone become U+FFFD."""
+    return _LONE.sub("\ufffd", json.loads(literal)) if "\\" in literal else literal[1:-1]
+
+
+def literals(text: str | None) -> list[tuple[int, int]] | None:
+    """Where the literals of the strings to mask lie, in order: all but keys and those under a key of paths; list items are under their list's key. None if the text isn't JSON.
+
+    Read token by token, so depth, sizes of numbers and repeated keys don't matter.
+    """
+    if text is None:
         return None
-    return found
+    found: list[tuple[int, int]] = []
+    stack: list[tuple[str, str | None]] = []  # the bracket and the key that holds where it was opened
+    key, want, at = None, "value", 0
+    while want != "nothing":
+        m = _TOKEN.match(text, at)
+        if m is None:
+            return None
+        string, scalar, sign = m.groups()
+        at, done = m.end(), False
+        if sign in ("}", "]"):
+            if not stack or stack[-1][0] + sign not in ("{}", "[]") or want not in ("more", "key or end" if sign == "}" else "value or end"):
+                return None
+            key, done = stack.pop()[1], True
+        elif want.startswith("key") and string:
+            key, want = _read(string), "colon"
+        elif want == "colon" and sign == ":":
+            want = "value"
+        elif want == "more" and sign == ",":
+            key, want = stack[-1][1], "key" if stack[-1][0] == "{" else "value"
+        elif want.startswith("value") and sign in ("{", "["):
+            stack.append((sign, key))
+            want = "key or end" if sign == "{" else "value or end"
+        elif want.startswith("value") and (string or scalar):
+            if string and key not in PATH_KEYS:
+                found.append(m.span(1))
+            done = True
+        else:
+            return None
+        if done:
+            want = "more" if stack else "nothing"
+    return None if text[at:].strip(" \t\n\r") else found
+
+
+def leaves(text: str | None) -> list[str] | None:
+    """The strings to mask, in order; None if the text isn't JSON."""
+    found = literals(text)
+    return None if found is None else [_read(text[a:b]) for a, b in found]
 
 
 def rebuilt(text: str, new: list[str]) -> str:
-    """The JSON text with its strings to mask replaced by new ones, in document order."""
-    supply = iter(new)
-    return json.dumps(_walk(json.loads(text), None, lambda _: next(supply)), ensure_ascii=False, separators=(",", ":"))
+    """The JSON text with the strings to mask replaced by new ones where these differ; every other character stays."""
+    out, at = [], 0
+    for (a, b), s in zip(literals(text), new, strict=True):
+        if s != _read(text[a:b]):
+            out += [text[at:a], json.dumps(s, ensure_ascii=False)]
+            at = b
+    return "".join([*out, text[at:]])
 
 
 def mask_json(df: DataFrame, id_column: str, json_column: str = "json", options: Options | None = None, ignore: tuple[str, ...] = IGNORE) -> DataFrame:
-    """(id, json, summary): each JSON value with personal data in its strings masked, and the counts by type.
+    """(id, json, summary): each JSON value with personal data in its strings masked, and the counts by type. Only the literals of strings with findings are written anew: numbers, escapes, white space, the order of keys and repeated keys stay as they are.
 
     Where nothing is found, or the column is null or no JSON, the value stays as it is and the summary is empty; ids may repeat or be null.
     An Arrow function sends a row's value and then its strings, which are analyzed natively in that order, and another puts them together: nothing is shuffled, and a task holds one row's strings at a time.

@@ -10,6 +10,7 @@ from maskwright.operators.analyze import Options, findings
 from maskwright.operators.catalog import EMAIL, RECOGNIZERS, Recognizer
 from maskwright.operators.custom import recognizer
 from maskwright.operators.diff import chunked_diff_lines, diff_chunks, file_chunks
+from maskwright.operators.json_masking import mask_json
 from maskwright.operators.pieces import findings_in_pieces
 from maskwright.operators.scan import scan_lines
 from maskwright.plans import sql, tools
@@ -84,8 +85,16 @@ def diff_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _added(chunked_diff_lines(file_chunks(spark, path, 10_000)), F.regexp_extract("file", r"docs/(\d+)", 1).cast("long"))
 
 
+def json_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole masked JSON values, findings of all types: each document in a list and under a key of paths, among numbers that no double holds, a repeated key and white space."""
+    literal = F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")
+    value = F.concat(F.lit('{"out" : {"lines": ['), literal, F.lit('], "path":'), literal, F.lit('}, "n": 1e400, "n": -0.50 }'))
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", value.alias("json"))
+    return mask_json(docs, "doc_id").select("doc_id", "summary", F.sha2("json", 256).alias("json_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (findings_of_pieces, custom_recognizers, lines_of_files, scan_files, diff_chunk_lines, diff_file_lines)}
+    return {f.__name__: f for f in (json_all_types, findings_of_pieces, custom_recognizers, lines_of_files, scan_files, diff_chunk_lines, diff_file_lines)}
 
 
 _ALL: list[tuple[int, Recognizer]] = list(enumerate(RECOGNIZERS))
@@ -102,6 +111,16 @@ def oracle_sql() -> dict[str, str]:
         WITH s AS (SELECT doc_id, unnest({split}) AS c, generate_subscripts({split}, 1) AS i FROM documents),
         l AS (SELECT doc_id // {PER_FILE} AS part, row_number() OVER (PARTITION BY doc_id // {PER_FILE} ORDER BY doc_id, i) AS line, regexp_replace(c, '\r\z', '') AS c FROM s)"""
     return {
+        "json_all_types": f"""
+        WITH f AS ({sql.spans(docs, ["doc_id"], _ALL)}),
+        k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY "end" DESC, entity_type) AS nth FROM f WHERE score >= 0.5 AND entity_type NOT IN ('DATE_TIME', 'URL')),
+        e AS (SELECT doc_id, entity_type, start, least("end", coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), "end")) AS stop FROM k WHERE nth = 1),
+        p AS (SELECT e.*, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS since, encode(text) AS raw FROM e JOIN documents USING (doc_id)),
+        v AS (SELECT *, decode(raw[since + 1 : start]) AS gap, decode(raw[start + 1 : stop]) AS v FROM p),
+        m AS (SELECT doc_id, string_agg(gap || {SHOWN}, '' ORDER BY start) || decode(any_value(raw)[max(stop) + 1 :]) AS masked FROM v GROUP BY doc_id),
+        c AS (SELECT doc_id, string_agg(entity_type || ' ×' || n, ', ' ORDER BY n DESC, entity_type) AS summary FROM (SELECT doc_id, entity_type, count(*) AS n FROM v GROUP BY ALL) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(c.summary, '') AS summary, sha256('{{"out" : {{"lines": [' || CAST(to_json(coalesce(m.masked, d.text)) AS VARCHAR) || '], "path":' || CAST(to_json(d.text) AS VARCHAR) || '}}, "n": 1e400, "n": -0.50 }}') AS json_sha256
+        FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN c USING (doc_id) WHERE d.text IS NOT NULL""",
         "findings_of_pieces": _rounded(sql.spans(docs, ["doc_id"], _ALL)),
         "custom_recognizers": _rounded(sql.spans(docs, ["doc_id"], list(enumerate(OWN)))),
         "lines_of_files": f"{lined} SELECT part, count(*) AS n_lines, max(line) AS last_line, CAST(sum(octet_length(encode(c))) AS BIGINT) AS n_bytes FROM l GROUP BY part",

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,29 @@ def test_mask_json(spark):
     assert [r.id for r in jm.mask_tool_events(events, "id", options=MAILS).collect()] == [2]
 
 
+def test_json_stays_as_written(spark):
+    """Odd values that a tree of values would lose or fail on."""
+    odd = r''' {"b":1e400,"a":-0.10, "b" : "\ud800 \/ j@x.com","n":123456789012345678901234567890,"k j@x.com":"\u00e9","path":["p@x.com",{"z":"q@x.com"}], "\u0070ath": "r@x.com", "e":[]} '''
+    deep = "[" * 5000 + '"j@x.com"' + "]" * 5000
+    rows = dict(enumerate([odd, deep, '"j@x.com"', "j@x.com", '{"a":"j@x.com"', '{"a":"j@x.com",}', '["j@x.com" 1]', '{"a":"j@x.com"}}', '["j@x.com\n"]', "[01]", '{1:"j@x.com"}', "", "[]", '{"a" "j@x.com"}', '["\\x"]', "NaN", '[}', '{]']))
+    got = {r.id: (r.json, r.summary) for r in jm.mask_json(spark.createDataFrame(list(rows.items()), "id int, json string"), "id", options=MAILS).collect()}
+    assert got[0] == (odd.replace(r'"\ud800 \/ j@x.com"', '"� / j@***om"').replace("q@x.com", "q@***om"), "EMAIL_ADDRESS ×2")
+    assert got[1] == (deep.replace("@x.c", "@***"), "EMAIL_ADDRESS ×1") and got[2] == ('"j@***om"', "EMAIL_ADDRESS ×1")
+    assert all(got[k] == (rows[k], "") for k in range(3, len(rows)))
+
+
+def test_json_is_told_from_other_texts():
+    r = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(r.choices(['"', "a", "\\\\", "\\n", "[", "]", "{", "}", ":", ",", "1", "-", ".", "e", "0", " ", "true", "null", '"a"', '"a":', "\\u12aB"], k=r.randint(1, 8)))
+        try:
+            json.loads(text)
+            valid = True
+        except ValueError:
+            valid = False
+        assert (jm.literals(text) is not None) == valid, text
+
+
 def test_masked_covers_the_union(spark):
     spans = "array<struct<entity_type:string,start:int,end:int>>"
     df = spark.createDataFrame([("abcdefghij", [("A", 2, 5), ("B", 2, 8), ("C", 4, 6)])], f"t string, s {spans}")
