@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution, by a dictionary of the distinct features.
 
-Runs of words are counted as strings. A task numbers the distinct strings of a
-few megabytes of text at a time (a chunk) and keeps each document's counts by
+Runs of words are counted as strings. A task numbers the distinct strings of
+some megabytes of text at a time (a chunk) and keeps each document's counts by
 these numbers, so only a chunk's distinct strings are shuffled, each once,
 however often documents repeat it: no string has more rows than there are
 chunks. Summed up they are the dictionary of all distinct strings, each of
@@ -13,20 +13,20 @@ are added up over each document's own counts.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.bpe import ragged
 from maskwright.llm.common import ARROW_BYTES, configure, discard, mapped, slices, stored, valid
 
-#: Bytes of text whose strings are numbered together; a longer text is cut into parts between words.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that are cut into words at a time, where a longer text is cut into parts; those whose strings are numbered together, with what a row counts for besides.
+PART_BYTES, CHUNK_BYTES, ROW_BYTES = 4 << 20, 16 << 20, 64
 #: Buckets, at most: their gains are broadcast.
 MOST_BUCKETS = 1 << 20
 #: Fixed values of the features: the bytes that separate words, and A-Z in lower case.
@@ -90,39 +90,51 @@ def features(texts: list[bytes], own: list[int], longest: int) -> tuple[pa.Dicti
 
 
 def _counted(rows: DataFrame, longest: int) -> DataFrame:
-    """(chunk, part, id, n_words, n_features, codes, counts, words, totals): a row for each text, or part of a long one (part: what these share, else null), with its distinct features by number and how often each occurs, as 32-bit integers. The first row of a chunk has the chunk's strings by number and their totals. Stored, as chunks have random names."""
-
-    def chunk(ids: pa.Array, part: str | None, texts: list[bytes], own: list[int]) -> pa.RecordBatch:
-        strings, owner, words = features(texts, own, longest)
-        distinct = max(1, len(strings.dictionary))
-        pairs, counts = np.unique(owner * distinct + strings.indices.to_numpy(), return_counts=True)
-        ends = np.searchsorted(pairs, np.arange(len(texts) + 1) * distinct)
-        codes, counts = (pairs % distinct).astype("<i4"), counts.astype("<i4")
-        n = np.bincount(owner, minlength=len(texts))
+    """(chunk, part, id, n_words, n_features, codes, counts, words, totals): a row for each text, or part of a long one (part: what these share, else null), with its distinct features by number and how often each occurs, as 32-bit integers. The first row of a chunk has the chunk's strings by number and their totals. Stored, as chunks are numbered by the tasks that made them."""
+
+    def chunk(number: int, part: int | None, held: list) -> pa.RecordBatch:
+        """The rows of held (ids, strings, owners, words), whose strings are numbered anew as one."""
+        strings = pa.chunked_array([x for _, x, _, _ in held]).unify_dictionaries()
+        words, of = np.concatenate([w for *_, w in held]), strings.chunk(0).dictionary
+        codes = np.concatenate([x.indices.to_numpy() for x in strings.chunks])
+        firsts = np.cumsum([0] + [len(w) for *_, w in held])
+        owner = np.concatenate([o + first for (_, _, o, _), first in zip(held, firsts, strict=False)])
+        rows, distinct = len(words), max(1, len(of))
+        pairs, counts = np.unique(owner * distinct + codes, return_counts=True)
+        ends = np.searchsorted(pairs, np.arange(rows + 1) * distinct)
         cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-        once = lambda x, kind: pa.array([x] + [None] * (len(texts) - 1), pa.list_(kind))
-        name, totals = uuid.uuid4().hex, np.bincount(strings.indices.to_numpy(), minlength=len(strings.dictionary))
-        columns = [pa.array([name] * len(texts)), pa.array([part] * len(texts), pa.string()), ids, pa.array(words), pa.array(n), cut(codes), cut(counts), once(strings.dictionary.to_pylist(), pa.string()), once(totals.tolist(), pa.int64())]
+        once = lambda x: pa.ListArray.from_arrays(pa.array(np.append(0, np.full(rows, len(of))), pa.int32()), x)
+        named = lambda x: pa.array([x] * rows, pa.int64())
+        columns = [named(number), named(part), pa.concat_arrays([i for i, *_ in held]), pa.array(words), pa.array(np.bincount(owner, minlength=rows))]
+        columns += [cut((pairs % distinct).astype("<i4")), cut(counts.astype("<i4")), once(of.cast(pa.string())), once(pa.array(np.bincount(codes, minlength=len(of))))]
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "id", "n_words", "n_features", "codes", "counts", "words", "totals"])
 
     def run(batches):
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for rows in slices(batch, CHUNK_BYTES):
-                texts = rows.column(1).to_pylist()
-                if len(texts) == 1 and len(texts[0]) > CHUNK_BYTES:
-                    whole = uuid.uuid4().hex
-                    for text, own in parts_of(texts[0], longest, CHUNK_BYTES):
-                        yield chunk(rows.column(0), whole, [text], [own])
+            for rows in slices(batch, PART_BYTES):
+                texts, ids = rows.column(1).to_pylist(), rows.column(0)
+                if len(texts) == 1 and len(texts[0]) > PART_BYTES:
+                    whole = number
+                    for text, own in parts_of(texts[0], longest, PART_BYTES):
+                        yield chunk(number, whole, [(ids, *features([text], [own], longest))])
+                        number += 1
                 elif texts:
-                    yield chunk(rows.column(0), None, texts, list(map(len, texts)))
+                    held.append((ids, *features(texts, list(map(len, texts)), longest)))
+                    size += sum(map(len, texts)) + ROW_BYTES * len(texts)
+                if size > CHUNK_BYTES:
+                    yield chunk(number, None, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield chunk(number, None, held)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return stored(mapped(rows, run, f"chunk string, part string, id {kind}, n_words long, n_features long, codes binary, counts binary, words array<string>, totals array<long>"), "features")
+    return stored(mapped(rows, run, f"chunk long, part long, id {kind}, n_words long, n_features long, codes binary, counts binary, words array<string>, totals array<long>"), "features")
 
 
 def _strings(counted: DataFrame) -> DataFrame:
     """(chunk, code, word, n) for each distinct string of each chunk."""
-    zipped = counted.filter("words IS NOT NULL").select("chunk", F.posexplode(F.arrays_zip("words", "totals")).alias("code", "s"))
+    zipped = counted.filter("size(words) > 0").select("chunk", F.posexplode(F.arrays_zip("words", "totals")).alias("code", "s"))
     return zipped.select("chunk", "code", F.col("s.words").alias("word"), F.col("s.totals").alias("n"))
 
 
@@ -144,7 +156,7 @@ def _weighed(counted: DataFrame, gains: DataFrame) -> DataFrame:
 
     docs = counted.select("chunk", "part", "id", "n_words", "n_features", "codes", "counts")
     kind = counted.schema["id"].dataType.simpleString()
-    return docs.groupBy("chunk").cogroup(gains.groupBy("of")).applyInArrow(add, f"part string, id {kind}, n_words long, n_features long, gain long")
+    return docs.groupBy("chunk").cogroup(gains.groupBy("of")).applyInArrow(add, f"part long, id {kind}, n_words long, n_features long, gain long")
 
 
 def importance_resampling(docs: DataFrame, target: DataFrame, options: Resampling = Resampling(), id_column: str = "doc_id", text_column: str = "text", target_column: str = "text") -> DataFrame:

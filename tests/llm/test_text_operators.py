@@ -141,7 +141,8 @@ def resampled(rows, target, o):
 
 @pytest.mark.parametrize("options", [importance.Resampling(), importance.Resampling(longest=3, buckets=50, share=60, least=3), importance.Resampling(buckets=1, share=100, least=0)])
 def test_importance_resampling(spark, monkeypatch, options):
-    monkeypatch.setattr(importance, "CHUNK_BYTES", 3000)  # the long texts are counted in parts
+    monkeypatch.setattr(importance, "PART_BYTES", 3000)  # the long texts are counted in parts
+    monkeypatch.setattr(importance, "CHUNK_BYTES", 6000)
     target = ["aa bb CC", None, "", "long line", "a b a b"]
     rows, docs = table(spark, TEXTS)
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(target)], "item_id long, text string")
