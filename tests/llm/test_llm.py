@@ -144,13 +144,34 @@ def test_inner_product_in_a_dense_group():
     x[11] = x[12]
     books = inner_product.Codebooks(x[:1000])
     asked, ids = np.arange(0, 4000, 40), np.arange(4000)
-    a, b, score = inner_product.search_block(books, asked, x[asked], ids, books.encode(x), x, 20)
+    a, b, score, scored = inner_product.search_block(books, asked, x[asked], ids, books.encode(x), x, 20)
+    # queries of the dense group have all of it within the codes' error
+    assert scored < 0.2 * 4000 * len(asked)
     for q in asked:
         s = np.einsum("ij,ij->i", np.repeat(x[q : q + 1], 4000, 0), x)
         s[q] = -np.inf
         assert b[a == q].tolist() == np.lexsort((ids, -s))[:20].tolist() and np.allclose(score[a == q], s[b[a == q]])
 
 
+def test_inner_product_scores_few_pairs():
+    """Tables first: a small share of all pairs is scored exactly, and none of the nearest is lost; copies beyond the nearest asked for aren't scored at all."""
+    r, shares = np.random.default_rng(7), []
+    for n in (1000, 4000, 8000):
+        x = r.normal(size=(n, 64)) * r.uniform(0.8, 1.2, (n, 1))
+        ids, asked = np.arange(n), np.arange(0, n, 40)
+        books = inner_product.Codebooks(x[:1000])
+        a, b, _, scored = inner_product.search_block(books, asked, x[asked], ids, books.encode(x), x, 20)
+        s = x[asked] @ x.T
+        s[np.arange(len(asked)), asked] = -np.inf
+        assert [b[a == q].tolist() for q in asked] == np.argsort(-s, axis=1, kind="stable")[:, :20].tolist()
+        shares.append(scored / (n * len(asked)))
+    assert shares[0] < 0.2 and shares[0] > shares[1] > shares[2] and shares[2] < 0.05
+    x[:3000] = x[5]
+    a, b, _, scored = inner_product.search_block(books, ids[:200], x[:200], ids, books.encode(x), x, 20)
+    assert b[a == 5].tolist() == [*range(5), *range(6, 21)] and scored < 0.05 * 200 * 8000
+    assert inner_product.few_of_each(np.array([5, 3, 4, 9]), np.array([[1.0], [1.0], [1.0], [2.0]]), 2).tolist() == [1, 2, 3]
+
+
 def test_near_documents(spark):
     base = [words(80, i) for i in range(12)]
     texts = [*ODD, *base, *base[:4], *(b.rsplit(" ", 4)[0] + " tail end of it" for b in base[:6]), base[0].upper()]
