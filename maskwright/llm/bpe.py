@@ -16,6 +16,8 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -23,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from maskwright.llm.common import configure, per_worker, trim, utf8
 from maskwright.llm.shingles import in_chunks
@@ -44,6 +47,19 @@ KIND[[9, 10, 11, 12, 13, 32]] = 4
 FAR = np.int32(1 << 30)
 
 
+def _naming(pattern: str, unlike: Newer) -> str:
+    """A word pattern whose classes know the newer characters."""
+    every = ranges("".join(sorted(unlike.letters + unlike.numbers + unlike.others)))
+    kind = lambda own, rest: f"(?:[{own}]|(?![{every}]){rest})" if own else f"(?:(?![{every}]){rest})"
+    letter, number = kind(ranges(unlike.letters), r"\p{L}"), kind(ranges(unlike.numbers), r"\p{N}")
+    other = kind(ranges(unlike.others), r"[^\p{White_Space}\p{L}\p{N}]")
+    for before, after in ((r"[^\s\p{L}\p{N}]", other), (r"[\p{L}]", letter), (r"[\p{N}]", number)):
+        pattern = pattern.replace(before, after)
+    pattern = re.sub(r"(?<= \?)\\p\{L\}", lambda _: letter, pattern)
+    pattern = re.sub(r"(?<= \?)\\p\{N\}", lambda _: number, pattern)
+    return re.sub(r"(?<=\|)\\s|(?<=\?!)\\S", lambda m: r"\p{White_Space}" if m[0] == r"\s" else r"\P{White_Space}", pattern)
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -60,6 +76,45 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[at]
 
 
+@dataclass(frozen=True)
+class Newer:
+    """What the tokenizers library says of characters that Python's tables and the `regex` module's may know differently, as they are of other versions of Unicode: letters, numbers and others among them, and what they become when folded (where Python has something else)."""
+
+    letters: str = ""
+    numbers: str = ""
+    others: str = ""
+    folded: tuple[tuple[str, str], ...] = ()
+
+
+@cache
+def newer(path: str) -> Newer:
+    """Asked of the library itself, of all characters that Unicode has assigned since Python's tables: some ten thousand, in a few calls."""
+    known = regex.compile(r"\P{Cn}")
+    chars = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn" and known.match(c)]
+    t = Tokenizer.from_file(path)
+
+    def one_word(before: str) -> np.ndarray:
+        """Whether each character makes one word with the one before it."""
+        begins = {a for _, (a, _) in t.pre_tokenizer.pre_tokenize_str("".join(f"{before}{c}\n" for c in chars))}
+        return np.array([3 * k + 1 not in begins for k in range(len(chars))])
+
+    letter, other = one_word("a"), one_word("!")
+    pick = lambda which: "".join(c for c, w in zip(chars, which.tolist(), strict=True) if w)
+    folded = []
+    if t.normalizer is not None:
+        made = t.normalizer.normalize_str("|".join(chars)).split("|")
+        folded = [(c, f) for c, f in zip(chars, made, strict=True) if f != unicodedata.normalize("NFC", c).lower()]
+    return Newer(pick(letter), pick(~letter & ~other), pick(other), tuple(folded))
+
+
+def ranges(chars: str) -> str:
+    """A class of the sorted characters, without brackets."""
+    codes = np.array([ord(c) for c in chars], np.int64)
+    first = np.flatnonzero(np.diff(codes, prepend=-2) != 1)
+    last = np.append(first[1:], len(codes)) - 1
+    return "".join(f"\\U{codes[a]:08x}-\\U{codes[b]:08x}" for a, b in zip(first, last, strict=True))
+
+
 class Table(dict):
     """Numbers keys in the order in which they are first looked up, and keeps ids for each."""
 
@@ -124,7 +179,9 @@ class Table(dict):
 class Bpe:
     """Encodes and decodes as the tokenizers library does with the vocabulary file at path, without added special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, unlike: Newer | None = None):
+        """unlike: newer(path), which one process can find for others."""
+        unlike = newer(path) if unlike is None else unlike
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -132,6 +189,10 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.folds = bool(spec.get("normalizer"))
         self.find = regex.compile((WORD_PATTERN if self.suffix else BYTE_PATTERN).replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        # texts with newer characters are cut by a pattern that names them
+        self.newer = regex.compile(f"[{ranges(''.join(sorted(unlike.letters + unlike.numbers + unlike.others)))}]").search
+        self.odd_find = regex.compile(_naming(WORD_PATTERN if self.suffix else BYTE_PATTERN, unlike)).findall
+        self.newer_folds = str.maketrans(dict(unlike.folded))
         self.ascii = re.compile((WORD_PATTERN if self.suffix else BYTE_PATTERN).replace(r"[\p{L}]", "[a-zA-Z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(" ?a-zA-Z+", " ?[a-zA-Z]+").replace(" ?0-9+", " ?[0-9]+").replace(r"[^\s", r"[^\t-\r ").replace(r"(?!\S)", r"(?![^\t-\r ])").replace(r"\s+", r"[\t-\r ]+"), re.ASCII).findall
         self.single = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + self.suffix] for c in letters], np.int64)
@@ -206,11 +267,13 @@ class Bpe:
     def fold(self, text: str) -> str:
         if self.folds and text.isascii():
             return text.lower()
+        if self.folds and self.newer_folds and self.newer(text):
+            text = text.translate(self.newer_folds)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() if self.folds else text
 
     def words(self, text: str) -> list[str]:
         """The words of a folded text without special tokens, as the vocabulary's pattern cuts it."""
-        return (self.ascii if text.isascii() else self.find)(text)
+        return (self.ascii if text.isascii() else self.odd_find if self.newer(text) else self.find)(text)
 
     def _stretches(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
         """The stretches between single spaces of all texts, as keys of the table, so that the pattern runs over new ones alone, and where each text's begin. No text holds NUL or a special token.
@@ -336,9 +399,9 @@ class Bpe:
         return self.bytes.take(pa.array(ids)).buffers()[2].to_pybytes().decode("utf-8", "replace") if len(ids) else ""
 
 
-def shared_bpe(vocabulary: str) -> Bpe:
-    """The encoder of this Python worker. Tasks go from one idle worker to another, so each lets its encoder rest when it ends."""
-    return per_worker(("bpe", vocabulary), lambda: Bpe(vocabulary))
+def shared_bpe(vocabulary: str, unlike: Newer) -> Bpe:
+    """The encoder of this Python worker. unlike: newer(vocabulary). Tasks go from one idle worker to another, so each lets its encoder rest when it ends."""
+    return per_worker(("bpe", vocabulary), lambda: Bpe(vocabulary, unlike))
 
 
 def encoded(bpe: Bpe, column: pa.Array) -> Iterator[np.ndarray]:
@@ -363,10 +426,10 @@ def token_digests(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", t
 def _mapped(docs: DataFrame, vocabulary: str, id_column: str, text_column: str, each, kinds: dict[str, pa.DataType]) -> DataFrame:
     """Rows of each(ids, decoded text in UTF-8), with the ids as little-endian unsigned 32-bit integers."""
     configure(docs.sparkSession)
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind, unlike = docs.schema[id_column].dataType.simpleString(), newer(vocabulary)
 
     def run(batches):
-        bpe = shared_bpe(vocabulary)
+        bpe = shared_bpe(vocabulary, unlike)
         for b in batches:
             rows = [each(ids.astype("<u4"), bpe.decode(ids).encode()) for ids in encoded(bpe, b.column(1))]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)

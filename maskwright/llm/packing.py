@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import encoded, shared_bpe
+from maskwright.llm.bpe import encoded, newer, shared_bpe
 from maskwright.llm.common import configure, mapped, stored, utf8
 
 #: Tokens of a sequence, of a length class, and the id that ends a document.
@@ -121,10 +121,10 @@ class Plan:
 
 def tokenized(docs: DataFrame, vocabulary: str, id_column: str, text_column: str) -> DataFrame:
     """(row, id, n, crc, ids): each text's ids and the end id, as unsigned 16-bit integers, or 32-bit ones if one of them needs it; n tokens; the CRC-32 of all as 32-bit integers."""
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind, unlike = docs.schema[id_column].dataType.simpleString(), newer(vocabulary)
 
     def run(batches):
-        bpe = shared_bpe(vocabulary)
+        bpe = shared_bpe(vocabulary, unlike)
         for b in batches:
             n, crc, raw = [], [], []
             for ids in encoded(bpe, b.column(2)):

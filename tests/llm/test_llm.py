@@ -44,6 +44,19 @@ def test_word_bpe():
     assert [x.tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_bpe_of_every_kind_of_character(name):
+    """After a letter, after a digit and alone: all characters below U+3100, all that Unicode has assigned since Python's tables, and every hundredth of the others (all of them were compared once)."""
+    from tokenizers import Tokenizer
+
+    unlike = bpe.newer(P.path(name))
+    late = unlike.letters + unlike.numbers + unlike.others
+    t, own = Tokenizer.from_file(P.path(name)), bpe.Bpe(P.path(name), unlike)
+    chars = [*map(chr, range(0x3100)), *late, *(chr(c) for c in range(0x3100, 0x110000, 97) if not 0xD800 <= c < 0xE000)]
+    texts = [" ".join(f"a{c}b 1{c} {c}" for c in chars[k : k + 100]) for k in range(0, len(chars), 100)]
+    assert len(late) > 10_000 and all(x.tolist() == e.ids for x, e in zip(own.encode(texts), t.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
 def test_warc(spark):
     html = [None, "", "é" * 40_000, "x" * 1000, "x" * 1000, "x" * 999, "x" * 999, "a\r\n\r\nWARC/1.1\r\n", words(30_000, 2)]
     pages = spark.createDataFrame([(i, "http://e/\r\nX: y" if i % 2 else None, h) for i, h in enumerate(html)] + [(4, "u", "x" * 1000)], "page_id long, url string, html string")
