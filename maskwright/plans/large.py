@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.regex import to_duckdb
-from maskwright.operators.analyze import Options, findings
+from maskwright.operators import anonymize as anon
+from maskwright.operators.analyze import Options, analyze, findings, rows_of
 from maskwright.operators.catalog import EMAIL, RECOGNIZERS, Recognizer
 from maskwright.operators.custom import recognizer
 from maskwright.operators.diff import chunked_diff_lines, diff_chunks, file_chunks
 from maskwright.operators.json_masking import mask_json
+from maskwright.operators.overlaps import overlapping
 from maskwright.operators.pieces import findings_in_pieces
 from maskwright.operators.scan import scan_lines
-from maskwright.plans import sql, tools
+from maskwright.plans import sql, tools, vectors
 from maskwright.plans.registry import spread
 from maskwright.plans.tools import SHOWN, document_diffs
 from maskwright.sources.files import file_lines
@@ -93,8 +95,26 @@ def json_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_json(docs, "doc_id").select("doc_id", "summary", F.sha2("json", 256).alias("json_sha256"))
 
 
+def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _docs(spark, sf_dir).unionByName(spark.createDataFrame(vectors.rows(), "doc_id long, text string"))
+    return analyze(both)
+
+
+def anonymize_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with findings of all types replaced, operators by type; where findings overlap the better one keeps its place and the others what is left of theirs."""
+    by_type = {"EMAIL_ADDRESS": anon.mask_keep_last("*", 4), "IP_ADDRESS": anon.token(), "US_BANK_NUMBER": anon.mask("#"), "DATE_TIME": anon.redact(), "URL": anon.replace_with("[link]"), "PHONE_NUMBER": None}
+    return _analyzed(spark, sf_dir).select("doc_id", F.sha2(anon.anonymize(F.col("text"), F.col("spans"), by_entity=by_type), 256).alias("masked_sha256"))
+
+
+def overlapping_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of types that claim the same bytes: how often, and how many bytes."""
+    found = rows_of(_analyzed(spark, sf_dir), "doc_id").select("doc_id", "s.entity_type", "s.start", "s.end")
+    pairs = overlapping(found, found).filter("a.entity_type < b.entity_type")
+    return pairs.groupBy(F.col("a.entity_type").alias("one"), F.col("b.entity_type").alias("other")).agg(F.count("*").alias("n"), F.sum("shared").cast("long").alias("shared"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (json_all_types, findings_of_pieces, custom_recognizers, lines_of_files, scan_files, diff_chunk_lines, diff_file_lines)}
+    return {f.__name__: f for f in (anonymize_all_types, overlapping_types, json_all_types, findings_of_pieces, custom_recognizers, lines_of_files, scan_files, diff_chunk_lines, diff_file_lines)}
 
 
 _ALL: list[tuple[int, Recognizer]] = list(enumerate(RECOGNIZERS))
@@ -110,7 +130,26 @@ def oracle_sql() -> dict[str, str]:
     lined = rf"""
         WITH s AS (SELECT doc_id, unnest({split}) AS c, generate_subscripts({split}, 1) AS i FROM documents),
         l AS (SELECT doc_id // {PER_FILE} AS part, row_number() OVER (PARTITION BY doc_id // {PER_FILE} ORDER BY doc_id, i) AS line, regexp_replace(c, '\r\z', '') AS c FROM s)"""
+    both = sql.with_vectors()
     return {
+        "anonymize_all_types": f"""
+        WITH d AS ({both}), f AS ({sql.spans(both, ["doc_id"], _ALL)}),
+        o AS (SELECT doc_id, entity_type, start, "end" AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY f.score DESC, "end" - start DESC, start, entity_type) AS nth FROM f),
+        c AS (SELECT doc_id, start AS spot FROM o UNION SELECT doc_id, stop FROM o),
+        e AS (SELECT doc_id, spot, lead(spot) OVER (PARTITION BY doc_id ORDER BY spot) AS until FROM c),
+        w AS (SELECT e.doc_id, spot, until, min(nth) AS nth FROM e JOIN o ON o.doc_id = e.doc_id AND o.start <= spot AND o.stop >= until GROUP BY ALL),
+        g AS (SELECT *, CASE WHEN lag(nth) OVER x = nth AND lag(until) OVER x = spot THEN 0 ELSE 1 END AS fresh FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY spot)),
+        r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY spot) AS piece FROM g),
+        p AS (SELECT r.doc_id, piece, any_value(entity_type) AS t, min(spot) AS a, max(until) AS b FROM r JOIN o ON o.doc_id = r.doc_id AND o.nth = r.nth GROUP BY r.doc_id, piece),
+        v AS (SELECT p.*, encode(text) AS raw, coalesce(lag(b) OVER (PARTITION BY p.doc_id ORDER BY a), 0) AS since FROM p JOIN d ON d.doc_id = p.doc_id),
+        s AS (SELECT *, decode(raw[since + 1 : a]) AS gap, decode(raw[a + 1 : b]) AS v FROM v),
+        m AS (SELECT doc_id, string_agg(gap || CASE t WHEN 'EMAIL_ADDRESS' THEN CASE WHEN length(v) <= 4 THEN v ELSE repeat('*', length(v) - 4) || right(v, 4) END WHEN 'IP_ADDRESS' THEN t || '_' || substr(sha256(t || '|' || v), 1, 8)
+            WHEN 'US_BANK_NUMBER' THEN repeat('#', length(v)) WHEN 'DATE_TIME' THEN '' WHEN 'URL' THEN '[link]' ELSE '<' || t || '>' END, '' ORDER BY a) || decode(any_value(raw)[max(b) + 1 :]) AS masked FROM s GROUP BY doc_id)
+        SELECT d.doc_id, sha256(coalesce(masked, text)) AS masked_sha256 FROM d LEFT JOIN m ON m.doc_id = d.doc_id""",
+        "overlapping_types": f"""
+        WITH f AS ({sql.spans(both, ["doc_id"], _ALL)})
+        SELECT a.entity_type AS one, b.entity_type AS other, count(*) AS n, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS shared
+        FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end" AND a.entity_type < b.entity_type GROUP BY ALL""",
         "json_all_types": f"""
         WITH f AS ({sql.spans(docs, ["doc_id"], _ALL)}),
         k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY "end" DESC, entity_type) AS nth FROM f WHERE score >= 0.5 AND entity_type NOT IN ('DATE_TIME', 'URL')),
