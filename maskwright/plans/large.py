@@ -14,7 +14,8 @@ from maskwright.operators.diff import chunked_diff_lines, diff_chunks, file_chun
 from maskwright.operators.json_masking import mask_json
 from maskwright.operators.overlaps import overlapping
 from maskwright.operators.pieces import findings_in_pieces
-from maskwright.operators.scan import scan_lines
+from maskwright.operators.reports import json_report, quantiles
+from maskwright.operators.scan import scan, scan_lines
 from maskwright.plans import sql, tools, vectors
 from maskwright.plans.registry import spread
 from maskwright.plans.tools import SHOWN, document_diffs
@@ -113,8 +114,20 @@ def overlapping_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("a.entity_type").alias("one"), F.col("b.entity_type").alias("other")).agg(F.count("*").alias("n"), F.sum("shared").cast("long").alias("shared"))
 
 
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the JSON report on mail addresses, and how often each stands in it."""
+    found = scan(_docs(spark, sf_dir), "doc_id", options=_MAILS).select(F.pmod("doc_id", F.lit(3)).alias("line"), "entity_type", "value_masked", "score")
+    return json_report(found).groupBy("place.part", F.col("line").alias("json")).agg(F.count("*").alias("n"))
+
+
+def length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of the documents' sizes by language."""
+    sized = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", F.octet_length("text").alias("size"))
+    return quantiles(sized, ["lang"], "size", {"least": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p999": 0.999, "most": 1.0})
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (anonymize_all_types, overlapping_types, json_all_types, findings_of_pieces, custom_recognizers, lines_of_files, scan_files, diff_chunk_lines, diff_file_lines)}
+    return {f.__name__: f for f in (report_lines, length_quantiles, anonymize_all_types, overlapping_types, json_all_types, findings_of_pieces, custom_recognizers, lines_of_files, scan_files, diff_chunk_lines, diff_file_lines)}
 
 
 _ALL: list[tuple[int, Recognizer]] = list(enumerate(RECOGNIZERS))
@@ -131,7 +144,15 @@ def oracle_sql() -> dict[str, str]:
         WITH s AS (SELECT doc_id, unnest({split}) AS c, generate_subscripts({split}, 1) AS i FROM documents),
         l AS (SELECT doc_id // {PER_FILE} AS part, row_number() OVER (PARTITION BY doc_id // {PER_FILE} ORDER BY doc_id, i) AS line, regexp_replace(c, '\r\z', '') AS c FROM s)"""
     both = sql.with_vectors()
+    place = lambda p, name: f"CAST(s[CAST(floor({p}::DOUBLE * (len(s) - 1)) AS INT) + 1] AS DOUBLE) AS {name}"
+    mail_lines = f"SELECT doc_id % 3 AS line, unnest(regexp_extract_all(c, '{to_duckdb(EMAIL)}')) AS v FROM (SELECT doc_id, unnest({split}) AS c FROM documents)"
     return {
+        "report_lines": f"""
+        WITH m AS ({mail_lines}), j AS (SELECT '{{"line":' || line || ',"entity_type":"EMAIL_ADDRESS","value_masked":"' || {SHOWN} || '","score":0.5}}' AS json, line, {SHOWN} AS shown FROM m),
+        n AS (SELECT *, row_number() OVER (ORDER BY line, shown) AS nth FROM j)
+        SELECT 1 AS part, CASE WHEN nth > 1 THEN ',' ELSE '' END || json AS json, count(*) AS n FROM n GROUP BY ALL
+        UNION ALL SELECT 0, '{{"findings": [', 1 UNION ALL SELECT 2, '], "total": ' || (SELECT count(*) FROM m) || '}}', 1""",
+        "length_quantiles": "SELECT lang, " + ", ".join(place(p, n) for n, p in (("least", 0.0), ("p10", 0.1), ("p50", 0.5), ("p90", 0.9), ("p999", 0.999), ("most", 1.0))) + " FROM (SELECT lang, list_sort(list(octet_length(encode(text)))) AS s FROM documents WHERE text IS NOT NULL GROUP BY lang)",
         "anonymize_all_types": f"""
         WITH d AS ({both}), f AS ({sql.spans(both, ["doc_id"], _ALL)}),
         o AS (SELECT doc_id, entity_type, start, "end" AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY f.score DESC, "end" - start DESC, start, entity_type) AS nth FROM f),
