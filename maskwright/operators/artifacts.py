@@ -28,7 +28,7 @@ WORD, BATCH, SHARED = 100, 32, 32
 
 @dataclass(frozen=True)
 class Settings:
-    """cut: whole, lines or fields. window, overlap: bytes of a folded window and what neighbours share. tokenizer, budget: windows of at most so many tokens instead. low: types whose scores are multiplied by low_factor (0: not)."""
+    """cut: whole, lines or fields. window, overlap: bytes of a folded window and what neighbours share. tokenizer, budget: windows of at most so many tokens instead. low: types whose scores are multiplied by low_factor (0: not). buckets: lengths (characters, or tokens) that windows are rounded up to; those of a length go to the model together, whatever texts they are of."""
 
     mapping: dict[str, str] = field(default_factory=dict)
     ignore: tuple[str, ...] = ()
@@ -39,6 +39,7 @@ class Settings:
     overlap: int = 96
     tokenizer: Tokenizer | None = None
     budget: int = 256
+    buckets: tuple[int, ...] = ()
 
     def __post_init__(self):
         if self.cut not in ("whole", "lines", "fields"):
@@ -151,14 +152,29 @@ def mapped(label: str, score: float, o: Settings) -> tuple[str, float] | None:
     return None if label in o.ignore or entity in o.ignore or score <= 0 else (entity, score)
 
 
+def _calls(jobs: list[tuple[int, int, int, str]], o: Settings) -> Iterator[tuple[list, list[str]]]:
+    """The windows of one call of the model after the other, and the texts to call it with. With buckets, those of a call have one rounded length, filled up with blanks where characters count, and there are a power of two of them, so the model meets few shapes."""
+    groups: dict[int, list] = {}
+    for job in jobs:
+        size = o.tokenizer(job[3])[1] if o.tokenizer and o.buckets else len(job[3])
+        groups.setdefault(next((b for b in sorted(o.buckets) if b >= size), size) if o.buckets else 0, []).append(job)
+    for width, group in sorted(groups.items()):
+        for k in range(0, len(group), BATCH):
+            part = group[k : k + BATCH]
+            given = [w for *_, w in part]
+            if o.buckets:
+                blank = "" if o.tokenizer else " " * width
+                given = [w if o.tokenizer else w.ljust(width) for w in given] + [blank] * ((1 << (len(part) - 1).bit_length()) - len(part))
+            yield part, given
+
+
 def found_in(texts: list[str], backend: Backend, o: Settings) -> list[list[Span]]:
     """The artifacts of each text, in byte offsets."""
     folded, raw = [fold(t) for t in texts], [[] for _ in texts]
     cut = lambda text: token_windows(text, o.tokenizer, o.budget) if o.tokenizer else windows(len(text), o.window, o.overlap)
     jobs = [(n, a + x, a + y) for n, t in enumerate(texts) for a, b in segments(t, o.cut) for x, y in cut(folded[n][a:b])]
-    for k in range(0, len(jobs), BATCH):
-        part = jobs[k : k + BATCH]
-        for (n, a, b), answer in zip(part, backend([folded[n][a:b] for n, a, b in part]), strict=True):
+    for part, given in _calls([(n, a, b, folded[n][a:b]) for n, a, b in jobs], o):
+        for (n, a, b, _), answer in zip(part, backend(given)[: len(part)], strict=True):
             for label, x, y, score in answer:
                 x, y = max(a, a + x), min(b, a + y)
                 if x < y and (m := mapped(label, score, o)):

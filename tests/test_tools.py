@@ -1,5 +1,7 @@
 import json
 import random
+import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,8 +113,6 @@ def test_custom_recognizers(spark, tmp_path):
 
 def test_artifacts(spark):
     def backend():
-        import re
-
         return lambda texts: [[("PER", m.start(), m.end(), 0.8) for m in re.finditer("ose|Anna", t)] + [("MISC", 0, 1, 0.9)] for t in texts]
 
     o = art.Settings(mapping={"PER": "PERSON"}, ignore=("MISC",), low=("PERSON",), low_factor=0.5, cut="lines", window=12, overlap=6)
@@ -130,6 +130,27 @@ def test_artifacts(spark):
     assert art.with_artifacts(df, broken).first().artifacts == []
 
 
+def test_windows_of_a_length_meet_the_model_together():
+    """It sees rounded shapes only, and the artifacts are those without rounding."""
+    r, shapes = random.Random(9), set()
+    texts = ["".join(r.choice(["Anna ", "x ", "José, ", "\n", "word "]) for _ in range(r.randint(0, 40))) for _ in range(150)]
+
+    def model(given):
+        shapes.add((len(given), *sorted({len(w) for w in given})))
+        return [[("PER", m.start(), m.end(), 0.5 + len(m[0]) / 10) for m in re.finditer("Anna|Jose|r *$", w)] for w in given]
+
+    plain = art.Settings(cut="lines", window=40, overlap=12)
+    want = art.found_in(texts, model, replace(plain, buckets=()))
+    assert len(shapes) > 10 and any(want)
+    shapes.clear()
+    found = art.found_in(texts, model, replace(plain, buckets=(8, 24, 40)))
+    names = lambda spans: [[s for s in x if s[3] > 0.85] for x in spans]
+    assert names(found) == names(want) and shapes <= {(n, w) for n in (1, 2, 4, 8, 16, 32) for w in (8, 24, 40)} and len(shapes) > 2
+    words = lambda t: ([m.span() for m in re.finditer("[^ ]+", t)], len(t.split(" ")) + 2)
+    tokens = replace(plain, tokenizer=words, budget=12, buckets=(4, 12))
+    assert names(art.found_in(texts, model, tokens)) == names(art.found_in(texts, model, replace(tokens, buckets=())))
+
+
 def test_cutting_and_snapping():
     text = "a\tb\n\n--\nc"
     assert ["".join(text[a:b]) for a, b in art.segments(text, "fields")] == ["a\t", "b\n", "c"]
