@@ -19,10 +19,12 @@ BAD = "label=bad"
 
 
 def host_of(url: Column) -> Column:
+    """What is between :// and the next /, ? or #, A-Z in lower case; empty without ://, and for null."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
+    """What follows the host up to ? or #; empty without ://, and for null."""
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
@@ -52,16 +54,18 @@ def transactions(pages: DataFrame) -> DataFrame:
     return p.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled"), "items", F.regexp_extract("path", r"(\d+)[^/\d]*/?$", 1).try_cast("long").alias("doc_id"))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.2) -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.2, min_pages: int = 5) -> DataFrame:
     """(antecedent, confidence, lift, support) of the association rules `tokens -> bad`, pruned.
 
-    Tokens of the same labelled pages, such as the segments of a shared folder, are mined as one, and a rule of such tokens then stands for one rule for each of them: the same rules as of all tokens, without all their subsets. The support is a share of all labelled pages, so at most 1 / min_support rules share no page and the number of rules doesn't grow with the input. A rule goes if a more general one is at least as confident. Labels met twice count once for each page; none, or no page labelled, gives no rules.
+    Tokens of the same labelled pages, such as the segments of a shared folder, are mined as one, and a rule of such tokens then stands for one rule for each of them: the same rules as of all tokens, without all their subsets. The support is a share of all labelled pages, so at most 1 / min_support rules share no page and the number of rules doesn't grow with the input; where that share is less than min_pages pages, so many are asked for, as one page proves nothing of others. A rule goes if a more general one is at least as confident. Labels met twice count once for each page; none, or no page labelled, gives no rules.
     """
     seen = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")).alias("bad"))
     baskets = stored(pages.join(seen, "doc_id").select(F.monotonically_increasing_id().alias("basket"), F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "baskets")
     if baskets.filter(F.array_contains("items", BAD)).isEmpty():
         return pages.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, lift double, support double")
-    same = stored(_same_pages(baskets, min_support * baskets.count()), "same-tokens")
+    n = baskets.count()
+    min_support = min(1.0, max(min_support, min_pages / n))
+    same = stored(_same_pages(baskets, min_support * n), "same-tokens")
     spare = same.agg(F.flatten(F.collect_list(F.slice("tokens", F.lit(2), F.size("tokens")))).alias("spare"))
     merged = baskets.crossJoin(spare).select(F.array_except("items", "spare").alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(merged).associationRules

@@ -102,6 +102,37 @@ def test_mined_rules_of_deep_urls(spark):
     assert blocked == {i for i in range(80) if i % 4 == 0} | {81}
 
 
+def test_mined_rules_against_loops(spark):
+    """Confidence, support and lift of each rule, that no rule of one or two tokens is missing, and every page's verdict, by other means than the operator's; odd rows among them."""
+    r = random.Random(12)
+    urls = [f"http://{r.choice(['a', 'b', 'c'])}.net/{r.choice(['x', 'y'])}/{r.choice(['p?k=1', 'q#f', 'r'])}/{i}" for i in range(120)] + [None, "", "nothing", "http://a.net/x/p/7", "http://com/fr/1"]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)] + [(7, urls[7], "x", "y")], "page_id long, url string, rule string, items string")
+    bad = lambda u: int("a.net" in u and "/x/" in u or "/q" in u and r.random() < 0.6)
+    labels = spark.createDataFrame([(i, None if i % 9 == 0 else 1, bad(urls[i])) for i in range(0, 120, 2)] + [(None, 0, 1), (4, 1, None)], "doc_id long, quality int, toxic int")
+    told = {}
+    for x in labels.collect():
+        if x.doc_id is not None:
+            told[x.doc_id] = max(told.get(x.doc_id, 0), int(x.toxic == 1 or x.quality == 0))
+    rows = url_rules.transactions(pages).collect()
+    baskets = [(set(x["items"]), told[x.doc_id]) for x in rows if x.doc_id in told]
+    n, share = len(baskets), sum(b for _, b in baskets) / len(baskets)
+
+    def measured(tokens):
+        met = [b for items, b in baskets if tokens <= items]
+        return (sum(met) / len(met), sum(met) / len(met) / share, sum(met) / n) if met else (0, 0, 0)
+
+    rules = {frozenset(x.antecedent): (x.confidence, x.lift, x.support) for x in url_rules.mine_rules(url_rules.transactions(pages), labels).collect()}
+    assert len(rules) > 2 and all(np.allclose(v, measured(k)) and v[0] >= 0.5 and v[1] >= 1.2 and v[2] * n >= 5 - 1e-9 for k, v in rules.items())
+    every = sorted(set().union(*(items for items, _ in baskets)))
+    for pair in {frozenset((x, y)) for x in every for y in every}:
+        confidence, lift, support = measured(pair)
+        if confidence >= 0.5 and lift >= 1.2 and support * n >= 5:
+            assert any(k <= pair and v[0] >= confidence for k, v in rules.items()), pair
+    for x, page in zip(sorted(rows, key=lambda x: x.page_id), sorted(url_rules.judge_pages(pages, labels).collect(), key=lambda x: x.page_id), strict=True):
+        assert page.verdict == (x.ruled or ("block" if any(k <= set(x["items"]) for k in rules) else "allow")) and page.page_id == x.page_id
+    assert url_rules.judge_pages(pages.limit(0), labels).collect() == []
+
+
 def test_near_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(60, 16))
