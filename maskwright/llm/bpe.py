@@ -189,8 +189,9 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.folds = bool(spec.get("normalizer"))
         self.find = regex.compile((WORD_PATTERN if self.suffix else BYTE_PATTERN).replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        # texts with newer characters are cut by a pattern that names them
-        self.newer = regex.compile(f"[{ranges(''.join(sorted(unlike.letters + unlike.numbers + unlike.others)))}]").search
+        # texts with newer characters, or any beyond 16 bits, are cut by a pattern that names them; `re` looks up a class of 16 bits in a table
+        self.newer = re.compile(f"[{ranges(''.join(c for c in sorted(unlike.letters + unlike.numbers + unlike.others) if ord(c) < 1 << 16))}\\U00010000-\\U0010ffff]").search
+        self.to_fold = re.compile(f"[{ranges(''.join(sorted(dict(unlike.folded))))}]").search if unlike.folded else None
         self.odd_find = regex.compile(_naming(WORD_PATTERN if self.suffix else BYTE_PATTERN, unlike)).findall
         self.newer_folds = str.maketrans(dict(unlike.folded))
         self.ascii = re.compile((WORD_PATTERN if self.suffix else BYTE_PATTERN).replace(r"[\p{L}]", "[a-zA-Z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(" ?a-zA-Z+", " ?[a-zA-Z]+").replace(" ?0-9+", " ?[0-9]+").replace(r"[^\s", r"[^\t-\r ").replace(r"(?!\S)", r"(?![^\t-\r ])").replace(r"\s+", r"[\t-\r ]+"), re.ASCII).findall
@@ -267,7 +268,7 @@ class Bpe:
     def fold(self, text: str) -> str:
         if self.folds and text.isascii():
             return text.lower()
-        if self.folds and self.newer_folds and self.newer(text):
+        if self.folds and self.to_fold and self.to_fold(text):
             text = text.translate(self.newer_folds)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() if self.folds else text
 
