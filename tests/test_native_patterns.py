@@ -66,3 +66,11 @@ def test_time_follows_the_size(spark):
 def test_gates_of_own_patterns():
     assert patterns.holds_a_digit(r"(?:a|b)\d?[0-9]{2}") and not patterns.holds_a_digit(r"a\d*") and not patterns.holds_a_digit(r"\d|x") and not patterns.holds_a_digit(r"[\dx]")
     assert sum(patterns.native(rx, g) is not None for r in RECOGNIZERS for _, rx, g in r.patterns) > 60
+
+
+def test_a_flag_holds_for_the_whole_pattern(spark):
+    """Also in the group, as RE2 has it."""
+    own, texts = [custom.recognizer("T", [(0.5, r"(?i)\bthe ([a-z]{9,12})\b", 1)])], ["The Toonineath, the ofantition", "le THE OUONRESTATST", "the Short"]
+    found = analyze(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), options=Options(recognizers=own)).orderBy("i").collect()
+    want = [duckdb.execute("SELECT regexp_extract_all(?, ?, 1)", [t, own[0].patterns[0][1]]).fetchone()[0] for t in texts]
+    assert [[s.text for s in x.spans] for x in found] == want and want[0] == ["Toonineath", "ofantition"]
