@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""What driver and executors share: a folder, and the size of the batches that Python workers get."""
 
 from __future__ import annotations
 
@@ -8,6 +8,17 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch, about, to a Python worker and from it: with long rows, their number alone bounds nothing.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the batches that Spark sends to Python from now on, unless they are bounded closer."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in spark.checkpoint.dir. Where that is unset, a folder of this machine is taken if Spark runs in one process, else it is an error."""
