@@ -6,7 +6,6 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from maskwright.operators.analyze import Options, analyze, rows_of
 from maskwright.operators.anonymize import display
 from maskwright.operators.pieces import places
 from maskwright.sources.files import file_rows
+from maskwright.sources.shared import BATCH_BYTES, small_batches
 
 _HUNK = re.compile(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))?", re.ASCII)
 
@@ -104,6 +104,8 @@ def scan_diff(df: DataFrame, id_column: str, diff_column: str = "diff", options:
 CHUNK = 1 << 20
 #: Stands for the file at a chunk's begin.
 _SAME = 0
+#: Rows that may do more than count as lines of a hunk.
+_SETTING = re.compile(r"^(?:\+\+\+ |diff --git |@@ -)", re.MULTILINE)
 
 
 def summary_of(rows: list[str], out: re.Pattern | None = None) -> dict:
@@ -130,6 +132,17 @@ def summary_of(rows: list[str], out: re.Pattern | None = None) -> dict:
     return found
 
 
+def counted_lines(text: str) -> int | None:
+    """For a chunk without headers and hunks, which most are, all that its summary tells: how many rows a hunk counts. None for others."""
+    return None if _SETTING.search(text) else text.startswith(("+", " ")) + text.count("\n+") + text.count("\n ")
+
+
+def after_lines(state: list, counted: int) -> list:
+    """after() of a chunk that only has counted_lines."""
+    file, number, left = state
+    return [file, number + counted, max(0, left - counted)] if left > 0 else [file, 0, 0]
+
+
 def after(state: list, summary: dict) -> list:
     """The state after a chunk, from that before it."""
     file, number, left = state
@@ -151,7 +164,8 @@ def diff_chunks(df: DataFrame, id_column: str, diff_column: str = "diff", size:
         return let(places(raw, n, r"\n", size), lambda bounds: F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: part(bounds, k)))
 
     chunks = df.filter(n > 0).select(id_column, F.sha2(raw, 256).alias("key"), F.lit(0).cast("long").alias("block"), F.posexplode(let(raw, cut)).alias("chunk", "text"))
-    return chunks.repartition(F.xxhash64("key", "chunk"))
+    # as chunked_diff_lines joins them, so they move once
+    return chunks.repartition("key", "block", "chunk")
 
 
 def file_chunks(spark: SparkSession, paths: str | list[str], size: int = CHUNK) -> DataFrame:
@@ -181,31 +195,60 @@ def file_chunks(spark: SparkSession, paths: str | list[str], size: int = CHUNK)
 def chunked_diff_lines(chunks: DataFrame, id_column: str = "source", exclude: list[str] | None = None) -> DataFrame:
     """(id, file, line, content): what diff_lines gives, of diffs in chunks that any task can read.
 
-    A first pass sums up each chunk as what it makes of any state before it; a diff's small summaries are applied in order, which gives the state at each chunk's begin; a second pass reads the chunks from there. The text is read twice and moved only if the states are too many to broadcast.
+    A first pass sums up each chunk as what it makes of any state before it; a diff's small summaries are applied in order, which gives the state at each chunk's begin; a second pass reads the chunks from there. The text is read twice and moved only if the states are too many to broadcast. Python workers hold a batch of bounded bytes, and the states of a diff pass by one at a time.
     """
     kind, out = chunks.schema[id_column].dataType.simpleString(), exclusion(exclude or [])
 
     def sums(batches):
         for b in batches:
-            found = [json.dumps(summary_of(t.split("\n"), out)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("block"), b.column("chunk"), pa.array(found, pa.string())], names=["key", "block", "chunk", "summary"])
-
-    def states(group: pd.DataFrame) -> pd.DataFrame:
-        group, state, begin = group.sort_values(["block", "chunk"]), [None, 0, 0], []
-        for x in group.summary:
-            begin.append(json.dumps(state))
-            state = after(state, json.loads(x))
-        return group[["key", "block", "chunk"]].assign(state=begin)
+            rows = {}
+            for k, at in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "block", "chunk")), strict=True)):
+                if at not in rows:  # equal diffs of several rows have equal summaries
+                    text = b.column("text")[k].as_py()
+                    n = counted_lines(text)
+                    rows[at] = (k, n, json.dumps(summary_of(text.split("\n"), out)) if n is None else None)
+            k, counted, summaries = zip(*rows.values(), strict=True) if rows else ((), (), ())
+            places = b.select(["key", "block", "chunk"]).take(pa.array(k, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*places.columns, pa.array(counted, pa.int64()), pa.array(summaries, pa.string())], names=["key", "block", "chunk", "counted", "summary"])
+
+    def states(batches):
+        last, state, begin = (None, None, None), [], []
+        for b in batches:
+            rows, begins = [], []
+            for k, (*at, counted, summary) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if at == last:
+                    continue
+                begin = [None, 0, 0] if at[0] != last[0] else state
+                state = after(begin, json.loads(summary)) if counted is None else after_lines(begin, counted)
+                last = at
+                rows.append(k)
+                begins.append(begin)
+            files, numbers, left = zip(*begins, strict=True) if begins else ((), (), ())
+            places = b.select(["key", "block", "chunk"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*places.columns, pa.array(files, pa.string()), pa.array(numbers, pa.int64()), pa.array(left, pa.int64())], names=["key", "block", "chunk", "in_file", "number", "left"])
 
     def run(batches):
         for b in batches:
-            for k, (text, state) in enumerate(zip(b.column("text").to_pylist(), b.column("state").to_pylist(), strict=True)):
-                reader = Reader(out, *json.loads(state))
-                rows = [x for row in text.split("\n") if (x := reader.read(row))]
-                files, numbers, contents = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k] * len(rows), pa.int64())), pa.array(files, pa.string()), pa.array(numbers, pa.int64()), pa.array(contents, pa.string())], names=[id_column, "file", "line", "content"])
+            rows, of, used = [], [], 0
 
-    summed = chunks.select("key", "block", "chunk", "text").mapInArrow(sums, "key string, block long, chunk int, summary string")
-    # equal diffs of several rows have equal summaries
-    begins = summed.dropDuplicates(["key", "block", "chunk"]).groupBy("key").applyInPandas(states, "key string, block long, chunk int, state string")
-    return chunks.join(begins, ["key", "block", "chunk"]).select(id_column, "text", "state").mapInArrow(run, f"`{id_column}` {kind}, file string, line long, content string")
+            def batch() -> pa.RecordBatch:
+                files, numbers, contents = zip(*rows, strict=True) if rows else ((), (), ())
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(files, pa.string()), pa.array(numbers, pa.int64()), pa.array(contents, pa.string())], names=[id_column, "file", "line", "content"])  # noqa: B023
+
+            for k, x in enumerate(zip(*b.columns[1:], strict=True)):
+                text, *state = (v.as_py() for v in x)
+                reader = Reader(out, *state)
+                found = [added for row in text.split("\n") if (added := reader.read(row))]
+                rows += found
+                of += [k] * len(found)
+                used += len(text)
+                if used > BATCH_BYTES:
+                    yield batch()
+                    rows, of, used = [], [], 0
+            yield batch()
+
+    small_batches(chunks.sparkSession)
+    # all columns, so that the chunks of both passes are the same table and are dealt once
+    summed = chunks.mapInArrow(sums, "key string, block long, chunk int, counted long, summary string")
+    begins = summed.repartition("key").sortWithinPartitions("key", "block", "chunk").mapInArrow(states, "key string, block long, chunk int, in_file string, number long, left long")
+    return chunks.join(begins, ["key", "block", "chunk"]).select(id_column, "text", "in_file", "number", "left").mapInArrow(run, f"`{id_column}` {kind}, file string, line long, content string")
