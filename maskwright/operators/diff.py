@@ -172,23 +172,32 @@ def file_chunks(spark: SparkSession, paths: str | list[str], size: int = CHUNK)
     """(source, key, block, chunk, text): diff files of any size in chunks of whole rows, read in parallel."""
 
     def run(batches):
-        place, held, used, k = None, [], 0, 0
+        place, held, used, k, full, filled = None, [], 0, 0, [], 0
 
-        def chunk() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"source": [place[0]], "key": [place[0]], "block": [place[1]], "chunk": pa.array([k], pa.int32()), "text": ["\n".join(held)]})
+        def batch() -> pa.RecordBatch:
+            at, chunks, texts = zip(*full, strict=True)
+            files = pa.array([file for file, _ in at], pa.string())
+            return pa.RecordBatch.from_arrays([files, files, pa.array([block for _, block in at], pa.int64()), pa.array(chunks, pa.int32()), pa.array(texts, pa.string())], names=["source", "key", "block", "chunk", "text"])
 
         for b in batches:
-            for file, block, value in zip(*(b.column(c).to_pylist() for c in ("file", "block", "value")), strict=True):
+            for x in zip(*(b.column(c) for c in ("file", "block", "value")), strict=True):
+                file, block, value = (v.as_py() for v in x)
                 if held and (used > size or place != (file, block)):
-                    yield chunk()
-                    held, used, k = [], 0, k + 1
+                    full.append((place, k, "\n".join(held)))
+                    held, filled, used, k = [], filled + used, 0, k + 1
+                    if filled > BATCH_BYTES:
+                        yield batch()
+                        full, filled = [], 0
                 if place != (file, block):
                     place, k = (file, block), 0
                 held.append(value)
                 used += len(value) + 1
         if held:
-            yield chunk()
+            full.append((place, k, "\n".join(held)))
+        if full:
+            yield batch()
 
+    small_batches(spark)
     return file_rows(spark, paths).select("file", "block", "value").mapInArrow(run, "source string, key string, block long, chunk int, text string")
 
 

@@ -44,3 +44,18 @@ def test_lines_of_many_chunks_share_a_batch(spark):
     sent = list(run([given]))
     assert max(b.nbytes for b in sent) < 2 * BATCH_BYTES and len(sent) < 20
     assert [r for b in sent for r in b.to_pylist()] == [{"source": "s", "file": "f", "line": 1, "content": "x" * 1000}] * 10_000
+
+
+def test_chunks_of_files_share_a_batch(spark, monkeypatch):
+    spark.conf.unset(KEY)
+    table = Caught(spark.createDataFrame([], "file string"))
+    monkeypatch.setattr(diff, "file_rows", lambda *rest: table)
+    diff.file_chunks(spark, "x", 500)
+    assert int(spark.conf.get(KEY).removesuffix("b")) <= BATCH_BYTES
+    values = [f"{k} " + "y" * 300 for k in range(20_000)]
+    given = pa.RecordBatch.from_pydict({"file": ["f"] * 15_000 + ["g"] * 5000, "block": pa.array([0] * 20_000, pa.int64()), "value": values})
+    sent = list(table.functions[0]([given.slice(0, 7001), given.slice(7001)]))
+    assert max(b.nbytes for b in sent) < 2 * BATCH_BYTES and len(sent) < 10
+    rows = [r for b in sent for r in b.to_pylist()]
+    assert "\n".join(r["text"] for r in rows) == "\n".join(values) and len(rows) > 5000
+    assert [r["chunk"] for r in rows] == [*range(sum(r["source"] == "f" for r in rows)), *range(sum(r["source"] == "g" for r in rows))]
