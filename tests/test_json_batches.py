@@ -5,6 +5,7 @@ import json
 import pyarrow as pa
 
 from maskwright.operators import json_masking as jm
+from maskwright.plans import large
 from maskwright.sources.shared import BATCH_BYTES
 
 
@@ -67,3 +68,15 @@ def test_spark_sends_small_batches(spark):
     jm.mask_json(spark.createDataFrame([], "id long, json string"), "id")
     assert spark.conf.get(kept).removesuffix("b") == "1000"
     spark.conf.unset(kept)
+
+
+def test_all_types_in_tiny_batches(spark):
+    """The same values whatever the batches are."""
+    kept = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(kept)
+    found = large.json_all_types(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(kept).removesuffix("b")) <= BATCH_BYTES
+    whole = sorted(map(tuple, found.collect()))
+    spark.conf.set(kept, "20000")
+    assert sorted(map(tuple, large.json_all_types(spark, "/root/testdata/sf0.001").collect())) == whole and any(s for _, s, _ in whole)
+    spark.conf.unset(kept)
