@@ -164,7 +164,7 @@ def diff_chunks(df: DataFrame, id_column: str, diff_column: str = "diff", size:
         return let(places(raw, n, r"\n", size), lambda bounds: F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: part(bounds, k)))
 
     chunks = df.filter(n > 0).select(id_column, F.sha2(raw, 256).alias("key"), F.lit(0).cast("long").alias("block"), F.posexplode(let(raw, cut)).alias("chunk", "text"))
-    # as chunked_diff_lines joins them, so they move once
+    # as chunked_diff_lines joins them, so that the join need not deal them again
     return chunks.repartition("key", "block", "chunk")
 
 
@@ -257,7 +257,6 @@ def chunked_diff_lines(chunks: DataFrame, id_column: str = "source", exclude: li
             yield batch()
 
     small_batches(chunks.sparkSession)
-    # all columns, so that the chunks of both passes are the same table and are dealt once
     summed = chunks.mapInArrow(sums, "key string, block long, chunk int, counted long, summary string")
     begins = summed.repartition("key").sortWithinPartitions("key", "block", "chunk").mapInArrow(states, "key string, block long, chunk int, in_file string, number long, left long")
     return chunks.join(begins, ["key", "block", "chunk"]).select(id_column, "text", "in_file", "number", "left").mapInArrow(run, f"`{id_column}` {kind}, file string, line long, content string")
