@@ -80,3 +80,30 @@ def test_all_types_in_tiny_batches(spark):
     spark.conf.set(kept, "20000")
     assert sorted(map(tuple, large.json_all_types(spark, "/root/testdata/sf0.001").collect())) == whole and any(s for _, s, _ in whole)
     spark.conf.unset(kept)
+
+
+def test_workers_get_and_send_small_batches(spark, monkeypatch, tmp_path):
+    """What the workers of both Arrow functions get and send in a run over all types, one partition of many times the bound."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    table = spark.range(0, 300, 1, 1).selectExpr("id", """concat('{"out": {"lines": ["', id, ' a@b.com ', repeat('some words ', 3000), '"]}}') AS json""")
+    plain, at, calls = type(table).mapInArrow, str(tmp_path), []
+
+    def noted(df, function, schema):
+        calls.append(k := len(calls))
+
+        def weighed(batches, name):
+            for b in batches:
+                with open(f"{at}/{name}{k}", "a") as f:
+                    f.write(f"{b.nbytes}\n")
+                yield b
+
+        return plain(df, lambda batches: weighed(function(weighed(batches, "get")), "send"), schema)
+
+    monkeypatch.setattr(type(table), "mapInArrow", noted)
+    found = jm.mask_json(table, "id").collect()
+    assert len(found) == 300 and {r.summary for r in found} == {"EMAIL_ADDRESS ×1"}
+    assert all(json.loads(r.json)["out"]["lines"][0].split()[0] == str(r.id) and "a@b.com" not in r.json and len(r.json) > 33_000 for r in found)
+    for name in ("get0", "send0", "get1", "send1"):
+        weights = [int(x) for x in (tmp_path / name).read_text().split()]
+        assert max(weights) < 2 * BATCH_BYTES and sum(weights) > 4 * BATCH_BYTES, name
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
