@@ -85,7 +85,7 @@ def diff_chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diff_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What diff_all_added_lines gives, from diff files that hold many documents each, read in chunks."""
     path = _written(spark, document_diffs(spark, sf_dir).select("doc_id", F.col("diff").alias("text")), "diff-files")
-    return _added(chunked_diff_lines(file_chunks(spark, path, 10_000)), F.regexp_extract("file", r"docs/(\d+)", 1).cast("long"))
+    return _added(chunked_diff_lines(file_chunks(spark, path, 10_000)), F.regexp_extract("file", r"docs/(-?\d+)", 1).cast("long"))
 
 
 def json_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:

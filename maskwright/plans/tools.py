@@ -29,7 +29,8 @@ def document_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a diff that adds a file of its lines."""
     n = F.size(F.split("text", "\n"))
     head = F.concat(F.lit("diff --git a/x b/x\n--- /dev/null\n+++ b/docs/"), F.col("doc_id").cast("string"), F.lit(".txt\n@@ -0,0 +1,"), n.cast("string"), F.lit(" @@\n"))
-    return _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.concat(head, F.regexp_replace("text", "(?m)(?d)^", "+")).alias("diff"))
+    # not by ^ in a pattern: Java finds none in an empty text, and none after a line feed that ends the text
+    return _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.concat(head, F.lit("+"), F.replace("text", F.lit("\n"), F.lit("\n+"))).alias("diff"))
 
 
 def diff_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
